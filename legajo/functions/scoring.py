@@ -20,13 +20,17 @@ def no_vote() -> Column:
     return vote(F.lit(UNKNOWN), F.lit(0.0))
 
 
-def ranked(scores: Mapping[str, Column]) -> Column:
+def ranked(scores: Mapping[str, str]) -> str:
     """The best ``struct<score, rank, type>``; of equal scores the first declared type wins."""
-    entries = [
-        F.struct(score.cast("double").alias("score"), F.lit(-i).alias("rank"), F.lit(name).alias("type"))
+    entries = ", ".join(
+        f"named_struct('score', CAST({score} AS DOUBLE), 'rank', {-i}, 'type', {tx.quoted(name)})"
         for i, (name, score) in enumerate(scores.items())
-    ]
-    return F.array_max(F.array(*entries))
+    )
+    return f"array_max(array({entries}))"
+
+
+def as_map(values: Mapping[str, str]) -> str:
+    return f"map({', '.join(f'{tx.quoted(name)}, {value}' for name, value in values.items())})"
 
 
 # ---------------------------------------------------------------- keyword method
@@ -41,23 +45,23 @@ def keyword_dictionary(rules=types.TYPE_KEYWORDS) -> set[str]:
     return tx.dictionary(terms=[*terms, *map(_longest_word, terms)])
 
 
-def _keyword_points(t: tx.ScannedText, keyword: str) -> Column:
+def _keyword_points(t: tx.ScannedText, keyword: str) -> str:
     k = keyword.lower()
-    early = F.contains(t.opening, F.lit(k))
+    early = f"{t.has(_longest_word(k))} AND contains({t.opening}, {tx.quoted(k)})"
     return (
-        t.count(k) * F.lit(types.POINTS_PER_OCCURRENCE)
-        + F.when(t.has(_longest_word(k)) & early, types.POINTS_IN_OPENING).otherwise(0.0)
+        f"({t.count(k)} * {tx.number(types.POINTS_PER_OCCURRENCE)}"
+        f" + {tx.points_if(early, types.POINTS_IN_OPENING)})"
     )
 
 
-def keyword_type_scores(t: tx.ScannedText, rules=types.TYPE_KEYWORDS) -> dict[str, Column]:
+def keyword_type_scores(t: tx.ScannedText, rules=types.TYPE_KEYWORDS) -> dict[str, str]:
     return {
-        name: F.least(tx.total(_keyword_points(t, k) for k in keywords), F.lit(1.0))
+        name: f"least({tx.sum_of(_keyword_points(t, k) for k in keywords)}, 1.0D)"
         for name, keywords in rules.items()
     }
 
 
-def keyword_best(t: tx.ScannedText, rules=types.TYPE_KEYWORDS) -> Column:
+def keyword_best(t: tx.ScannedText, rules=types.TYPE_KEYWORDS) -> str:
     return ranked(keyword_type_scores(t, rules))
 
 
@@ -65,23 +69,20 @@ def keyword_decision(best: Column, threshold=types.KEYWORD_THRESHOLD) -> Column:
     return vote(F.when(best["score"] < threshold, UNKNOWN).otherwise(best["type"]), best["score"])
 
 
-def keyword_found(t: tx.ScannedText, rules=types.TYPE_KEYWORDS) -> Column:
+def keyword_found(t: tx.ScannedText, rules=types.TYPE_KEYWORDS) -> str:
     """Keywords found per type, types without any left out."""
     found = {
-        name: F.array_compact(F.array(*[F.when(t.has(k.lower()), k) for k in keywords]))
+        name: "array_compact(array(" + ", ".join(
+            f"CASE WHEN {t.has(k.lower())} THEN {tx.quoted(k)} END" for k in keywords) + "))"
         for name, keywords in rules.items()
     }
-    return F.map_filter(as_map(found), lambda _, v: F.size(v) > 0)
-
+    return f"map_filter({as_map(found)}, (k, v) -> size(v) > 0)"
 
-def as_map(columns: Mapping[str, Column]) -> Column:
-    return F.create_map(*[c for name, value in columns.items() for c in (F.lit(name), value)])
 
-
-def term_counts(t: tx.ScannedText, terms: Sequence[str]) -> Column:
+def term_counts(t: tx.ScannedText, terms: Sequence[str]) -> str:
     """Occurrences of chosen terms, as ``array<struct<term, n>>`` of positive counts."""
-    counts = F.array(*[F.struct(F.lit(x).alias("term"), t.count(x).alias("n")) for x in terms])
-    return F.filter(counts, lambda c: c["n"] > 0)
+    counts = ", ".join(f"named_struct('term', {tx.quoted(x)}, 'n', {t.count(x)})" for x in terms)
+    return f"filter(array({counts}), c -> c.n > 0)"
 
 
 def first_match_type(text: Column, rules=types.FIRST_MATCH_TERMS) -> Column:
@@ -104,16 +105,12 @@ def pattern_dictionary(rules=patterns.TYPE_PATTERNS) -> set[str]:
     return tx.dictionary(patterns=[p for exprs in rules.values() for p in exprs])
 
 
-def pattern_best(t: tx.ScannedText, rules=patterns.TYPE_PATTERNS, per_pattern=patterns.MATCHES_PER_PATTERN) -> Column:
-    return ranked({
-        name: F.least(
-            tx.total(
-                F.least(t.match_count(p, tx.MULTILINE), F.lit(per_pattern)) for p in exprs
-            ) / F.lit(float(len(exprs) * per_pattern)),
-            F.lit(1.0),
-        )
-        for name, exprs in rules.items() if exprs
-    })
+def pattern_best(t: tx.ScannedText, rules=patterns.TYPE_PATTERNS, per_pattern=patterns.MATCHES_PER_PATTERN) -> str:
+    def score(exprs: Sequence[str]) -> str:
+        points = tx.sum_of(f"least({t.match_count(p, tx.MULTILINE)}, {per_pattern})" for p in exprs)
+        return f"least({points} / {tx.number(len(exprs) * per_pattern)}, 1.0D)"
+
+    return ranked({name: score(exprs) for name, exprs in rules.items() if exprs})
 
 
 def scored_decision(best: Column, bonus: Column | None = None) -> Column:
@@ -122,33 +119,29 @@ def scored_decision(best: Column, bonus: Column | None = None) -> Column:
     return F.when(best["score"] > 0, vote(best["type"], score)).otherwise(no_vote())
 
 
-def pattern_matches(t: tx.ScannedText, rules=patterns.TYPE_PATTERNS) -> Column:
+def pattern_matches(t: tx.ScannedText, rules=patterns.TYPE_PATTERNS) -> str:
     """Matches per pattern: ``array<struct<type, pattern_no, pattern, matches>>`` without misses."""
-    none = F.array().cast("array<string>")
-    entries = [
-        F.struct(
-            F.lit(name).alias("type"),
-            F.lit(i + 1).alias("pattern_no"),
-            F.lit(p).alias("pattern"),
-            t.guarded(p, tx.find_all(t.text, p, flags=tx.ANY_CASE_MULTILINE), none).alias("matches"),
-        )
+    none = "CAST(array() AS array<string>)"
+    entries = ", ".join(
+        f"named_struct('type', {tx.quoted(name)}, 'pattern_no', {i + 1}, 'pattern', {tx.quoted(p)}, "
+        f"'matches', {t.guarded(p, t.find_all(p), none)})"
         for name, exprs in rules.items() for i, p in enumerate(exprs)
-    ]
-    return F.filter(F.array(*entries), lambda e: F.size(e["matches"]) > 0)
+    )
+    return f"filter(array({entries}), e -> size(e.matches) > 0)"
 
 
 STRUCTURE_PATTERNS = [*patterns.TABLE_PATTERNS, *patterns.TOTAL_PATTERNS, *patterns.TAX_PATTERNS]
 STRUCTURE_FLAGS = ("has_header", "has_table", "has_totals", "tax_compliant")
 
 
-def structure_flags(t: tx.ScannedText) -> dict[str, Column]:
+def structure_flags(t: tx.ScannedText) -> dict[str, str]:
     """Header, table, totals and tax-authority marks."""
-    tax = sum((t.matches(p).cast("int") for p in patterns.TAX_PATTERNS), F.lit(0))
+    tax = " + ".join(f"CAST({t.matches(p)} AS INT)" for p in patterns.TAX_PATTERNS)
     return {
-        "has_header": tx.any_of(F.rlike(t.text, F.lit(tx.MULTILINE + p)) for p in patterns.HEADER_PATTERNS),
+        "has_header": tx.one_of(f"rlike({t.text}, {tx.quoted(tx.MULTILINE + p)})" for p in patterns.HEADER_PATTERNS),
         "has_table": t.matches_any(patterns.TABLE_PATTERNS),
         "has_totals": t.matches_any(patterns.TOTAL_PATTERNS),
-        "tax_compliant": tax >= patterns.TAX_MINIMUM,
+        "tax_compliant": f"({tax}) >= {patterns.TAX_MINIMUM}",
     }
 
 
@@ -163,10 +156,6 @@ def domain_dictionary(rules) -> set[str]:
     return tx.dictionary(exprs, terms)
 
 
-def _element_present(t: tx.ScannedText, rules, element: str) -> Column:
-    return t.matches_any(rules.ELEMENTS.get(element, []))
-
-
 def _repeat_sum(points: float, times: int) -> float:
     result = 0.0
     for _ in range(times):
@@ -174,26 +163,30 @@ def _repeat_sum(points: float, times: int) -> float:
     return result
 
 
-def _domain_type_score(t: tx.ScannedText, rules, spec: Mapping[str, Sequence[str]]) -> Column:
-    keyword = tx.total(F.when(t.has(k), rules.POINTS_KEYWORD).otherwise(0.0) for k in spec["keywords"])
-    pattern = tx.total(F.lit(rules.POINTS_MATCH) * t.match_count(p) for p in spec["patterns"])
-    found = sum((_element_present(t, rules, e).cast("int") for e in spec["required"]), F.lit(0))
+def _domain_type_score(t: tx.ScannedText, rules, spec: Mapping[str, Sequence[str]]) -> str:
+    keyword = tx.sum_of(tx.points_if(t.has(k), rules.POINTS_KEYWORD) for k in spec["keywords"])
+    pattern = tx.sum_of(f"{tx.number(rules.POINTS_MATCH)} * {t.match_count(p)}" for p in spec["patterns"])
+    found = " + ".join(
+        f"CAST({t.matches_any(rules.ELEMENTS.get(e, []))} AS INT)" for e in spec["required"]
+    )
     needed = len(spec["required"])
     # Indexed by the number of elements found: their points, and the factor for missing ones.
-    points = F.array(*[F.lit(_repeat_sum(rules.POINTS_REQUIRED, n)) for n in range(needed + 1)])
-    factor = F.array(*[F.lit(0.5 + 0.5 * (n / needed)) for n in range(needed + 1)])
-    return F.least((keyword + pattern + points[found]) * factor[found], F.lit(1.0))
+    points = ", ".join(tx.number(_repeat_sum(rules.POINTS_REQUIRED, n)) for n in range(needed + 1))
+    factor = ", ".join(tx.number(0.5 + 0.5 * (n / needed)) for n in range(needed + 1))
+    return (
+        f"least(({keyword} + {pattern} + array({points})[{found}]) * array({factor})[{found}], 1.0D)"
+    )
 
 
-def domain_bonus(t: tx.ScannedText, rules) -> Column:
+def domain_bonus(t: tx.ScannedText, rules) -> str:
     terms = (
-        F.when(t.has_word(term) if whole else t.has(term), points).otherwise(0.0)
+        tx.points_if(t.has_word(term) if whole else t.has(term), points)
         for _, points, whole, names in rules.BONUS for term in names
     )
-    return F.least(tx.total(terms), F.lit(rules.BONUS_LIMIT))
+    return f"least({tx.sum_of(terms)}, {tx.number(rules.BONUS_LIMIT)})"
 
 
-def domain_best(t: tx.ScannedText, rules) -> Column:
+def domain_best(t: tx.ScannedText, rules) -> str:
     """Keywords, pattern matches and required elements per type."""
     return ranked({name: _domain_type_score(t, rules, spec) for name, spec in rules.TYPES.items()})
 

@@ -49,18 +49,46 @@ def text_or_empty(text: Column) -> Column:
     return F.coalesce(text, F.lit(""))
 
 
-def occurrences(text: Column, term: str) -> Column:
-    """Non-overlapping occurrences of ``term``."""
-    cut = F.replace(text, F.lit(term), F.lit(""))
-    return ((F.char_length(text) - F.char_length(cut)) / F.lit(len(term))).cast("int")
-
-
 def opening_words(text: Column, count: int) -> Column:
     """The first ``count`` words joined by single spaces; the rest of the text is not split."""
     head = F.regexp_extract(text, rf"(?U)^\s*+(\S++(?:\s++\S++){{0,{count - 1}}}+)", 1)
     return F.regexp_replace(head, r"(?U)\s+", " ")
 
 
+# Rules become SQL text, since a rule set has thousands of expression nodes and each Column call is a
+# round trip to the JVM. The helpers below return SQL; ``F.expr`` takes the finished expression.
+
+
+def quoted(value: str) -> str:
+    if "'" in value or "\n" in value:
+        return "'" + value.replace("\\", "\\\\").replace("'", "\\'").replace("\n", "\\n") + "'"
+    return f"r'{value}'"
+
+
+def number(value: float) -> str:
+    return f"{float(value)!r}D"
+
+
+def sum_of(points: Iterable[str]) -> str:
+    """Sum from left to right, starting at zero."""
+    return f"({' + '.join(['0.0D', *points])})"
+
+
+def points_if(test: str, points: float) -> str:
+    return f"CASE WHEN {test} THEN {number(points)} ELSE 0.0D END"
+
+
+def one_of(tests: Iterable[str]) -> str:
+    found = list(tests)
+    return f"({' OR '.join(found)})" if found else "false"
+
+
+def occurrences(text: str, term: str) -> str:
+    """Non-overlapping occurrences of ``term``."""
+    cut = f"replace({text}, {quoted(term)}, '')"
+    return f"CAST((char_length({text}) - char_length({cut})) / {len(term)} AS INT)"
+
+
 def _choices(parsed) -> list[str] | None:
     """Literals of which at least one is part of every match; None when nothing is certain."""
     candidates: list[list[str]] = []
@@ -175,7 +203,7 @@ class Scan:
         self.slot = {x: divmod(i, WORD_BITS) for i, x in enumerate(self.literals)}
         self.words = max(1, -(-len(self.literals) // WORD_BITS))
 
-    def _masks(self) -> Column:
+    def _masks(self) -> str:
         """Map from a collected literal to the bits of itself and of its prefixes."""
         entries = []
         for literal in self.literals:
@@ -184,25 +212,25 @@ class Scan:
                 if literal[:n] in self.slot:
                     word, bit = self.slot[literal[:n]]
                     words[word] |= 1 << bit
-            entries += [F.lit(literal), F.array(*[F.lit(w).cast("bigint") for w in words])]
-        return F.create_map(*entries)
-
-    def _bits(self, lower: Column) -> Column:
-        trie = _trie_pattern(self.literals)
-        found = F.array_distinct(F.regexp_extract_all(lower, F.lit(f"(?=({trie}))"), F.lit(1)))
-        masks = F.transform(found, lambda x: F.element_at(self._masks(), x))
-        none = F.lit(0).cast("bigint")
-
-        def union(word: int) -> Callable[[Column, Column], Column]:
-            return lambda acc, mask: acc.bitwiseOR(mask[word])
-
-        return let(masks, lambda m: F.array(*[F.aggregate(m, none, union(w)) for w in range(self.words)]))
+            entries.append(f"{quoted(literal)}, array({', '.join(f'{w}L' for w in words)})")
+        return f"map({', '.join(entries)})"
+
+    def _bits(self, folded: str) -> Column:
+        trie = quoted(f"(?=({_trie_pattern(self.literals)}))")
+        masks = (
+            f"transform(array_distinct(regexp_extract_all({folded}, {trie}, 1)), "
+            f"found -> element_at({self._masks()}, found))"
+        )
+        words = ", ".join(
+            f"aggregate(masks, 0L, (bits, mask) -> bits | mask[{w}])" for w in range(self.words)
+        )
+        return F.expr(f"transform(array({masks}), masks -> array({words}))[0]")
 
     def add_to(self, docs: DataFrame, opening: int = 0) -> tuple[DataFrame, ScannedText]:
         """Add the scan of column ``text`` under ``SCAN_COLUMNS``; ``opening`` also keeps that many
         words from the start."""
         docs = docs.withColumn("_folded", self._fold(text_or_empty(F.col("text"))))
-        added = {"_bits": self._bits(F.col("_folded")) if self.literals else F.array().cast("array<bigint>")}
+        added = {"_bits": self._bits("_folded") if self.literals else F.array().cast("array<bigint>")}
         if opening:
             added["_opening"] = opening_words(F.col("_folded"), opening)
         return docs.withColumns(added), ScannedText(self)
@@ -214,73 +242,78 @@ SCAN_COLUMNS = ("_folded", "_bits", "_opening")
 class ScannedText:
     """Tests over one scanned text; letter case is ignored as long as the literals are folded alike."""
 
+    text = "coalesce(text, '')"
+    folded = "_folded"
+    opening = "_opening"
+
     def __init__(self, scan: Scan):
-        self.text = text_or_empty(F.col("text"))
-        self.lower = F.col("_folded")
-        self.opening = F.col("_opening")
-        self._bits = F.col("_bits")
         self._scan = scan
 
-    def has_known(self) -> Column:
+    def has_known(self) -> str:
         """Whether any dictionary literal occurs.
 
         A higher-order function also keeps its projection out of whole-stage code generation, whose
         single method cannot hold hundreds of rules; the projection is then compiled in small methods.
         """
-        return F.exists(self._bits, lambda word: word != 0)
+        return "exists(_bits, word -> word != 0)"
 
-    def has_any(self, literals: Iterable[str]) -> Column:
+    def has_any(self, literals: Iterable[str]) -> str:
         """Whether any of these dictionary literals occurs."""
         masks: dict[int, int] = {}
         for literal in literals:
             word, bit = self._scan.slot[literal]
             masks[word] = masks.get(word, 0) | (1 << bit)
-        return any_of(
-            self._bits[word].bitwiseAND(F.lit(mask).cast("bigint")) != 0 for word, mask in masks.items()
-        )
+        return one_of(f"(_bits[{word}] & {mask}L) != 0" for word, mask in masks.items())
 
-    def has(self, literal: str) -> Column:
+    def has(self, literal: str) -> str:
         return self.has_any([literal])
 
-    def count(self, literal: str) -> Column:
-        return F.when(self.has(literal), occurrences(self.lower, literal)).otherwise(0)
+    def count(self, literal: str) -> str:
+        return f"CASE WHEN {self.has(literal)} THEN {occurrences(self.folded, literal)} ELSE 0 END"
 
-    def guarded(self, pattern: str, result: Column, otherwise: Column) -> Column:
+    def guarded(self, pattern: str, result: str, otherwise: str) -> str:
         """``result`` where the literals of the pattern occur, else ``otherwise``."""
         literals = guard_literals(lowered(pattern))
-        return F.when(self.has_any(literals), result).otherwise(otherwise) if literals else result
+        return f"CASE WHEN {self.has_any(literals)} THEN {result} ELSE {otherwise} END" if literals else result
 
-    def match_count(self, pattern: str, flags: str = PLAIN) -> Column:
+    def match_count(self, pattern: str, flags: str = PLAIN) -> str:
         p = lowered(pattern)
         if is_literal(p):
             return self.count(literal_text(p))
-        return self.guarded(pattern, F.regexp_count(self.lower, F.lit(flags + p)), F.lit(0))
+        return self.guarded(pattern, f"regexp_count({self.folded}, {quoted(flags + p)})", "0")
 
-    def matches(self, pattern: str, flags: str = PLAIN) -> Column:
+    def matches(self, pattern: str, flags: str = PLAIN) -> str:
         return self.matches_any([pattern], flags)
 
-    def matches_any(self, patterns: Iterable[str], flags: str = PLAIN) -> Column:
+    def matches_any(self, patterns: Iterable[str], flags: str = PLAIN) -> str:
         plain = [lowered(p) for p in patterns]
         words = [literal_text(p) for p in plain if is_literal(p)]
         tests = [self.has_any(words)] if words else []
         tests += [
-            self.guarded(p, F.rlike(self.lower, F.lit(flags + p)), F.lit(False))
+            self.guarded(p, f"rlike({self.folded}, {quoted(flags + p)})", "false")
             for p in plain if not is_literal(p)
         ]
-        return reduce(lambda a, b: a | b, tests) if tests else F.lit(False)
-
-    def has_word(self, word: str) -> Column:
-        return F.when(self.has(word), F.rlike(self.lower, F.lit(rf"(?U)\b{word}\b"))).otherwise(False)
+        return one_of(tests)
+
+    def has_word(self, word: str) -> str:
+        pattern = quoted(rf"(?U)\b{word}\b")
+        return f"CASE WHEN {self.has(word)} THEN rlike({self.folded}, {pattern}) ELSE false END"
+
+    def find_all(self, pattern: str, flags: str = ANY_CASE_MULTILINE) -> str:
+        """All matches: the whole match without groups, the group when there is one, and the groups
+        joined by a space when there are several."""
+        groups = re.compile(pattern).groups
+        parts = [
+            f"regexp_extract_all({self.text}, {quoted(flags + pattern)}, {g})"
+            for g in (range(1, groups + 1) if groups else [0])
+        ]
+        return reduce(lambda a, b: f"zip_with({a}, {b}, (x, y) -> concat_ws(' ', x, y))", parts)
 
 
 def find_all(text: Column, pattern: str, group: int | None = None, flags: str = ANY_CASE) -> Column:
-    """All matches as strings: the whole match without groups, the group when there is one, and
-    the groups joined by a space when there are several."""
+    """All matches: the whole match, or the given (or only) group."""
     groups = re.compile(pattern).groups
-    if group is not None or groups <= 1:
-        return F.regexp_extract_all(text, F.lit(flags + pattern), F.lit(groups if group is None else group))
-    parts = [F.regexp_extract_all(text, F.lit(flags + pattern), F.lit(g + 1)) for g in range(groups)]
-    return reduce(lambda a, b: F.zip_with(a, b, lambda x, y: F.concat_ws(" ", x, y)), parts)
+    return F.regexp_extract_all(text, F.lit(flags + pattern), F.lit(groups if group is None else group))
 
 
 def find_first(text: Column, pattern: str, group: int = 0, flags: str = ANY_CASE) -> Column:

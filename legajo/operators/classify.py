@@ -41,7 +41,7 @@ def rule_votes(docs: DataFrame, methods: Sequence[str] = RULE_METHODS) -> DataFr
             best[f"_{m}"] = sc.domain_best(t, DOMAINS[m])
             best[f"_{m}_bonus"] = sc.domain_bonus(t, DOMAINS[m])
     kept = [F.col(c) for c in docs.columns]
-    scored = scanned.select(*kept, *[c.alias(name) for name, c in best.items()])
+    scored = scanned.select(*kept, *[F.expr(sql).alias(name) for name, sql in best.items()])
     known = F.col("_known")
     votes = []
     for m in methods:
@@ -58,7 +58,8 @@ def keyword_details(docs: DataFrame) -> DataFrame:
     """Add ``scores`` (all types) and ``keywords_found`` (types with a hit), both maps."""
     scanned, t = Scan(sc.keyword_dictionary()).add_to(docs, types.OPENING_WORDS)
     return scanned.withColumns({
-        "scores": sc.as_map(sc.keyword_type_scores(t)), "keywords_found": sc.keyword_found(t),
+        "scores": F.expr(sc.as_map(sc.keyword_type_scores(t))),
+        "keywords_found": F.expr(sc.keyword_found(t)),
     }).drop(*SCAN_COLUMNS)
 
 
@@ -66,7 +67,7 @@ def pattern_details(docs: DataFrame, only: str | None = None) -> DataFrame:
     """One row per document, type and pattern that matched, with the matches."""
     rules = {k: v for k, v in patterns.TYPE_PATTERNS.items() if only in (None, k)}
     scanned, t = Scan(sc.pattern_dictionary(rules)).add_to(docs)
-    return scanned.select("doc_id", F.explode(sc.pattern_matches(t, rules)).alias("m")).select(
+    return scanned.select("doc_id", F.explode(F.expr(sc.pattern_matches(t, rules))).alias("m")).select(
         "doc_id", "m.type", "m.pattern_no", "m.pattern", "m.matches", F.size("m.matches").alias("n_matches")
     )
 
@@ -74,7 +75,7 @@ def pattern_details(docs: DataFrame, only: str | None = None) -> DataFrame:
 def document_structure(docs: DataFrame) -> DataFrame:
     """Add the four structure flags and their mean."""
     scanned, t = Scan(dictionary(patterns=sc.STRUCTURE_PATTERNS)).add_to(docs)
-    flagged = scanned.withColumns(sc.structure_flags(t)).drop(*SCAN_COLUMNS)
+    flagged = scanned.withColumns({k: F.expr(v) for k, v in sc.structure_flags(t).items()}).drop(*SCAN_COLUMNS)
     hits = sum((F.col(f).cast("int") for f in sc.STRUCTURE_FLAGS), F.lit(0))
     return flagged.withColumn("structure_score", hits / F.lit(4.0))
 
@@ -82,6 +83,6 @@ def document_structure(docs: DataFrame) -> DataFrame:
 def term_profile(docs: DataFrame, terms: Sequence[str] = tuple(types.PROFILE_TERMS)) -> DataFrame:
     """One row per document and term that occurs in it."""
     scanned, t = Scan(dictionary(terms=terms)).add_to(docs)
-    return scanned.select("doc_id", F.explode(sc.term_counts(t, terms)).alias("c")).select(
+    return scanned.select("doc_id", F.explode(F.expr(sc.term_counts(t, terms))).alias("c")).select(
         "doc_id", "c.term", "c.n"
     )

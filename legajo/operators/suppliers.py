@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
@@ -44,30 +43,31 @@ def _literals(rows: Sequence[Row]) -> set[str]:
     return found
 
 
-def _share(t: tx.ScannedText, terms: Sequence[str] | None, points: float) -> Column:
+def _share(t: tx.ScannedText, terms: Sequence[str] | None, points: float) -> str:
     if not terms:
-        return F.lit(0.0)
-    hits = reduce(lambda a, b: a + b, (t.has(x.upper()).cast("int") for x in terms))
-    return (hits / F.lit(float(len(terms)))) * F.lit(points)
+        return "0.0D"
+    hits = " + ".join(f"CAST({t.has(x.upper())} AS INT)" for x in terms)
+    return f"(({hits}) / {tx.number(len(terms))}) * {tx.number(points)}"
 
 
-def _score(t: tx.ScannedText, row: Row) -> Column:
+def _score(t: tx.ScannedText, row: Row) -> str:
     partial = [
-        reduce(lambda a, b: a + b, (t.has(w).cast("int") for w in words)) >= 2
+        "(" + " + ".join(f"CAST({t.has(w)} AS INT)" for w in words) + ") >= 2"
         for words in map(_partial_words, row.names or []) if words
     ]
-    name = F.lit(0.0)
+    name = "0.0D"
     if row.names:
-        name = F.when(t.has_any([n.upper() for n in row.names]), rules.POINTS_NAME)
-        name = (name.when(tx.any_of(partial), rules.POINTS_PARTIAL_NAME) if partial else name).otherwise(0.0)
-    tax = F.when(t.has(row.cuit), rules.POINTS_TAX_ID).otherwise(0.0) if row.cuit else F.lit(0.0)
+        name = (
+            f"CASE WHEN {t.has_any([n.upper() for n in row.names])} THEN {tx.number(rules.POINTS_NAME)} "
+            f"WHEN {tx.one_of(partial)} THEN {tx.number(rules.POINTS_PARTIAL_NAME)} ELSE 0.0D END"
+        )
+    tax = tx.points_if(t.has(row.cuit), rules.POINTS_TAX_ID) if row.cuit else "0.0D"
     by_type = [
-        _share(t, p.specific_terms, rules.POINTS_TERMS)
-        + _share(t, p.layout_indicators, rules.POINTS_INDICATORS)
+        f"{_share(t, p.specific_terms, rules.POINTS_TERMS)} + {_share(t, p.layout_indicators, rules.POINTS_INDICATORS)}"
         for p in (row.document_patterns or {}).values()
     ]
-    pattern = F.greatest(F.lit(0.0), *by_type) if by_type else F.lit(0.0)
-    return F.least(name + tax + pattern, F.lit(1.0))
+    pattern = f"greatest(0.0D, {', '.join(by_type)})" if by_type else "0.0D"
+    return f"least({name} + {tax} + {pattern}, 1.0D)"
 
 
 def detect_supplier(docs: DataFrame, registry: DataFrame, threshold: float = rules.SUPPLIER_THRESHOLD) -> DataFrame:
@@ -76,14 +76,12 @@ def detect_supplier(docs: DataFrame, registry: DataFrame, threshold: float = rul
     best: list[str] = []
     for n, rows in enumerate(_slices(registry)):
         scanned, t = tx.Scan(_literals(rows), upper=True).add_to(docs)
-        entries = [
-            F.struct(_score(t, r).alias("score"), F.lit(-r.ord).alias("rank"), F.lit(r.supplier_id).alias("id"))
-            for r in rows
-        ]
-        name = f"_supplier_{n}"
-        docs = scanned.select(
-            *kept, *best, F.when(t.has_known(), F.array_max(F.array(*entries))).alias(name)
+        entries = ", ".join(
+            f"named_struct('score', {_score(t, r)}, 'rank', {-r.ord}, 'id', {tx.quoted(r.supplier_id)})" for r in rows
         )
+        name = f"_supplier_{n}"
+        best_here = f"CASE WHEN {t.has_known()} THEN array_max(array({entries})) END"
+        docs = scanned.select(*kept, *best, F.expr(best_here).alias(name))
         best.append(name)
     if not best:
         return docs.withColumns({
