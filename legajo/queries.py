@@ -428,7 +428,7 @@ def catalog_by_id(spark, sf):
 
 @query
 def cli_search(spark, sf):
-    return _shown(catalog(spark, sf).filter(cat.cli_filter(proveedor="EDESUR", tipo="pesajes")))
+    return _shown(catalog(spark, sf).filter(cat.cli_filter(proveedor="EDESUR", tipo="facturas")))
 
 
 @query
