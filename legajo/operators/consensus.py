@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from legajo.functions import text as tx
 from legajo.rules import ensemble as rules
 from legajo.rules.types import UNKNOWN
+from legajo.session import broadcast_if_small
 
 
 def votes_long(docs: DataFrame, methods: Sequence[str]) -> DataFrame:
@@ -159,8 +160,9 @@ def decide(
             & (F.col("_best.avg_confidence") >= rules.STRONG_AVERAGE), F.lit(False)),
     })
     staged = staged.join(
-        boosts.select(F.col("supplier_id").alias("_sid"), F.col("doc_type").alias("_st"),
-                      F.col("confidence_boost").alias("_boost")),
+        broadcast_if_small(boosts.select(
+            F.col("supplier_id").alias("_sid"), F.col("doc_type").alias("_st"), F.col("confidence_boost").alias("_boost")
+        )),
         (F.col("supplier_id") == F.col("_sid")) & (F.col("_lead") == F.col("_st")), "left",
     )
     share = F.col("_best.vote_count") / F.size("_active")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from legajo.functions import text as tx
 from legajo.rules import suppliers as rules
+from legajo.session import broadcast_if_small
 from legajo.sources.registry import registry_patterns
 
 # Suppliers compiled into one projection; a larger registry takes several projections.
@@ -98,7 +99,7 @@ def detect_supplier(docs: DataFrame, registry: DataFrame, threshold: float = rul
 
 def supplier_lookup(docs: DataFrame, registry: DataFrame) -> DataFrame:
     """Registry entry of each document's supplier; NULL when it has none."""
-    return docs.join(registry.drop("ord"), "supplier_id", "left")
+    return docs.join(broadcast_if_small(registry.drop("ord")), "supplier_id", "left")
 
 
 def supplier_boost(docs: DataFrame, registry: DataFrame, type_column: str = "doc_type") -> DataFrame:
@@ -106,7 +107,7 @@ def supplier_boost(docs: DataFrame, registry: DataFrame, type_column: str = "doc
     boosts = registry_patterns(registry).select(
         "supplier_id", F.col("doc_type").alias(type_column), F.col("confidence_boost").alias("_boost")
     )
-    joined = docs.join(boosts, ["supplier_id", type_column], "left")
+    joined = docs.join(broadcast_if_small(boosts), ["supplier_id", type_column], "left")
     return joined.withColumn("supplier_boost", F.coalesce("_boost", F.lit(0.0))).drop("_boost")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -29,12 +29,15 @@ class Processed(NamedTuple):
 
 
 def process(
-    docs: DataFrame, manifest: DataFrame, registry: DataFrame, at: Column, root: str = "output",
+    docs: DataFrame, manifest: DataFrame, registry: DataFrame, at: Column,
+    store: Callable[[DataFrame], DataFrame], root: str = "output",
     methods: Sequence[str] = RULE_METHODS,
 ) -> Processed:
     """``docs(doc_id, filename, processed_at, text)`` and ``manifest(doc_id, path, ...)`` to results.
 
-    A document that fails keeps its row with an error, and never reaches the scorers.
+    A document that fails keeps its row with an error, and never reaches the scorers. ``store`` writes
+    the catalog rows and reads them back; routing and results start from there, so the texts are
+    classified once and a file is never placed before its row exists.
     """
     checked = validation.validate(manifest)
     joined = docs.join(checked.select("doc_id", "is_valid"), "doc_id", "left")
@@ -42,11 +45,11 @@ def process(
     error = F.when(~F.coalesce("is_valid", F.lit(False)), INVALID_FILE).when(empty, NO_TEXT)
     marked = joined.withColumn("error", error).drop("is_valid")
     accepted = marked.filter(F.col("error").isNull()).drop("error")
-    classified = cat.classify(accepted, registry, methods)
-    rows = cat.catalog_rows(classified, methods)
-    done = cat.route(
-        classified.select("doc_id", "filename", "processed_at", "tipo", "confidence"), root
-    ).select(
+    rows = store(cat.catalog_rows(cat.classify(accepted, registry, methods), methods))
+    placed = cat.route(rows.select(
+        F.col("id").alias("doc_id"), "filename", F.col("fecha_procesado").alias("processed_at"), "tipo", "confidence"
+    ), root)
+    done = placed.select(
         "doc_id", "filename", F.lit(True).alias("success"), F.lit(None).cast("string").alias("error"),
         F.col("tipo").alias("classification"), "confidence", F.col("dest_path").alias("destination"),
     )

@@ -575,7 +575,8 @@ def distinct_suppliers(spark, sf):
 
 def _processed(spark, sf) -> batch.Processed:
     return batch.process(
-        business_docs(spark, sf), derived.manifest(spark, sf), built_in_registry(spark), F.lit(QUARANTINE_AT)
+        business_docs(spark, sf), derived.manifest(spark, sf), built_in_registry(spark), F.lit(QUARANTINE_AT),
+        store=lambda rows: written_table(spark, "processed", sf, lambda: rows, ("tipo",)),
     )
 
 

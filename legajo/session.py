@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
@@ -34,6 +35,14 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: s
     return spark
 
 
+MAX_BROADCAST_ROWS = 100_000
+
+
+def broadcast_if_small(small: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """Mark for broadcast after counting; a larger table is left to an ordinary join."""
+    return F.broadcast(small) if small.limit(max_rows + 1).count() <= max_rows else small
+
+
 _LOCAL_ROOTS: dict[str, str] = {}
 _WRITTEN: dict[tuple[str, str], str] = {}
 
