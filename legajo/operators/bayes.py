@@ -30,9 +30,8 @@ def built_in_samples(spark: SparkSession) -> DataFrame:
 
 def terms(text: Column) -> Column:
     """Words of two characters or more without stop words, and their neighbouring pairs."""
-    words = F.regexp_extract_all(F.lower(tx.text_or_empty(text)), F.lit(r"(?U)\b\w\w+\b"), F.lit(0))
-    stop = F.array(*[F.lit(w) for w in dict.fromkeys(rules.STOP_WORDS)])
-    kept = F.filter(words, lambda w: ~F.array_contains(stop, w))
+    words = F.regexp_extract_all(F.lower(tx.text_or_empty(text)), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0))
+    kept = F.filter(words, lambda w: ~w.isin(*dict.fromkeys(rules.STOP_WORDS)))
 
     def with_pairs(w: Column) -> Column:
         later = F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(0)))

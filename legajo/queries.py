@@ -20,7 +20,7 @@ from legajo.rules.ensemble import DOMAIN_THRESHOLD
 from legajo.session import new_path, written_table
 from legajo.sources import derived, exports, files
 from legajo.sources.registry import built_in_registry, registry_patterns
-from legajo.sources.tables import business_docs, table
+from legajo.sources.tables import business_docs, long_texts, table
 from legajo.streaming import ingest as streaming
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -101,7 +101,7 @@ QUERIES["commercial_scores"] = _votes_of("commercial")
 @query
 def keyword_scores_documents(spark, sf):
     """Keyword method over the long multilingual texts."""
-    voted = classify.rule_votes(table(spark, sf, "documents").select("doc_id", "text"), ["keyword"])
+    voted = classify.rule_votes(long_texts(spark, sf).select("doc_id", "text"), ["keyword"])
     return voted.select("doc_id", F.col("keyword.type").alias("type"), r6("keyword.confidence").alias("confidence"))
 
 
@@ -660,19 +660,19 @@ def nb_train(spark, sf):
 
 @query
 def nb_predict(spark, sf):
-    done = bayes.predict(table(spark, sf, "documents"), label_model(spark, sf))
+    done = bayes.predict(long_texts(spark, sf), label_model(spark, sf))
     return done.select("doc_id", "type", r6("confidence").alias("confidence"))
 
 
 @query
 def nb_probabilities(spark, sf):
-    done = bayes.probabilities(table(spark, sf, "documents"), label_model(spark, sf))
+    done = bayes.probabilities(long_texts(spark, sf), label_model(spark, sf))
     return done.select("doc_id", "label", r6("probability").alias("probability"))
 
 
 @query
 def nb_probability_map(spark, sf):
-    done = bayes.probability_map(table(spark, sf, "documents"), label_model(spark, sf))
+    done = bayes.probability_map(long_texts(spark, sf), label_model(spark, sf))
     return done.select(
         "doc_id", r6(F.element_at("probabilities", "0")).alias("p0"), r6(F.element_at("probabilities", "1")).alias("p1")
     )

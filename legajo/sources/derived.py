@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from legajo.rules.types import UNKNOWN
-from legajo.sources.tables import business_docs, table
+from legajo.sources.tables import business_docs, long_texts, table
 
 # One file per order: sizes and page counts on both sides of every limit, some other extensions,
 # password-protected files and files with little or no text.
@@ -88,5 +88,5 @@ def corrections(catalog: DataFrame) -> DataFrame:
 
 def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with a quality label."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = long_texts(spark, sf_dir).select("doc_id", "text")
     return docs.join(table(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("string").alias("label")), "doc_id")
