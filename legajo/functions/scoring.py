@@ -148,12 +148,15 @@ def structure_flags(t: tx.ScannedText) -> dict[str, str]:
 # ---------------------------------------------------------------- domain methods
 
 
-def domain_dictionary(rules) -> set[str]:
+def domain_patterns(rules) -> list[str]:
     exprs = [p for spec in rules.TYPES.values() for p in spec["patterns"]]
-    exprs += [p for group in rules.ELEMENTS.values() for p in group]
+    return exprs + [p for group in rules.ELEMENTS.values() for p in group]
+
+
+def domain_dictionary(rules) -> set[str]:
     terms = [k for spec in rules.TYPES.values() for k in spec["keywords"]]
     terms += [term for _, _, _, names in rules.BONUS for term in names]
-    return tx.dictionary(exprs, terms)
+    return tx.dictionary(domain_patterns(rules), terms)
 
 
 def _repeat_sum(points: float, times: int) -> float:

@@ -185,6 +185,11 @@ def dictionary(patterns: Iterable[str] = (), terms: Iterable[str] = ()) -> set[s
     return {t.lower() for t in terms} | {x for p in patterns for x in guard_literals(lowered(p))}
 
 
+def unguarded(patterns: Iterable[str]) -> list[str]:
+    """Lower-cased patterns without a literal that every match contains."""
+    return [p for p in dict.fromkeys(lowered(x) for x in patterns) if not guard_literals(p)]
+
+
 WORD_BITS = 62
 
 
@@ -249,13 +254,14 @@ class ScannedText:
     def __init__(self, scan: Scan):
         self._scan = scan
 
-    def has_known(self) -> str:
-        """Whether any dictionary literal occurs.
+    def may_score(self, unguarded: Iterable[str] = ()) -> str:
+        """Whether any dictionary literal occurs, or any pattern that has no literal to look for.
 
-        A higher-order function also keeps its projection out of whole-stage code generation, whose
+        The higher-order function also keeps its projection out of whole-stage code generation, whose
         single method cannot hold hundreds of rules; the projection is then compiled in small methods.
         """
-        return "exists(_bits, word -> word != 0)"
+        tests = [f"rlike({self.folded}, {quoted(MULTILINE + p)})" for p in unguarded]
+        return one_of(["exists(_bits, word -> word != 0)", *tests])
 
     def has_any(self, literals: Iterable[str]) -> str:
         """Whether any of these dictionary literals occurs."""

@@ -12,37 +12,40 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from legajo.functions import scoring as sc
-from legajo.functions.text import SCAN_COLUMNS, Scan, dictionary
+from legajo.functions.text import SCAN_COLUMNS, Scan, dictionary, unguarded
 from legajo.rules import agro, commercial, patterns, types
+from legajo.rules.edit import Rules
 
 RULE_METHODS = ("keyword", "regex", "agro", "commercial")
 DOMAINS = {"agro": agro, "commercial": commercial}
 
 
-def _literals(method: str) -> set[str]:
-    if method == "keyword":
-        return sc.keyword_dictionary()
-    if method == "regex":
-        return sc.pattern_dictionary()
-    return sc.domain_dictionary(DOMAINS[method])
+def rule_votes(
+    docs: DataFrame, methods: Sequence[str] = RULE_METHODS, keywords: Rules = types.TYPE_KEYWORDS,
+    exprs: Rules = patterns.TYPE_PATTERNS,
+) -> DataFrame:
+    """Add one ``struct<type, confidence>`` column per method; the text is scanned once for all.
 
-
-def rule_votes(docs: DataFrame, methods: Sequence[str] = RULE_METHODS) -> DataFrame:
-    """Add one ``struct<type, confidence>`` column per method; the text is scanned once for all."""
-    scan = Scan(x for m in methods for x in _literals(m))
+    ``keywords`` and ``exprs`` replace the rule tables of the keyword and the pattern method.
+    """
+    known = {"keyword": sc.keyword_dictionary(keywords), "regex": sc.pattern_dictionary(exprs)}
+    known |= {name: sc.domain_dictionary(rules) for name, rules in DOMAINS.items()}
+    scan = Scan(x for m in methods for x in known[m])
     scanned, t = scan.add_to(docs, types.OPENING_WORDS if "keyword" in methods else 0)
-    best = {"_known": t.has_known()}
+    tested = [p for group in exprs.values() for p in group] if "regex" in methods else []
+    tested += [p for m in methods if m in DOMAINS for p in sc.domain_patterns(DOMAINS[m])]
+    best = {"_may_score": t.may_score(unguarded(tested))}
     for m in methods:
         if m == "keyword":
-            best["_keyword"] = sc.keyword_best(t)
+            best["_keyword"] = sc.keyword_best(t, keywords)
         elif m == "regex":
-            best["_regex"] = sc.pattern_best(t)
+            best["_regex"] = sc.pattern_best(t, exprs)
         else:
             best[f"_{m}"] = sc.domain_best(t, DOMAINS[m])
             best[f"_{m}_bonus"] = sc.domain_bonus(t, DOMAINS[m])
     kept = [F.col(c) for c in docs.columns]
     scored = scanned.select(*kept, *[F.expr(sql).alias(name) for name, sql in best.items()])
-    known = F.col("_known")
+    may_score = F.col("_may_score")
     votes = []
     for m in methods:
         b = F.col(f"_{m}")
@@ -50,7 +53,7 @@ def rule_votes(docs: DataFrame, methods: Sequence[str] = RULE_METHODS) -> DataFr
             vote = sc.keyword_decision(b)
         else:
             vote = sc.scored_decision(b, F.col(f"_{m}_bonus") if m in DOMAINS else None)
-        votes.append(F.when(known, vote).otherwise(sc.no_vote()).alias(m))
+        votes.append(F.when(may_score, vote).otherwise(sc.no_vote()).alias(m))
     return scored.select(*kept, *votes)
 
 

@@ -81,7 +81,7 @@ def detect_supplier(docs: DataFrame, registry: DataFrame, threshold: float = rul
             f"named_struct('score', {_score(t, r)}, 'rank', {-r.ord}, 'id', {tx.quoted(r.supplier_id)})" for r in rows
         )
         name = f"_supplier_{n}"
-        best_here = f"CASE WHEN {t.has_known()} THEN array_max(array({entries})) END"
+        best_here = f"CASE WHEN {t.may_score()} THEN array_max(array({entries})) END"
         docs = scanned.select(*kept, *best, F.expr(best_here).alias(name))
         best.append(name)
     if not best:

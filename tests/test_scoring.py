@@ -11,7 +11,7 @@ from legajo.functions import text as tx
 from legajo.operators import catalog as cat
 from legajo.operators import classify
 from legajo.operators.suppliers import detect_supplier
-from legajo.rules import agro, commercial, patterns, types
+from legajo.rules import agro, commercial, edit, patterns, types
 from legajo.sources.registry import built_in_registry
 
 
@@ -114,3 +114,21 @@ def test_fixed_rounds_like_the_exact_value(spark):
     values = [k / 64 for k in range(65)] + [k / 1000 for k in range(1001)]
     rows = spark.createDataFrame([(v,) for v in values], "x double").select("x", tx.fixed(F.col("x"), 2).alias("s"))
     assert all(r.s == f"{r.x:.2f}" for r in rows.collect())
+
+
+def test_edited_rules(spark):
+    keywords = edit.with_type(types.TYPE_KEYWORDS, "polizas", ["póliza", "aseguradora"])
+    assert edit.with_updated_type(keywords, "nada", ["x"]) == keywords
+    keywords = edit.with_updated_type(keywords, "remitos", ["bulto"])
+    exprs = edit.with_pattern(patterns.TYPE_PATTERNS, "polizas", r"P[ÓO]LIZA\s+\d+")
+    with pytest.raises(ValueError):
+        edit.with_pattern(exprs, "polizas", "(")
+    docs = spark.createDataFrame([(1, "Póliza 77 de la ASEGURADORA"), (2, "remito remito")], "doc_id int, text string")
+    rows = {r.doc_id: r for r in classify.rule_votes(docs, ["keyword", "regex"], keywords, exprs).collect()}
+    assert rows[1].keyword.type == "polizas" and rows[1].regex.type == "polizas"
+    assert rows[1].regex.confidence == pytest.approx(1 / 3)
+    assert rows[2].keyword.confidence == 0
+    digits = edit.with_pattern({}, "numeros", r"\d\d")
+    only = classify.rule_votes(spark.createDataFrame([(1, "12 34"), (2, "x")], "doc_id int, text string"), ["regex"], exprs=digits)
+    assert {r.doc_id: (r.regex.type, r.regex.confidence) for r in only.collect()} == {
+        1: ("numeros", pytest.approx(2 / 3)), 2: ("desconocido", 0.0)}

@@ -34,6 +34,6 @@ EDGE = [
     "nota\nde   crédito y nota de crédito", "aaaa", "línea uno\r\nremito n° 12\r\n",
     " ".join(["palabra"] * 99 + ["remito"]), " ".join(["palabra"] * 100 + ["remito"]),
     "granos granos granos cereales convenio acuerdo contrato", "kgs 5kg kg. átn tn ars pesos usd,",
-    "c.o.t. c.t.g cot", "İstanbul straße FACTURA ſ",
+    "c.o.t. c.t.g cot", "c.o.t.", "C.T.G", "İstanbul straße FACTURA ſ",
 ]
 ALL = [t for t, _ in EXPECTED] + [GOLDEN] + LONG + EDGE
