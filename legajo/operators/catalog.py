@@ -280,7 +280,7 @@ def confidence_by_type(catalog: DataFrame) -> DataFrame:
 
 def recent_count(catalog: DataFrame, as_of: datetime) -> DataFrame:
     """Documents processed in the 24 hours before ``as_of``."""
-    start = F.lit(as_of).cast("timestamp_ntz") - F.expr("INTERVAL 1 DAY")
+    start = F.lit(as_of.isoformat(sep=" ")).cast("timestamp_ntz") - F.expr("INTERVAL 1 DAY")
     return catalog.filter(F.col("fecha_procesado") > start).agg(F.count("*").alias("recent_documents"))
 
 

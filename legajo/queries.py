@@ -36,6 +36,11 @@ def query(function: Query) -> Query:
     return function
 
 
+def moment(value: datetime) -> Column:
+    """A time that does not depend on the session's time zone."""
+    return F.lit(value.isoformat(sep=" ")).cast("timestamp_ntz")
+
+
 def r6(column: Column | str) -> Column:
     return F.round(F.col(column) if isinstance(column, str) else column, 6)
 
@@ -180,7 +185,7 @@ _extracted("document_number", md.document_number)
 
 @query
 def meta_all(spark, sf):
-    m = business_docs(spark, sf).select("doc_id", md.metadata(F.col("text"), F.lit(AS_OF)).alias("m"))
+    m = business_docs(spark, sf).select("doc_id", md.metadata(F.col("text"), moment(AS_OF)).alias("m"))
     return m.select(
         "doc_id", "m.cuit", listed("m.dates").alias("dates"), listed("m.amounts").alias("amounts"), "m.supplier",
         "m.document_number", F.date_format("m.extracted_at", "yyyy-MM-dd HH:mm:ss").alias("extracted_at"),
@@ -575,7 +580,7 @@ def distinct_suppliers(spark, sf):
 
 def _processed(spark, sf) -> batch.Processed:
     return batch.process(
-        business_docs(spark, sf), derived.manifest(spark, sf), built_in_registry(spark), F.lit(QUARANTINE_AT),
+        business_docs(spark, sf), derived.manifest(spark, sf), built_in_registry(spark), moment(QUARANTINE_AT),
         store=lambda rows: written_table(spark, "processed", sf, lambda: rows, ("tipo",)),
     )
 
@@ -784,14 +789,14 @@ def validation_errors_by_kind(spark, sf):
 
 @query
 def quarantine_rows(spark, sf):
-    rows = validation.quarantine_rows(validation.validate(derived.manifest(spark, sf)), F.lit(QUARANTINE_AT))
+    rows = validation.quarantine_rows(validation.validate(derived.manifest(spark, sf)), moment(QUARANTINE_AT))
     return rows.select("path", "quarantine_name", F.get_json_object("report", "$.errors[0]").alias("first_error"))
 
 
 @query
 def quarantine_summary(spark, sf):
     validated = validation.validate(derived.manifest(spark, sf))
-    return validation.quarantine_summary(validation.quarantine_rows(validated, F.lit(QUARANTINE_AT)))
+    return validation.quarantine_summary(validation.quarantine_rows(validated, moment(QUARANTINE_AT)))
 
 
 @query
@@ -962,11 +967,13 @@ def stream_ingest(spark, sf):
 def stream_daily_counts(spark, sf):
     """Daily counts per event type on the stream, from the same function as on the table."""
     source, target = new_path(spark, "events"), new_path(spark, "daily")
-    events = table(spark, sf, "events").select(F.col("ts").cast("timestamp").alias("ts"), "event_type")
+    utc = F.concat(F.col("ts").cast("timestamp_ntz").cast("string"), F.lit("Z")).cast("timestamp")
+    events = table(spark, sf, "events").select(utc.alias("ts"), "event_type")
     events.write.parquet(source)
     stream = spark.readStream.schema("ts timestamp, event_type string").parquet(source)
     run = streaming.daily_counts(stream, "ts", "event_type").writeStream.outputMode("complete").foreachBatch(
         lambda df, _: df.write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(target)
     ).option("checkpointLocation", new_path(spark, "daily-state")).trigger(availableNow=True).start()
     run.awaitTermination()
-    return spark.read.parquet(target).select(F.to_date("day").alias("day"), "event_type", "n")
+    day = F.date_from_unix_date(F.floor(F.unix_seconds("day") / 86400).cast("int"))
+    return spark.read.parquet(target).select(day.alias("day"), "event_type", "n")
