@@ -54,6 +54,8 @@ class Coder:
         self.tokens = [""] * (max(vocabulary.values()) + 1)
         for token, i in vocabulary.items():
             self.tokens[i] = token
+        #: Special tokens are looked for in the text itself, so a window must hold one and what stands before it.
+        self.longest = max((len(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()), default=0)
         self.words: dict[str, bytes] = {}
 
     def learn(self, words: set[str]) -> None:
@@ -131,7 +133,7 @@ def joined(coder: Coder, left: Part, right: Part) -> Part:
     Byte-pair tokens are right if each pair of neighbours is what their text gives alone. Every pair of the result
     stands in one of the three encodings, so the result is exact. At worst the window is the whole.
     """
-    text, width = left.text + right.text, WINDOW
+    text, width = left.text + right.text, max(WINDOW, 2 * coder.longest)
     while True:
         a, b = max(0, len(left.text) - width), min(len(right.text), width)
         while not can_cut(left.text, a):

@@ -4,7 +4,6 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
-import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
@@ -12,16 +11,7 @@ from tokenizers import Tokenizer
 from legajo.llm import packing
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
-
-
-@pytest.fixture(scope="module")
-def library():
-    return Tokenizer.from_file(PATH)
-
-
-@pytest.fixture(scope="module")
-def ids():
-    return packing.Ids(PATH)
+OWN, LIBRARY = packing.Ids(PATH), Tokenizer.from_file(PATH)
 
 
 PIECES = st.sampled_from([" ", "  ", "\n", "\t", "\r\n", "\x85", "\xa0", " ", "　", "\x1c", "\x1f", "ab", "don't", "It's", "'s", "12", "é", "—", "<|endoftext|>", "<|endof", "漢字", "́", "\x00", "🙂", "x" * 70])
@@ -30,14 +20,13 @@ PIECES = st.sampled_from([" ", "  ", "\n", "\t", "\r\n", "\x85", "\xa0", " ",
 @settings(max_examples=300, deadline=None)
 @given(st.lists(PIECES, max_size=12).map("".join))
 def test_ids_as_the_library(text):
-    own, library = packing.Ids(PATH), Tokenizer.from_file(PATH)
-    assert np.frombuffer(own.of(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(OWN.of(text), "<u4").tolist() == LIBRARY.encode(text, add_special_tokens=False).ids
 
 
-def test_white_space_of_every_character(ids, library):
+def test_white_space_of_every_character():
     for c in map(chr, [*range(0x20), *range(0x7F, 0xA1), 0x1680, 0x180E, *range(0x2000, 0x2010), 0x2028, 0x2029, 0x202F, 0x205F, 0x2060, 0x3000, 0xFEFF]):
         for text in (f"a{c}b", f"a {c}b", f"a{c} b", f"a{c}{c}b", f"{c}", f"a{c}"):
-            assert np.frombuffer(ids.of(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
+            assert np.frombuffer(OWN.of(text), "<u4").tolist() == LIBRARY.encode(text, add_special_tokens=False).ids, repr(text)
 
 
 def apply(sizes, capacity):
@@ -83,7 +72,7 @@ def test_sweep_of_millions():
     assert used <= 1.001 * total / 2048 + 2 and len(runs) < 100_000
 
 
-def test_packed_documents(spark, library):
+def test_packed_documents(spark):
     rnd = random.Random(4)
     texts = [None, "", " ", "<|endoftext|>", "long " * 5000, "x" * 9000] + [" ".join(rnd.choices("some words of text, é and\nlines".split(" "), k=rnd.randrange(1, 300))) for _ in range(120)]
     rows = list(enumerate(texts)) + [(None, "no id"), (3, "<|endoftext|>"), (3, "<|endoftext|>")]
@@ -91,7 +80,7 @@ def test_packed_documents(spark, library):
     got = packing.packed(docs, PATH, capacity=256, with_ids=True).collect()
     want = []
     for i, t in rows:
-        ids = [*library.encode(t or "", add_special_tokens=False).ids, 0]
+        ids = [*LIBRARY.encode(t or "", add_special_tokens=False).ids, 0]
         cut, piece = len(ids) % 256 or 256, 0
         for start, end in [(0, cut), *((k, k + 256) for k in range(cut, len(ids), 256))]:
             want.append((i, piece, start, end - start, zlib.crc32(np.array(ids[start:end], "<u4").tobytes()), tuple(ids[start:end])))
