@@ -142,9 +142,12 @@ def fit(
     n = {r["slot"]: r["n"] for r in seen}  # SLOTS + 1 numbers
     idf = np.log((1 + n[SLOTS]) / (1 + np.array([n.get(i, 0) for i in range(SLOTS)]))) + 0.1
 
-    names = spark.createDataFrame([(r["lang"],) for r in most], "lang string")
-    hashed = rows.select("id", "lang").join(F.broadcast(names), "lang").distinct()  # max_languages rows at most
-    order = F.row_number().over(_window("lang", F.xxhash64("id"), "id"))
+    # of a large language only twice as many rows as wanted are ordered, those of small hash
+    share = [(r["lang"], min(1.0, 2.0 * max_per_language / r["n"])) for r in most]
+    names = F.broadcast(spark.createDataFrame(share, "lang string, share double"))  # max_languages rows at most
+    small = F.pmod(F.xxhash64("id"), F.lit(1 << 40)) < F.col("share") * (1 << 40)
+    hashed = rows.select("id", "lang").join(names, "lang").where(small).distinct()
+    order = F.row_number().over(_window("lang", F.pmod(F.xxhash64("id"), F.lit(1 << 40)), "id"))
     chosen = hashed.withColumn("r", order).where(F.col("r") <= max_per_language).select("id", "lang")
     ship(spark)
     sent = spark.sparkContext.broadcast(Model((), np.zeros(0, int), np.zeros((0, SLOTS)), np.zeros(0), idf))
