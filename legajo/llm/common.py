@@ -5,10 +5,11 @@ from __future__ import annotations
 import os
 import tempfile
 import zipfile
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -56,6 +57,51 @@ def with_columns(schema: T.StructType, new: list[T.StructField]) -> T.StructType
     return T.StructType([f for f in schema.fields if f.name.lower() not in names] + new)
 
 
+class Memory:
+    """What ``encode`` gives for words, kept in two generations of about ``limit`` words: when the newer is full, it
+    becomes the older, so frequent words stay and memory is bounded. Words of over ``LONG`` characters are not kept."""
+
+    LONG = 64
+
+    def __init__(self, encode: Callable[[list[str]], Iterable[bytes]], limit: int) -> None:
+        self.encode, self.limit = encode, limit
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.long: list[str] = []
+
+    def of(self, words: set[str]) -> dict[str, bytes]:
+        """A dictionary that holds all of ``words``, good until the next call."""
+        for w in self.long:
+            del self.new[w]
+        if len(self.new) > self.limit:
+            self.old, self.new = self.new, {}
+        missing = words.difference(self.new)
+        again = [w for w in missing if w in self.old]
+        self.new.update((w, self.old[w]) for w in again)
+        unknown = list(missing.difference(again))
+        self.new.update(zip(unknown, self.encode(unknown), strict=True))
+        self.long = [w for w in unknown if len(w) > self.LONG]
+        return self.new
+
+
+#: Characters of text, or list values, that a task works on between two batches that leave it.
+STEP = 1 << 21
+
+
+def steps(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """``batch`` in slices of about ``STEP`` bytes (or list values) in ``column``, of one row at least."""
+    values = batch.column(column)
+    count = pc.list_value_length(values) if pa.types.is_list(values.type) else pc.binary_length(values)
+    start = total = 0
+    for i, n in enumerate(count.fill_null(0).to_pylist()):
+        total += n
+        if total >= STEP:
+            yield batch.slice(start, i + 1 - start)
+            start, total = i + 1, 0
+    if start < batch.num_rows:
+        yield batch.slice(start)
+
+
 def ranked(df: DataFrame, name: str, *order: str | Column) -> DataFrame:
     """``df`` with ``pos``, its place (from 0) in the total order ``order``.
 

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import os
 import re
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from functools import cache
+from itertools import chain
 from zlib import crc32
 
 import numpy as np
@@ -13,53 +16,56 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from legajo.llm.common import checked, map_arrow, ranked, ship, stored
+from legajo.llm.common import Memory, checked, map_arrow, ranked, ship, steps, stored
 
 #: White space as the vocabulary's pre-tokenizer sees it (the Unicode property).
 SPACE = "\\t\\n\\x0b\\f\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 #: What the pre-tokenizer never joins: a word with the blank before it; white space but for that blank; the rest.
 CHUNKS = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
+#: Texts that can't simply be split at blanks: two kinds of white space in a row, at an end, or unusual separators.
 ODD = re.compile(f"[{SPACE}\\x1c-\\x1f][{SPACE}\\x1c-\\x1f]|^ | $|[\\x1c-\\x1f]")
-#: Chunks whose ids a task remembers at once; then it starts anew.
-REMEMBERED = 300_000
+#: Chunks whose ids a worker remembers, in each of two generations.
+REMEMBERED = 250_000
 
 
-class Ids(dict):
-    """Chunk to its token ids as little-endian 32-bit numbers; a chunk's ids do not depend on its neighbours."""
+class Ids:
+    """Token ids of texts as little-endian 32-bit numbers. A chunk's ids do not depend on its neighbours, so a
+    text's ids are those of its chunks, of which the frequent ones are remembered."""
 
     def __init__(self, path: str) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task for each core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.special = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
+        special = sorted((t.content for t in self.tokenizer.get_added_tokens_decoder().values()), key=len, reverse=True)
+        self.special = re.compile("(" + "|".join(map(re.escape, special)) + ")") if special else None
+        self.memory = Memory(self.encoded, REMEMBERED)
 
-    def encoded(self, chunk: str) -> bytes:
-        return np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
+    def encoded(self, chunks: list[str]) -> Iterator[bytes]:
+        return (np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False))
 
-    def __missing__(self, chunk: str) -> bytes:
-        ids = self.encoded(chunk)
-        if len(self) >= REMEMBERED:
-            self.clear()
-        if len(chunk) <= 64:
-            self[chunk] = ids
-        return ids
+    def chunks(self, text: str) -> list[str]:
+        """Pieces that, put together, are the text; special tokens stand alone."""
+        if self.special is None or not self.special.search(text):
+            return self.plain(text)
+        return [c for i, p in enumerate(self.special.split(text)) for c in ([p] if i % 2 else self.plain(p))]
 
-    def plain(self, text: str) -> bytes:
+    def plain(self, text: str) -> list[str]:
         if ODD.search(text):
-            return b"".join(map(self.__getitem__, CHUNKS.findall(text)))
-        first, *rest = text.split(" ")
-        return (self[first] if first else b"") + b"".join([self[" " + w] for w in rest])
+            return CHUNKS.findall(text)
+        return text.replace(" ", "\0 ").split("\0") if "\0" not in text else CHUNKS.findall(text)
 
-    def of(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        if self.special is None or not self.special.search(text):
-            return self.plain(text)
-        parts = self.special.split(text)  # special tokens at odd places
-        return b"".join(self.encoded(p) if i % 2 else self.plain(p) for i, p in enumerate(parts) if p)
+    def of(self, texts: list[str | None]) -> list[bytes]:
+        chunks = [self.chunks(t) if t else [] for t in texts]
+        known = self.memory.of(set(chain.from_iterable(chunks)))
+        return [b"".join(map(known.__getitem__, c)) for c in chunks]
+
+
+@cache
+def ids_of(path: str) -> Ids:
+    return Ids(path)
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
@@ -69,11 +75,10 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, id_col: s
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Ids(tokenizer_path)
-        for b in batches:
+        for b in chain.from_iterable(steps(b, 1) for b in batches):
             took: tuple[list, ...] = ([], [], [], [], [], [])
-            for doc, text in enumerate(b.column(1)):
-                data = known.of(text.as_py()) + b"\0\0\0\0"
+            for doc, data in enumerate(ids_of(tokenizer_path).of(b.column(1).to_pylist())):
+                data += b"\0\0\0\0"
                 n = len(data) // 4
                 first = n % capacity or capacity
                 for k, end in enumerate(range(first, n + 1, capacity)):

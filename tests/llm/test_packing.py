@@ -20,13 +20,21 @@ PIECES = st.sampled_from([" ", "  ", "\n", "\t", "\r\n", "\x85", "\xa0", " ",
 @settings(max_examples=300, deadline=None)
 @given(st.lists(PIECES, max_size=12).map("".join))
 def test_ids_as_the_library(text):
-    assert np.frombuffer(OWN.of(text), "<u4").tolist() == LIBRARY.encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(OWN.of([text])[0], "<u4").tolist() == LIBRARY.encode(text, add_special_tokens=False).ids
+
+
+def test_memory_of_two_generations():
+    small = packing.Ids(PATH)
+    small.memory.limit = 3
+    for text in ("a b c d e f", "a b", "a x y z", "b c"):
+        assert np.frombuffer(small.of([text, None])[0], "<u4").tolist() == LIBRARY.encode(text, add_special_tokens=False).ids
+    assert len(small.memory.new) + len(small.memory.old) < 12
 
 
 def test_white_space_of_every_character():
     for c in map(chr, [*range(0x20), *range(0x7F, 0xA1), 0x1680, 0x180E, *range(0x2000, 0x2010), 0x2028, 0x2029, 0x202F, 0x205F, 0x2060, 0x3000, 0xFEFF]):
         for text in (f"a{c}b", f"a {c}b", f"a{c} b", f"a{c}{c}b", f"{c}", f"a{c}"):
-            assert np.frombuffer(OWN.of(text), "<u4").tolist() == LIBRARY.encode(text, add_special_tokens=False).ids, repr(text)
+            assert np.frombuffer(OWN.of([text])[0], "<u4").tolist() == LIBRARY.encode(text, add_special_tokens=False).ids, repr(text)
 
 
 def apply(sizes, capacity):
