@@ -16,16 +16,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from legajo.llm.common import checked, map_arrow, ship, stored, with_columns
+from legajo.llm.common import Memory, checked, map_arrow, ship, steps, stored, with_columns
 
 #: Characters above which a text is cut into parts that tasks encode in parallel.
 LEAF = 1 << 16
 #: Characters on each side of a join that are encoded anew at first.
 WINDOW = 64
-#: Words whose ids a worker remembers at once; then it starts anew.
-REMEMBERED = 400_000
-#: Characters encoded between two batches that leave a task.
-STEP = 1 << 21
+#: Words whose ids a worker remembers, in each of two generations.
+REMEMBERED = 120_000
 #: Separators that str.split() takes for white space and the vocabulary does not.
 SEPARATORS = ("\x1c", "\x1d", "\x1e", "\x1f")
 
@@ -56,23 +54,17 @@ class Coder:
             self.tokens[i] = token
         #: Special tokens are looked for in the text itself, so a window must hold one and what stands before it.
         self.longest = max((len(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()), default=0)
-        self.words: dict[str, bytes] = {}
+        self.memory = Memory(self.encoded, REMEMBERED)
 
-    def learn(self, words: set[str]) -> None:
-        new = list(words.difference(self.words))
-        if len(self.words) + len(new) > REMEMBERED:
-            self.words = {}
-            new = list(words)
-        for word, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.words[word] = np.array(e.ids, "<u4").tobytes()
+    def encoded(self, words: list[str]) -> Iterator[bytes]:
+        return (np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False))
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         split = [None if t and any(s in t for s in SEPARATORS) else (t or "").split() for t in texts]
-        self.learn(set(chain.from_iterable(w for w in split if w)))
-        known = self.words
+        known = self.memory.of(set(chain.from_iterable(w for w in split if w)))
         return [
             np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4") if w is None
-            else np.frombuffer(b"".join([known[x] for x in w]), "<u4")
+            else np.frombuffer(b"".join(map(known.__getitem__, w)), "<u4")
             for t, w in zip(texts, split, strict=True)
         ]
 
@@ -220,26 +212,6 @@ def encoded(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
     return short.unionAll(keyed.select("doc_id", "key").join(_long_ids(keyed.select("key", "text"), path, leaf), "key").select("doc_id", "ids"))
 
 
-def steps(batch: pa.RecordBatch, text: int) -> Iterator[pa.RecordBatch]:
-    """``batch`` in slices of about ``STEP`` characters (or list values) in column ``text``."""
-    lengths = sizes(batch.column(text))
-    start = total = 0
-    for i, n in enumerate(lengths.tolist()):
-        total += n
-        if total >= STEP:
-            yield batch.slice(start, i + 1 - start)
-            start, total = i + 1, 0
-    if start < batch.num_rows:
-        yield batch.slice(start)
-
-
-def sizes(column: pa.Array) -> np.ndarray:
-    import pyarrow.compute as pc
-
-    count = pc.list_value_length(column) if pa.types.is_list(column.type) else pc.binary_length(column)
-    return count.fill_null(0).to_numpy(zero_copy_only=False)
-
-
 def decoded(tokens: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
     """``tokens`` with ``decoded``, the text that the tokenizer gives for ``ids_col`` (special tokens included); null
     ids give null. A column of that name gives way to the new one."""

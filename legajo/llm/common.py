@@ -19,8 +19,16 @@ from legajo.session import new_path
 _SHIPPED: set[str] = set()
 
 
+#: Rows of a batch that goes to Python: texts are long, and ten thousand of them (the default) take much memory.
+BATCH_ROWS = 1_000
+BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def ship(spark: SparkSession) -> None:
-    """Give the executors this package, so that functions of it can run there. Once per application."""
+    """Give the executors this package, so that functions of it can run there, once per application; and make
+    batches smaller where the session has the default."""
+    if spark.conf.get(BATCH_SETTING) == "10000":
+        spark.conf.set(BATCH_SETTING, BATCH_ROWS)
     app = spark.sparkContext.applicationId
     if app in _SHIPPED:
         return
@@ -85,7 +93,7 @@ class Memory:
 
 
 #: Characters of text, or list values, that a task works on between two batches that leave it.
-STEP = 1 << 21
+STEP = 1 << 20
 
 
 def steps(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:

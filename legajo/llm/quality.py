@@ -18,7 +18,7 @@ from legajo.llm.common import checked, map_arrow, with_columns
 #: Hash slots of words; as many again for their shapes.
 SLOTS = 1 << 14
 #: Words whose slots a task remembers at once; then it starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 150_000
 #: Tokens of a text that are counted at once.
 BLOCK = 1 << 16
 
