@@ -21,7 +21,7 @@ from legajo.session import local_session  # noqa: E402
 from legajo.sources.tables import business_docs  # noqa: E402
 
 BUILDS = {
-    "build_docs": business_docs, "build_votes": q.votes, "build_catalog": q.catalog, "build_label_model": lambda s, d: q.label_model(s, d).terms,
+    "build_docs": business_docs, "build_catalog": q.catalog, "build_label_model": lambda s, d: q.label_model(s, d).terms,
 }
 HEADLINE = [
     "flagship_types_confidence", "keyword_scores", "regex_scores", "agro_scores", "commercial_scores",

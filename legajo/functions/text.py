@@ -8,7 +8,7 @@ lower-cased form is not recomputed per rule and the plan stays one small express
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache, reduce
 
 from pyspark.sql import Column, DataFrame
@@ -164,11 +164,77 @@ def _trie_pattern(literals: Iterable[str]) -> str:
     return render(tree)
 
 
+HEX_DIGITS = {"x": 2, "u": 4, "U": 8}
+
+
+def _lower(char: str, pattern: str) -> str:
+    low = char.lower()
+    if len(low) != 1:
+        raise ValueError(f"{char!r} has no single lower-case letter: {pattern}")
+    return low
+
+
+def _ranges(parsed) -> Iterator[tuple[int, int]]:
+    """Every character range in a parsed pattern."""
+    for item in parsed if isinstance(parsed, (list, tuple, _regex_parser.SubPattern)) else ():
+        if isinstance(item, tuple) and len(item) == 2 and str(item[0]) == "RANGE":
+            yield item[1]
+        else:
+            yield from _ranges(item)
+
+
+@lru_cache(maxsize=None)
 def lowered(pattern: str) -> str:
-    """The pattern for a lower-cased text."""
-    if re.search(r"\\[SDWB]", pattern):
-        raise ValueError(f"pattern with a negated class cannot be lower-cased: {pattern}")
-    return pattern.lower()
+    """The pattern that finds in a lower-cased text what ``pattern`` finds in the text regardless of case.
+
+    Only literals and ends of ranges change; classes, anchors and group names stay. Raises ``ValueError`` for
+    what has no such form: a range that holds letters of one case and other characters, named characters,
+    octal escapes, flags other than ``i m s x``.
+    """
+    for low, high in _ranges(_regex_parser.parse(pattern)):
+        want = {chr(c).lower() for c in range(low, high + 1)}
+        ends = ord(_lower(chr(low), pattern)), ord(_lower(chr(high), pattern))
+        if any(len(c) == 1 and not ends[0] <= ord(c) <= ends[1] for c in want) or (
+            ends != (low, high) and len(want) != ends[1] - ends[0] + 1
+        ):
+            raise ValueError(f"range {chr(low)}-{chr(high)} cannot be lower-cased: {pattern}")
+    out, i = [], 0
+    while i < len(pattern):
+        special = re.match(r"\(\?P<\w+>|\(\?P=\w+\)|\(\?[a-zA-Z]+(?:-[a-zA-Z]+)?[:)]", pattern[i:])
+        if pattern[i] == "\\":
+            kind = pattern[i + 1]
+            if kind in HEX_DIGITS:
+                end = i + 2 + HEX_DIGITS[kind]
+                out.append(re.escape(_lower(chr(int(pattern[i + 2 : end], 16)), pattern)))
+                i = end
+                continue
+            if kind == "N" or kind == "0" or re.match(r"[0-7]{3}", pattern[i + 1 :]):
+                raise ValueError(f"write the character instead of its name or octal number: {pattern}")
+            out.append(pattern[i : i + 2])
+            i += 2
+        elif special:
+            if special[0][2] != "P" and set(special[0][2:-1]) - set("imsx-"):
+                raise ValueError(f"flags {special[0]!r} are not known: {pattern}")
+            out.append(special[0])
+            i += len(special[0])
+        else:
+            out.append(_lower(pattern[i], pattern))
+            i += 1
+    return "".join(out)
+
+
+def java(pattern: str) -> str:
+    """The same pattern in the engine's syntax: groups by number, ``\\Z`` only at the very end."""
+    groups = re.compile(pattern).groupindex
+
+    def other(m: re.Match) -> str:
+        if m[0].startswith("(?P<"):
+            return "("
+        if m[0].startswith("(?P="):
+            return f"(?:\\{groups[m[0][4:-1]]})"
+        return "\\z" if m[0] == "\\Z" else m[0]
+
+    return re.sub(r"\\.|\(\?P<\w+>|\(\?P=\w+\)", other, pattern, flags=re.S)
 
 
 @lru_cache(maxsize=None)
@@ -260,7 +326,7 @@ class ScannedText:
         The higher-order function also keeps its projection out of whole-stage code generation, whose
         single method cannot hold hundreds of rules; the projection is then compiled in small methods.
         """
-        tests = [f"rlike({self.folded}, {quoted(MULTILINE + p)})" for p in unguarded]
+        tests = [f"rlike({self.folded}, {quoted(MULTILINE + java(p))})" for p in unguarded]
         return one_of(["exists(_bits, word -> word != 0)", *tests])
 
     def has_any(self, literals: Iterable[str]) -> str:
@@ -286,7 +352,7 @@ class ScannedText:
         p = lowered(pattern)
         if is_literal(p):
             return self.count(literal_text(p))
-        return self.guarded(pattern, f"regexp_count({self.folded}, {quoted(flags + p)})", "0")
+        return self.guarded(pattern, f"regexp_count({self.folded}, {quoted(flags + java(p))})", "0")
 
     def matches(self, pattern: str, flags: str = PLAIN) -> str:
         return self.matches_any([pattern], flags)
@@ -296,7 +362,7 @@ class ScannedText:
         words = [literal_text(p) for p in plain if is_literal(p)]
         tests = [self.has_any(words)] if words else []
         tests += [
-            self.guarded(p, f"rlike({self.folded}, {quoted(flags + p)})", "false")
+            self.guarded(p, f"rlike({self.folded}, {quoted(flags + java(p))})", "false")
             for p in plain if not is_literal(p)
         ]
         return one_of(tests)
@@ -310,7 +376,7 @@ class ScannedText:
         joined by a space when there are several."""
         groups = re.compile(pattern).groups
         parts = [
-            f"regexp_extract_all({self.text}, {quoted(flags + pattern)}, {g})"
+            f"regexp_extract_all({self.text}, {quoted(flags + java(pattern))}, {g})"
             for g in (range(1, groups + 1) if groups else [0])
         ]
         return reduce(lambda a, b: f"zip_with({a}, {b}, (x, y) -> concat_ws(' ', x, y))", parts)

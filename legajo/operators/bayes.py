@@ -16,6 +16,10 @@ from legajo.functions import text as tx
 from legajo.rules import training as rules
 
 
+#: Hexadecimal digits of the id's hash that make a slot of the split: a million slots.
+SLOT_DIGITS = 5
+
+
 class BayesModel(NamedTuple):
     """``terms(term, idf, label, log_prob)`` and ``priors(label, log_prior)``."""
 
@@ -69,8 +73,27 @@ def weighted_terms(counts: DataFrame, idf: DataFrame) -> DataFrame:
     return raw.join(norms, "doc_id").select("doc_id", "term", (F.col("w") / F.col("norm")).alias("weight"))
 
 
+def training_part(samples: DataFrame) -> DataFrame:
+    """The samples a model is fitted on: those outside the test split, or all where there is none."""
+    return _part(samples, ~F.coalesce("is_test", F.lit(False)))
+
+
+def test_part(samples: DataFrame) -> DataFrame:
+    """The samples a model is scored on: the test split, or all where there is none."""
+    return _part(samples, F.coalesce("is_test", F.lit(True)))
+
+
+def _part(samples: DataFrame, condition: Column) -> DataFrame:
+    """Samples that already carry ``is_test`` are only filtered."""
+    if "is_test" in samples.columns:
+        return samples.filter(condition).drop("is_test")
+    flags = split(samples.select("doc_id", "label")).filter(condition)
+    return samples.join(flags.select("doc_id", "label").distinct(), ["doc_id", "label"], "left_semi")
+
+
 def train(samples: DataFrame, max_terms: int = rules.MAX_TERMS) -> BayesModel:
-    """Model of ``samples(doc_id, text, label)``."""
+    """Model of ``samples(doc_id, text, label)``, fitted on their training part."""
+    samples = training_part(samples)
     counts = term_counts(samples)
     idf = vocabulary(counts, samples, max_terms)
     labels = samples.select("doc_id", "label")
@@ -167,33 +190,36 @@ def class_counts(samples: DataFrame, minimum: int = rules.MIN_SAMPLES_PER_CLASS)
 
 
 def split(samples: DataFrame, share: float = rules.TEST_SHARE, seed: int = rules.SPLIT_SEED) -> DataFrame:
-    """Add ``is_test`` for a stratified split that depends only on the ids.
+    """``samples(doc_id, label, ...)`` with ``is_test`` for a stratified split that depends only on the ids.
 
-    Every row goes to one of 1024 hash slots. Per label, whole slots are taken in order until the
-    share is reached, then rows of one more slot by hash, so the largest sort holds 1/1024 of a label.
+    Per label the first ``share`` by a hash of the id is the test part. The hash's first digits make slots, which
+    are counted; all but one slot per label fall on one side as a whole, so only that slot's rows are ranked.
     With fewer than 20 samples there is no split and ``is_test`` is NULL.
     """
-    keyed = samples.withColumns({
-        "_h": F.xxhash64("doc_id", F.lit(seed)), "_slot": F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1024)),
-    })
+    digest = F.md5(F.concat_ws("-", F.col("doc_id").cast("string"), F.lit(str(seed))))
+    keyed = samples.withColumn("_h", digest).withColumn("_slot", F.substring("_h", 1, SLOT_DIGITS))
     slots = keyed.groupBy("label", "_slot").agg(F.count("*").alias("_n"))
     by_label = Window.partitionBy("label")
     before = F.sum("_n").over(by_label.orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1))
     plan = slots.select(
-        "label", "_slot", F.coalesce(before, F.lit(0)).alias("_before"),
+        "label", "_slot", "_n", F.coalesce(before, F.lit(0)).alias("_before"),
         F.round(F.sum("_n").over(by_label) * share).alias("_wanted"),
     )
     everything = samples.agg(F.count("*")).scalar()
+    placed = keyed.join(plan, ["label", "_slot"])
+    full, none = F.col("_before") + F.col("_n") <= F.col("_wanted"), F.col("_before") >= F.col("_wanted")
+    whole = placed.filter(full | none).withColumn("_test", full)
     order = Window.partitionBy("label", "_slot").orderBy("_h", "doc_id")
-    numbered = keyed.withColumn("_rank", F.row_number().over(order)).join(plan, ["label", "_slot"])
-    test = F.col("_before") + F.col("_rank") <= F.col("_wanted")
-    return numbered.withColumn("_all", everything).select(
-        *samples.columns, F.when(F.col("_all") >= rules.SPLIT_FROM, test).alias("is_test")
+    edge = placed.filter(~full & ~none).withColumn(
+        "_test", F.col("_before") + F.row_number().over(order) <= F.col("_wanted")
+    )
+    return whole.unionByName(edge).withColumn("_all", everything).select(
+        *samples.columns, F.when(F.col("_all") >= rules.SPLIT_FROM, F.col("_test")).alias("is_test")
     )
 
 
 def accuracy(predicted: DataFrame, samples: DataFrame) -> DataFrame:
-    """Share of samples whose prediction equals the label."""
+    """Share of samples whose prediction equals the label; pass ``test_part`` for rows the model has not seen."""
     hits = samples.join(predicted, "doc_id").select((F.col("type") == F.col("label")).cast("double").alias("hit"))
     return hits.agg(F.count("*").alias("samples"), F.avg("hit").alias("accuracy"))
 

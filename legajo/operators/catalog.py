@@ -7,6 +7,7 @@ from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from legajo.functions import metadata as md
 from legajo.functions import text as tx
@@ -16,7 +17,7 @@ from legajo.operators.suppliers import detect_supplier
 from legajo.rules import catalog as rules
 from legajo.rules import ensemble
 from legajo.rules.types import UNKNOWN
-from legajo.sources.registry import registry_patterns
+from legajo.sources.registry import built_in_registry, built_in_rows, registry_patterns
 
 DETAILS = (
     "struct<method_results:map<string,struct<type:string,confidence:double>>,"
@@ -35,16 +36,19 @@ SCHEMA = (
 
 
 def classify(
-    docs: DataFrame, registry: DataFrame, methods: Sequence[str] = RULE_METHODS,
+    docs: DataFrame, registry: DataFrame | None = None, methods: Sequence[str] = RULE_METHODS,
     extra_votes: Mapping[str, DataFrame] | None = None,
     weights: Mapping[str, float] = ensemble.WEIGHTS,
 ) -> DataFrame:
     """Vote columns, supplier, final type and confidence for ``docs(doc_id, text, ...)``.
 
     ``extra_votes`` adds methods computed elsewhere as ``doc_id, type, confidence`` (Naive Bayes,
-    layout, or any user-defined scorer with a weight); they join without the text.
+    layout, or any user-defined scorer); they join without the text and vote like the built-in ones.
+    Every method needs an entry in ``weights``. ``registry``: a table, joined; without one the built-in
+    suppliers, compiled into the plan.
     """
-    voted = detect_supplier(rule_votes(docs, methods), registry)
+    voted = detect_supplier(rule_votes(docs, methods), built_in_rows() if registry is None else registry)
+    registry = built_in_registry(docs.sparkSession) if registry is None else registry
     names = list(methods)
     for name, votes in (extra_votes or {}).items():
         vote = votes.select("doc_id", F.struct(F.col("type"), F.col("confidence").cast("double").alias("confidence")).alias(name))
@@ -53,12 +57,24 @@ def classify(
         )
         names.append(name)
     decided = consensus.decide(voted, names, registry_patterns(registry), weights)
-    used = F.array(*[F.lit(m) for m in ensemble.RUN_ORDER if m in names])
+    used = F.array(*[F.lit(m) for m in ensemble.run_order(names)])
     return decided.withColumn("methods_used", used)
 
 
-def catalog_rows(classified: DataFrame, methods: Sequence[str] = RULE_METHODS) -> DataFrame:
-    """Catalog rows of classified documents: first date and first amount, details kept typed."""
+def vote_columns(classified: DataFrame) -> list[str]:
+    """Methods that voted on these documents, by their ``struct<type, confidence>`` columns, in run order."""
+    shape = [("type", "string"), ("confidence", "double")]
+    return ensemble.run_order([
+        f.name for f in classified.schema
+        if isinstance(f.dataType, StructType) and [(x.name, x.dataType.simpleString()) for x in f.dataType] == shape
+    ])
+
+
+def catalog_rows(classified: DataFrame, methods: Sequence[str] | None = None) -> DataFrame:
+    """Catalog rows of classified documents: first date and first amount, details kept typed.
+
+    The details hold the votes of all methods that took part, unless ``methods`` names some."""
+    methods = vote_columns(classified) if methods is None else methods
     text = tx.text_or_empty(F.col("text"))
     meta = classified.withColumns({
         "_dates": md.dates(text), "_amounts": md.amounts(text), "cuit": md.tax_id(text),
@@ -159,13 +175,13 @@ def _all(tests: Sequence[Column]) -> Column:
 
 
 def page(
-    catalog: DataFrame, order_by: str = "fecha_procesado", descending: bool = True, skip: int = 0,
+    catalog: DataFrame, order_by: str = rules.DEFAULT_ORDER, descending: bool = True, skip: int = 0,
     limit: int = 50, allowed: Sequence[str] = tuple(rules.PAGE_ORDER),
 ) -> DataFrame:
     """One page in a total order: unknown order columns fall back, the id breaks ties."""
     if not 1 <= limit <= rules.PAGE_LIMIT:
         raise ValueError(f"limit must be between 1 and {rules.PAGE_LIMIT}")
-    column = order_by if order_by in allowed else "fecha_procesado"
+    column = order_by if order_by in allowed else rules.DEFAULT_ORDER
     key = F.col(column).desc_nulls_last() if descending else F.col(column).asc_nulls_first()
     return catalog.select(*rules.LIST_COLUMNS).orderBy(key, "id").offset(skip).limit(limit)
 

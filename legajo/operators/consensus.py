@@ -10,14 +10,14 @@ from pyspark.sql import functions as F
 from legajo.functions import text as tx
 from legajo.rules import ensemble as rules
 from legajo.rules.types import UNKNOWN
-from legajo.session import broadcast_if_small
+from legajo.session import broadcast_if_small, spread_nulls
 
 
 def votes_long(docs: DataFrame, methods: Sequence[str]) -> DataFrame:
     """One row per document and method: ``doc_id, method, method_ord, type, confidence``."""
     rows = F.array(*[
         F.struct(
-            F.lit(m).alias("method"), F.lit(rules.RUN_ORDER.index(m)).alias("method_ord"),
+            F.lit(m).alias("method"), F.lit(rules.run_order(methods).index(m)).alias("method_ord"),
             F.col(f"{m}.type").alias("type"), F.col(f"{m}.confidence").alias("confidence"),
         )
         for m in methods
@@ -26,21 +26,18 @@ def votes_long(docs: DataFrame, methods: Sequence[str]) -> DataFrame:
 
 
 def consensus_stats(votes: DataFrame) -> DataFrame:
-    """Per document and type: votes, share of all votes, mean and highest confidence, methods."""
-    active = votes.filter(F.col("confidence") > rules.VOTE_MINIMUM)
-    per_type = active.groupBy("doc_id", "type").agg(
-        F.count("*").alias("vote_count"),
-        F.avg("confidence").alias("avg_confidence"),
-        F.max("confidence").alias("max_confidence"),
-        F.min("method_ord").alias("first_ord"),
-        F.sort_array(F.collect_list(F.struct("method_ord", "method"))).alias("_m"),
-    )
-    total = active.groupBy("doc_id").agg(F.count("*").alias("_total"))
-    return per_type.join(total, "doc_id").select(
-        "doc_id", "type", "vote_count",
-        (F.col("vote_count") / F.col("_total")).alias("vote_percentage"),
-        "avg_confidence", "max_confidence", "first_ord",
-        F.transform("_m", lambda m: m["method"]).alias("supporting_methods"),
+    """Per document and type: votes, share of all votes, mean and highest confidence, methods. One grouping by
+    document, of a handful of votes each; the types are told apart within the row."""
+    vote = F.struct("method_ord", "method", "type", "confidence")
+    active = votes.filter(F.col("confidence") > rules.VOTE_MINIMUM).groupBy("doc_id").agg(F.sort_array(F.collect_list(vote)).alias("_all"))
+    types = active.select("doc_id", "_all", F.explode(F.array_distinct(F.transform("_all", lambda v: v["type"]))).alias("type"))
+    own = types.withColumn("_own", F.filter("_all", lambda v: v["type"].eqNullSafe(F.col("type"))))
+    points = F.aggregate("_own", F.lit(0.0), lambda total, v: total + v["confidence"])
+    return own.select(
+        "doc_id", "type", F.size("_own").cast("bigint").alias("vote_count"),
+        (F.size("_own") / F.size("_all")).alias("vote_percentage"), (points / F.size("_own")).alias("avg_confidence"),
+        F.array_max(F.transform("_own", lambda v: v["confidence"])).alias("max_confidence"),
+        F.col("_own")[0]["method_ord"].alias("first_ord"), F.transform("_own", lambda v: v["method"]).alias("supporting_methods"),
     )
 
 
@@ -58,10 +55,11 @@ def best_consensus(stats: DataFrame) -> DataFrame:
 
 
 def weighted_scores(votes: DataFrame, weights: Mapping[str, float] = rules.WEIGHTS) -> DataFrame:
-    """Sum of confidence times weight per document and type."""
-    weight = F.element_at(F.create_map(*[F.lit(x) for kv in weights.items() for x in kv]), F.col("method"))
+    """Sum of confidence times weight per document and type; a method without a weight is an error."""
+    known = F.try_element_at(F.create_map(*[F.lit(x) for kv in weights.items() for x in kv]), F.col("method"))
+    weight = F.coalesce(known, F.raise_error(F.concat(F.lit("no weight for method "), "method")).cast("double"))
     return (
-        votes.filter((F.col("confidence") > 0) & F.col("method").isin(*weights))
+        votes.filter(F.col("confidence") > 0)
         .groupBy("doc_id", "type").agg(F.sum(F.col("confidence") * weight).alias("score"))
     )
 
@@ -70,7 +68,10 @@ class _Votes:
     """Vote columns of one row, compared pairwise; a handful of methods needs no grouping."""
 
     def __init__(self, methods: Sequence[str], weights: Mapping[str, float]):
-        self.run = [m for m in rules.RUN_ORDER if m in methods]
+        missing = [m for m in methods if m not in weights]
+        if missing:
+            raise ValueError(f"no weight for {missing}")
+        self.run = rules.run_order(methods)
         self.weighted = [m for m in weights if m in methods]
         self.weights = weights
 
@@ -163,7 +164,7 @@ def decide(
         broadcast_if_small(boosts.select(
             F.col("supplier_id").alias("_sid"), F.col("doc_type").alias("_st"), F.col("confidence_boost").alias("_boost")
         )),
-        (F.col("supplier_id") == F.col("_sid")) & (F.col("_lead") == F.col("_st")), "left",
+        (spread_nulls("supplier_id", "doc_id") == F.col("_sid")) & (F.col("_lead") == F.col("_st")), "left",
     )
     share = F.col("_best.vote_count") / F.size("_active")
     staged = staged.withColumns({

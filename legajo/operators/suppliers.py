@@ -2,30 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from legajo.functions import text as tx
 from legajo.rules import suppliers as rules
-from legajo.session import broadcast_if_small
+from legajo.session import broadcast_if_small, spread_nulls
 from legajo.sources.registry import registry_patterns
 
-# Suppliers compiled into one projection; a larger registry takes several projections.
-SLICE = 200
-
-
-def _slices(registry: DataFrame) -> Iterator[list[Row]]:
-    """Registry rows in order, a slice at a time."""
-    batch: list[Row] = []
-    for row in registry.orderBy("ord").toLocalIterator():
-        batch.append(row)
-        if len(batch) == SLICE:
-            yield batch
-            batch = []
-    if batch:
-        yield batch
+#: Characters of a term by which texts find it; a shorter term is found by all of its own.
+KEY = 4
 
 
 def _partial_words(name: str) -> list[str]:
@@ -71,25 +59,17 @@ def _score(t: tx.ScannedText, row: Row) -> str:
     return f"least({name} + {tax} + {pattern}, 1.0D)"
 
 
-def detect_supplier(docs: DataFrame, registry: DataFrame, threshold: float = rules.SUPPLIER_THRESHOLD) -> DataFrame:
-    """Add ``supplier_id`` (NULL when no supplier is sure enough) and ``supplier_confidence``."""
-    kept = list(docs.columns)
-    best: list[str] = []
-    for n, rows in enumerate(_slices(registry)):
-        scanned, t = tx.Scan(_literals(rows), upper=True).add_to(docs)
-        entries = ", ".join(
-            f"named_struct('score', {_score(t, r)}, 'rank', {-r.ord}, 'id', {tx.quoted(r.supplier_id)})" for r in rows
-        )
-        name = f"_supplier_{n}"
-        best_here = f"CASE WHEN {t.may_score()} THEN array_max(array({entries})) END"
-        docs = scanned.select(*kept, *best, F.expr(best_here).alias(name))
-        best.append(name)
-    if not best:
-        return docs.withColumns({
-            "supplier_id": F.lit(None).cast("string"), "supplier_confidence": F.lit(0.0)
-        })
-    top = F.col(best[0]) if len(best) == 1 else F.greatest(*[F.col(b) for b in best])
-    chosen = docs.select(*kept, top.alias("_top"))
+def detect_supplier(docs: DataFrame, registry: DataFrame | Sequence[Row], threshold: float = rules.SUPPLIER_THRESHOLD) -> DataFrame:
+    """Add ``supplier_id`` (NULL when no supplier is sure enough) and ``supplier_confidence``.
+
+    A registry of constants (rows) is compiled into columns and needs no shuffle; a table of any size is joined
+    by the terms that occur, for ``docs`` with a unique ``doc_id``.
+    """
+    if isinstance(registry, DataFrame):
+        top = _best_by_join(docs, registry).withColumnRenamed("doc_id", "_doc")
+        chosen = docs.join(top, F.col("doc_id") == F.col("_doc"), "left").drop("_doc")
+    else:
+        chosen = _best_by_columns(docs, list(registry))
     sure = F.coalesce(F.col("_top.score") >= threshold, F.lit(False))
     return chosen.withColumns({
         "supplier_id": F.when(sure, F.col("_top.id")),
@@ -97,9 +77,93 @@ def detect_supplier(docs: DataFrame, registry: DataFrame, threshold: float = rul
     }).drop("_top")
 
 
-def supplier_lookup(docs: DataFrame, registry: DataFrame) -> DataFrame:
+def _best_by_columns(docs: DataFrame, rows: Sequence[Row]) -> DataFrame:
+    """``docs`` with ``_top``, the best ``struct<score, rank, id>``."""
+    if not rows:
+        return docs.withColumn("_top", F.lit(None).cast("struct<score:double,rank:int,id:string>"))
+    scanned, t = tx.Scan(_literals(rows), upper=True).add_to(docs)
+    entries = ", ".join(
+        f"named_struct('score', {_score(t, r)}, 'rank', {-r.ord}, 'id', {tx.quoted(r.supplier_id)})" for r in rows
+    )
+    best = F.expr(f"CASE WHEN {t.may_score()} THEN array_max(array({entries})) END")
+    return scanned.select(*docs.columns, best.alias("_top"))
+
+
+def registry_terms(registry: DataFrame) -> DataFrame:
+    """``term, supplier_id, ord, kind, part, size`` of each supplier: whole names, words of long names (by name),
+    tax id, and terms and indicators of each document type with how many there are."""
+    u = F.upper
+    base = registry.select("supplier_id", "ord", "names", "cuit", "document_patterns")
+    none = F.array().cast("array<string>")
+
+    def entry(term: Column, kind: str, part: Column, size: Column) -> Column:
+        return F.struct(term.alias("term"), F.lit(kind).alias("kind"), part.cast("string").alias("part"), size.alias("size"))
+
+    one = F.lit(1)
+    names = F.coalesce("names", none)
+    long = F.filter(names, lambda n: (F.char_length(n) > rules.PARTIAL_NAME_LENGTH) & (F.size(_words(n)) >= 2))
+    words = F.flatten(F.transform(long, lambda n: F.transform(_words(n), lambda w: entry(w, "word", n, one))))
+    types = F.map_entries(F.coalesce("document_patterns", F.create_map().cast("map<string,struct<specific_terms:array<string>,layout_indicators:array<string>,confidence_boost:double>>")))
+
+    def of(kind: str, field: str) -> Column:
+        return F.flatten(F.transform(types, lambda p: F.transform(
+            F.coalesce(p["value"][field], none), lambda x: entry(u(x), kind, p["key"], F.size(p["value"][field])))))
+
+    every = F.concat(
+        F.transform(names, lambda n: entry(u(n), "name", one, one)), words,
+        F.transform(F.array_compact(F.array("cuit")), lambda c: entry(c, "tax", one, one)),
+        of("term", "specific_terms"), of("indicator", "layout_indicators"),
+    )
+    return base.select("supplier_id", "ord", F.explode(every).alias("e")).select("supplier_id", "ord", "e.*").filter(F.col("term") != "")
+
+
+def _words(name: Column) -> Column:
+    return F.filter(F.split(F.upper(name), r"(?U)\s+"), lambda w: w != "")
+
+
+def _best_by_join(docs: DataFrame, registry: DataFrame) -> DataFrame:
+    """``doc_id, _top`` for documents in which any term of the registry occurs.
+
+    A text's distinct stretches of ``KEY`` characters meet the terms that begin so; the terms found are tested
+    against the text, and only those that occur meet their suppliers. Nothing of the registry goes through the
+    driver, and the plan does not depend on its size.
+    """
+    terms = registry_terms(registry)
+    text = F.upper(tx.text_or_empty(F.col("text")))
+    # regexp_extract_all with a look-ahead takes the stretch at every position, in one pass
+    stretches = F.array_distinct(F.flatten(F.array(*[
+        F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in range(1, KEY + 1)
+    ])))
+    keys = terms.select("term").distinct().select("term", F.substring("term", 1, KEY).alias("key"))
+    starts = docs.select("doc_id", F.explode(stretches).alias("key"))
+    candidates = starts.join(keys, "key").groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_set("term").alias("_terms"))
+    there = docs.select("doc_id", text.alias("_text")).join(candidates, F.col("doc_id") == F.col("_doc"))
+    hits = there.select("doc_id", F.explode(F.filter("_terms", lambda t: F.contains(F.col("_text"), t))).alias("term"))
+    found = hits.join(terms, "term").groupBy("doc_id", "supplier_id", "ord", "kind", "part").agg(
+        F.count("*").alias("n"), F.max("size").alias("size")
+    )
+    is_kind = lambda k: F.col("kind") == k
+    share = F.col("n") / F.col("size").cast("double")
+    by_type = found.groupBy("doc_id", "supplier_id", "ord", F.when(is_kind("term") | is_kind("indicator"), F.col("part")).alias("type")).agg(
+        F.max(is_kind("name").cast("int")).alias("name"), F.max((is_kind("word") & (F.col("n") >= 2)).cast("int")).alias("partial"),
+        F.max(is_kind("tax").cast("int")).alias("tax"),
+        F.sum(F.when(is_kind("term"), share * rules.POINTS_TERMS).otherwise(0.0)).alias("terms"),
+        F.sum(F.when(is_kind("indicator"), share * rules.POINTS_INDICATORS).otherwise(0.0)).alias("indicators"),
+    )
+    name = F.when(F.max("name") > 0, rules.POINTS_NAME).when(F.max("partial") > 0, rules.POINTS_PARTIAL_NAME).otherwise(0.0)
+    score = F.least(
+        name + F.when(F.max("tax") > 0, rules.POINTS_TAX_ID).otherwise(0.0) + F.max(F.col("terms") + F.col("indicators")), F.lit(1.0)
+    )
+    scored = by_type.groupBy("doc_id", "supplier_id", "ord").agg(score.alias("score"))
+    return scored.groupBy("doc_id").agg(
+        F.max(F.struct("score", (-F.col("ord")).alias("rank"), F.col("supplier_id").alias("id"))).alias("_top")
+    )
+
+
+def supplier_lookup(docs: DataFrame, registry: DataFrame, id_column: str = "doc_id") -> DataFrame:
     """Registry entry of each document's supplier; NULL when it has none."""
-    return docs.join(broadcast_if_small(registry.drop("ord")), "supplier_id", "left")
+    entries = registry.drop("ord").withColumnRenamed("supplier_id", "_sid")
+    return docs.join(broadcast_if_small(entries), spread_nulls("supplier_id", id_column) == F.col("_sid"), "left").drop("_sid")
 
 
 def supplier_boost(docs: DataFrame, registry: DataFrame, type_column: str = "doc_type") -> DataFrame:

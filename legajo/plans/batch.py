@@ -29,7 +29,7 @@ class Processed(NamedTuple):
 
 
 def process(
-    docs: DataFrame, manifest: DataFrame, registry: DataFrame, at: Column,
+    docs: DataFrame, manifest: DataFrame, registry: DataFrame | None, at: Column,
     store: Callable[[DataFrame], DataFrame], root: str = "output",
     methods: Sequence[str] = RULE_METHODS,
 ) -> Processed:
@@ -45,7 +45,7 @@ def process(
     error = F.when(~F.coalesce("is_valid", F.lit(False)), INVALID_FILE).when(empty, NO_TEXT)
     marked = joined.withColumn("error", error).drop("is_valid")
     accepted = marked.filter(F.col("error").isNull()).drop("error")
-    rows = store(cat.catalog_rows(cat.classify(accepted, registry, methods), methods))
+    rows = store(cat.catalog_rows(cat.classify(accepted, registry, methods)))
     placed = cat.route(rows.select(
         F.col("id").alias("doc_id"), "filename", F.col("fecha_procesado").alias("processed_at"), "tipo", "confidence"
     ), root)
@@ -83,10 +83,10 @@ def legacy_rows(docs: DataFrame) -> DataFrame:
     )
 
 
-def reprocess(catalog: DataFrame, ids: DataFrame, registry: DataFrame, methods: Sequence[str] = RULE_METHODS) -> DataFrame:
+def reprocess(catalog: DataFrame, ids: DataFrame, registry: DataFrame | None = None, methods: Sequence[str] = RULE_METHODS) -> DataFrame:
     """New catalog rows for the stored documents listed in ``ids(id)``."""
     chosen = catalog.join(ids.select("id"), "id", "left_semi").select(
         F.col("id").alias("doc_id"), "filename", F.col("fecha_procesado").alias("processed_at"),
         F.col("texto_extraido").alias("text"),
     )
-    return cat.catalog_rows(cat.classify(chosen, registry, methods), methods)
+    return cat.catalog_rows(cat.classify(chosen, registry, methods))

@@ -15,12 +15,12 @@ from legajo.functions import text as tx
 from legajo.operators import audit, bayes, classify, consensus, layout, pages, review, suppliers, validation
 from legajo.operators import catalog as cat
 from legajo.plans import batch
-from legajo.rules import types
+from legajo.rules import edit, patterns, types
 from legajo.rules.ensemble import DOMAIN_THRESHOLD
 from legajo.session import new_path, written_table
 from legajo.sources import derived, exports, files
-from legajo.sources.registry import built_in_registry, registry_patterns
-from legajo.sources.tables import business_docs, long_texts, table
+from legajo.sources.registry import built_in_registry, built_in_rows, registry_patterns, write_registry
+from legajo.sources.tables import business_docs, table
 from legajo.streaming import ingest as streaming
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -57,26 +57,23 @@ def big(column: Column | str) -> Column:
 
 
 def votes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Votes and suppliers of the business documents, without their text."""
-
-    def build() -> DataFrame:
-        voted = suppliers.detect_supplier(
-            classify.rule_votes(business_docs(spark, sf_dir).select("doc_id", "text")), built_in_registry(spark)
-        )
-        return voted.drop("text")
-
-    return written_table(spark, "votes", sf_dir, build)
+    """Votes and suppliers of the business documents, as the catalog stores them: texts are classified once."""
+    results = F.col("detalles_clasificacion.method_results")
+    return catalog(spark, sf_dir).select(
+        F.col("id").alias("doc_id"), *[F.try_element_at(results, F.lit(m)).alias(m) for m in classify.RULE_METHODS],
+        F.col("proveedor_id").alias("supplier_id"),
+    )
 
 
 def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     def build() -> DataFrame:
-        return cat.catalog_rows(cat.classify(business_docs(spark, sf_dir), built_in_registry(spark)))
+        return cat.catalog_rows(cat.classify(business_docs(spark, sf_dir)))
 
     return written_table(spark, "catalog", sf_dir, build, ("tipo",))
 
 
 def decided(spark: SparkSession, sf_dir: str, methods=classify.RULE_METHODS) -> DataFrame:
-    return cat.classify(business_docs(spark, sf_dir), built_in_registry(spark), methods)
+    return cat.classify(business_docs(spark, sf_dir), methods=methods)
 
 
 # ---------------------------------------------------------------- scoring
@@ -106,7 +103,7 @@ QUERIES["commercial_scores"] = _votes_of("commercial")
 @query
 def keyword_scores_documents(spark, sf):
     """Keyword method over the long multilingual texts."""
-    voted = classify.rule_votes(long_texts(spark, sf).select("doc_id", "text"), ["keyword"])
+    voted = classify.rule_votes(table(spark, sf, "documents").select("doc_id", "text"), ["keyword"])
     return voted.select("doc_id", F.col("keyword.type").alias("type"), r6("keyword.confidence").alias("confidence"))
 
 
@@ -197,10 +194,27 @@ def meta_all(spark, sf):
 
 @query
 def supplier_detect(spark, sf):
+    done = suppliers.detect_supplier(business_docs(spark, sf).select("doc_id", "text"), built_in_rows())
+    return done.select("doc_id", "supplier_id", r6("supplier_confidence").alias("supplier_confidence"))
+
+
+@query
+def supplier_detect_joined(spark, sf):
+    """The built-in registry as a table: the same result by the join."""
     done = suppliers.detect_supplier(business_docs(spark, sf).select("doc_id", "text"), built_in_registry(spark))
     return done.select("doc_id", "supplier_id", r6("supplier_confidence").alias("supplier_confidence"))
 
 
+@query
+def supplier_detect_registry(spark, sf):
+    """The suppliers of the raw tables, by tax id and a name of two words."""
+    base = derived.supplier_registry(spark, sf)
+    entry = F.create_map().cast("map<string,struct<specific_terms:array<string>,layout_indicators:array<string>,confidence_boost:double>>")
+    registry = base.select("ord", "supplier_id", "names", "cuit", entry.alias("document_patterns"))
+    done = suppliers.detect_supplier(business_docs(spark, sf).select("doc_id", "text"), registry)
+    return done.select("doc_id", "supplier_id", r6("supplier_confidence").alias("supplier_confidence"))
+
+
 @query
 def supplier_fields(spark, sf):
     found = business_docs(spark, sf).select("doc_id", md.supplier_fields(F.col("text")).alias("f"))
@@ -332,6 +346,50 @@ def ensemble_user_weights(spark, sf):
     return v.select("doc_id", "tipo", r6("confidence").alias("confidence"))
 
 
+@query
+def ensemble_user_scorer(spark, sf):
+    """A scorer of the caller's own, which sees contracts in every fourth document, votes with the others."""
+    docs = business_docs(spark, sf)
+    every_fourth = F.col("doc_id") % 4 == 0
+    own = docs.select(
+        "doc_id", F.when(every_fourth, "contratos").otherwise(types.UNKNOWN).alias("type"),
+        F.when(every_fourth, 0.7).otherwise(0.0).alias("confidence"),
+    )
+    done = cat.classify(
+        docs, None, ("keyword", "regex"), {"contract_scorer": own},
+        {"keyword": 0.15, "regex": 0.15, "contract_scorer": 0.4},
+    )
+    rows = cat.catalog_rows(done)
+    details = F.col("detalles_clasificacion")
+    return rows.select(
+        "id", "tipo", r6("confidence").alias("confidence"), details["consensus"]["best_consensus"].alias("best_consensus"),
+        big(details["consensus"]["total_methods"]).alias("total_methods"), listed("metodos_usados").alias("methods"),
+        details["decision"]["reasoning"].alias("reasoning"),
+        r6(F.try_element_at(details["method_results"], F.lit("contract_scorer"))["confidence"]).alias("own_confidence"),
+    )
+
+
+@query
+def rule_edit_keywords(spark, sf):
+    """A new type for the keyword method."""
+    rules = edit.with_type(types.TYPE_KEYWORDS, "silos", ["trigo", "SOJA", "depósito"])
+    voted = classify.rule_votes(business_docs(spark, sf).select("doc_id", "text"), ["keyword"], keywords=rules)
+    return voted.select("doc_id", F.col("keyword.type").alias("type"), r6("keyword.confidence").alias("confidence"))
+
+
+# One pattern for each form that an edit must keep: anchors, a negated class, an escaped letter, a named group.
+EDITED = [r"\AFACTURA", r"TOTAL\s\$\s\d+\.00\Z", r"CR\xC9DITO", r"(?P<Num>\d{8})-(?P<Digit>\d)$", r"N\S\s[^A-Z\s]+", r"[A-Z]+ARG[A-Z]+"]
+
+
+@query
+def rule_edit_patterns(spark, sf):
+    rules = {t: p for t, p in patterns.TYPE_PATTERNS.items() if t != "facturas"}
+    for pattern in EDITED:
+        rules = edit.with_pattern(rules, "ediciones", pattern)
+    voted = classify.rule_votes(business_docs(spark, sf).select("doc_id", "text"), ["regex"], exprs=rules)
+    return voted.select("doc_id", F.col("regex.type").alias("type"), r6("regex.confidence").alias("confidence"))
+
+
 def _all_methods(spark, sf) -> DataFrame:
     docs = business_docs(spark, sf)
     model = built_in_model(spark, sf)
@@ -444,7 +502,8 @@ def note_hunt(spark, sf):
 
 @query
 def unknown_preview(spark, sf):
-    return cat.unknown_preview(catalog(spark, sf)).select("id", "filename", "tipo", "proveedor")
+    seen = cat.unknown_preview(catalog(spark, sf))
+    return seen.select("id", "filename", "tipo", "proveedor", F.substring("details_preview", 1, 45).alias("details_preview"))
 
 
 @query
@@ -458,10 +517,14 @@ def review_apply(spark, sf):
     return review.apply_overrides(c.select("id", "filename", "tipo"), derived.corrections(c))
 
 
+def _with_legacy(spark, sf) -> DataFrame:
+    return cat.merge_tables(catalog(spark, sf), batch.legacy_rows(business_docs(spark, sf)))
+
+
 @query
 def legacy_merge(spark, sf):
     """The six-column rows of the earlier version merged with the catalog."""
-    merged = cat.merge_tables(catalog(spark, sf), batch.legacy_rows(business_docs(spark, sf)))
+    merged = _with_legacy(spark, sf)
     return merged.groupBy("tipo", F.col("confidence").isNull().alias("is_legacy")).agg(
         F.count("*").alias("n"), F.count("cuit").alias("with_cuit"), F.count("proveedor").alias("with_supplier")
     )
@@ -521,12 +584,13 @@ def stats_top_suppliers(spark, sf):
 
 @query
 def stats_avg_conf(spark, sf):
-    return cat.average_confidence(catalog(spark, sf).withColumn("confidence", F.nullif("confidence", F.lit(0.0))))
+    """Over the catalog and the rows of the earlier version, whose confidence is not known."""
+    return cat.average_confidence(_with_legacy(spark, sf))
 
 
 @query
 def stats_avg_conf_all_rows(spark, sf):
-    return cat.average_confidence_all_rows(catalog(spark, sf).withColumn("confidence", F.nullif("confidence", F.lit(0.0))))
+    return cat.average_confidence_all_rows(_with_legacy(spark, sf))
 
 
 @query
@@ -580,7 +644,7 @@ def distinct_suppliers(spark, sf):
 
 def _processed(spark, sf) -> batch.Processed:
     return batch.process(
-        business_docs(spark, sf), derived.manifest(spark, sf), built_in_registry(spark), moment(QUARANTINE_AT),
+        business_docs(spark, sf), derived.manifest(spark, sf), None, moment(QUARANTINE_AT),
         store=lambda rows: written_table(spark, "processed", sf, lambda: rows, ("tipo",)),
     )
 
@@ -607,7 +671,7 @@ def batch_summary_by_type(spark, sf):
 def reprocess_unknown(spark, sf):
     """Every stored unknown document classified again."""
     c = catalog(spark, sf)
-    again = batch.reprocess(c, c.filter(F.col("tipo") == types.UNKNOWN), built_in_registry(spark))
+    again = batch.reprocess(c, c.filter(F.col("tipo") == types.UNKNOWN))
     return again.select("id", "tipo", r6("confidence").alias("confidence"))
 
 
@@ -635,9 +699,16 @@ def method_performance(spark, sf):
 # ---------------------------------------------------------------- Naive Bayes
 
 
+def labelled(spark, sf) -> DataFrame:
+    """Labelled documents with their side of the split, which is made once."""
+    samples = derived.labelled(spark, sf)
+    flags = written_table(spark, "label_split", sf, lambda: bayes.split(samples.select("doc_id", "label").distinct()))
+    return samples.join(flags, ["doc_id", "label"])
+
+
 def label_model(spark, sf) -> bayes.BayesModel:
     """Model of the quality labels, written once."""
-    fresh = cache(lambda: bayes.train(derived.labelled(spark, sf)))
+    fresh = cache(lambda: bayes.train(labelled(spark, sf)))
     return bayes.BayesModel(
         written_table(spark, "label_terms", sf, lambda: fresh().terms),
         written_table(spark, "label_priors", sf, lambda: fresh().priors),
@@ -654,30 +725,30 @@ def built_in_model(spark, sf) -> bayes.BayesModel:
 
 @query
 def nb_vocabulary(spark, sf):
-    samples = derived.labelled(spark, sf)
+    samples = bayes.training_part(labelled(spark, sf))
     return bayes.vocabulary(bayes.term_counts(samples), samples).select("term", r6("idf").alias("idf"))
 
 
 @query
 def nb_train(spark, sf):
-    return bayes.train(derived.labelled(spark, sf)).terms.select("label", "term", r6("log_prob").alias("log_prob"))
+    return bayes.train(labelled(spark, sf)).terms.select("label", "term", r6("log_prob").alias("log_prob"))
 
 
 @query
 def nb_predict(spark, sf):
-    done = bayes.predict(long_texts(spark, sf), label_model(spark, sf))
+    done = bayes.predict(table(spark, sf, "documents"), label_model(spark, sf))
     return done.select("doc_id", "type", r6("confidence").alias("confidence"))
 
 
 @query
 def nb_probabilities(spark, sf):
-    done = bayes.probabilities(long_texts(spark, sf), label_model(spark, sf))
+    done = bayes.probabilities(table(spark, sf, "documents"), label_model(spark, sf))
     return done.select("doc_id", "label", r6("probability").alias("probability"))
 
 
 @query
 def nb_probability_map(spark, sf):
-    done = bayes.probability_map(long_texts(spark, sf), label_model(spark, sf))
+    done = bayes.probability_map(table(spark, sf, "documents"), label_model(spark, sf))
     return done.select(
         "doc_id", r6(F.element_at("probabilities", "0")).alias("p0"), r6(F.element_at("probabilities", "1")).alias("p1")
     )
@@ -698,7 +769,8 @@ def nb_top_terms(spark, sf):
 
 @query
 def nb_accuracy(spark, sf):
-    samples = derived.labelled(spark, sf)
+    """On the samples that the model was not fitted on."""
+    samples = bayes.test_part(labelled(spark, sf))
     done = bayes.accuracy(bayes.predict(samples, label_model(spark, sf)), samples)
     return done.select("samples", r6("accuracy").alias("accuracy"))
 
@@ -710,9 +782,8 @@ def nb_class_counts(spark, sf):
 
 @query
 def nb_split(spark, sf):
-    """Stratified test split: its size per label."""
-    done = bayes.split(derived.labelled(spark, sf))
-    return done.groupBy("label").agg(F.count_if("is_test").alias("test"), F.count_if(~F.col("is_test")).alias("train"))
+    """Which samples are held out."""
+    return bayes.split(derived.labelled(spark, sf).select("doc_id", "label"))
 
 
 @query
@@ -723,6 +794,17 @@ def nb_feedback_classes(spark, sf):
     return bayes.class_counts(bayes.with_feedback(bayes.built_in_samples(spark), reviewed, c))
 
 
+@query
+def nb_retrained(spark, sf):
+    """Model of the built-in samples and the reviewed documents; sample ids are negative to stay apart."""
+    c = catalog(spark, sf)
+    samples = bayes.built_in_samples(spark).withColumn("doc_id", -1 - F.col("doc_id"))
+    reviewed = review.latest_overrides(derived.corrections(c))
+    merged = written_table(spark, "feedback_samples", sf, lambda: bayes.split(bayes.with_feedback(samples, reviewed, c)))
+    model = bayes.train(merged)
+    return model.terms.select("label", "term", r6("log_prob").alias("log_prob"))
+
+
 # ---------------------------------------------------------------- pages and validation
 
 
@@ -948,32 +1030,80 @@ def export_metadata(spark, sf):
     )
 
 
-# ---------------------------------------------------------------- streaming
+@query
+def export_searched(spark, sf):
+    """An export with the filters of a search."""
+    path = new_path(spark, "export-searched")
+    wanted = cat.search_filter(proveedor="EDESUR", tipo="facturas", monto_min=50000)
+    exports.export(spark, catalog(spark, sf), path, "json", as_of=AS_OF, condition=wanted)
+    return spark.read.schema("id bigint, tipo string, monto string").json(f"{path}/records")
 
 
 @query
-def stream_ingest(spark, sf):
-    """All document files through the stream, twice; the second run finds nothing new."""
+def catalog_appended(spark, sf):
+    """Two batches appended to a catalog folder."""
+    path = new_path(spark, "appended")
+    rows = catalog(spark, sf)
+    for kind in ("facturas", "remitos"):
+        cat.append_catalog(rows.filter(F.col("tipo") == kind), path)
+    return spark.read.parquet(path).groupBy("tipo").agg(F.count("*").alias("n"), r6(F.avg("confidence")).alias("avg_confidence"))
+
+
+@query
+def registry_saved(spark, sf):
+    """The registry written and read back."""
+    path = new_path(spark, "registry")
+    write_registry(derived.supplier_registry(spark, sf), path)
+    return spark.read.parquet(path).select("supplier_id", F.element_at("names", 1).alias("name"), "cuit")
+
+
+@query
+def nb_model_saved(spark, sf):
+    """Most likely terms of a model saved and loaded."""
+    path = new_path(spark, "model")
+    bayes.save_model(label_model(spark, sf), path)
+    done = bayes.top_terms(bayes.load_model(spark, path))
+    return done.select("label", "term", r6("log_prob").alias("log_prob"), big("position").alias("position"))
+
+
+# ---------------------------------------------------------------- streaming
+
+
+def _streamed(spark, sf) -> str:
+    """Folder to which all document files went through the stream, twice; the second run finds nothing new."""
     source, target = new_path(spark, "inbox"), new_path(spark, "ingested")
     business_docs(spark, sf).write.parquet(source)
     for _ in range(2):
         streaming.ingest(
-            spark, source, f"{target}/catalog", f"{target}/rejected", f"{target}/state", built_in_registry(spark)
+            spark, source, target, f"{target}/state", derived.manifest(spark, sf), moment(QUARANTINE_AT)
         ).awaitTermination()
-    return spark.read.parquet(f"{target}/catalog").select("id", "tipo", r6("confidence").alias("confidence"), "cuit")
+    return target
+
+
+@query
+def stream_ingest(spark, sf):
+    """The results of the stream are those of the batch."""
+    return spark.read.parquet(f"{_streamed(spark, sf)}/results").select(
+        "doc_id", "success", "error", "classification", r6("confidence").alias("confidence"), "destination"
+    )
+
+
+@query
+def stream_quarantine(spark, sf):
+    rows = spark.read.parquet(f"{_streamed(spark, sf)}/quarantine")
+    return rows.select("path", "quarantine_name", F.get_json_object("report", "$.errors[0]").alias("first_error"))
 
 
 @query
 def stream_daily_counts(spark, sf):
-    """Daily counts per event type on the stream, from the same function as on the table."""
+    """Daily counts per event type on the stream, in update mode: the watermark drops the state of past days."""
     source, target = new_path(spark, "events"), new_path(spark, "daily")
     utc = F.concat(F.col("ts").cast("timestamp_ntz").cast("string"), F.lit("Z")).cast("timestamp")
-    events = table(spark, sf, "events").select(utc.alias("ts"), "event_type")
-    events.write.parquet(source)
+    table(spark, sf, "events").select(utc.alias("ts"), "event_type").write.parquet(source)
     stream = spark.readStream.schema("ts timestamp, event_type string").parquet(source)
-    run = streaming.daily_counts(stream, "ts", "event_type").writeStream.outputMode("complete").foreachBatch(
-        lambda df, _: df.write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(target)
+    run = streaming.daily_counts(stream, "ts", "event_type").writeStream.outputMode("update").foreachBatch(
+        lambda df, i: df.write.mode("overwrite").parquet(f"{target}/batch_id={i}")
     ).option("checkpointLocation", new_path(spark, "daily-state")).trigger(availableNow=True).start()
     run.awaitTermination()
     day = F.date_from_unix_date(F.floor(F.unix_seconds("day") / 86400).cast("int"))
-    return spark.read.parquet(target).select(day.alias("day"), "event_type", "n")
+    return streaming.latest_counts(spark.read.parquet(target), "event_type").select(day.alias("day"), "event_type", "n")

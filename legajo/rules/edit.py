@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 from collections.abc import Mapping, Sequence
 
+from legajo.functions.text import lowered
+
 Rules = Mapping[str, Sequence[str]]
 
 
@@ -19,9 +21,11 @@ def with_updated_type(rules: Rules, doc_type: str, values: Sequence[str]) -> Rul
 
 
 def with_pattern(rules: Rules, doc_type: str, pattern: str) -> Rules:
-    """Append a pattern to a type; raises ``ValueError`` when it is not a regular expression."""
+    """Append a pattern to a type; raises ``ValueError`` when it is not a regular expression, or not one that can
+    be matched regardless of letter case (see ``functions.text.lowered``)."""
     try:
         re.compile(pattern)
+        lowered(pattern)
     except re.error as e:
         raise ValueError(f"invalid pattern {pattern!r}: {e}") from e
     return {**rules, doc_type: [*rules.get(doc_type, []), pattern]}

@@ -1,5 +1,7 @@
 """Constants of the weighted vote."""
 
+from collections.abc import Sequence
+
 # Order in which the methods report; ties in the consensus follow it.
 RUN_ORDER = ["keyword", "regex", "agro", "commercial", "ml", "layout"]
 
@@ -23,3 +25,8 @@ DOMAIN_THRESHOLD = 0.3
 # Confidence bands of the report view.
 BAND_HIGH = 0.8
 BAND_MEDIUM = 0.5
+
+
+def run_order(methods: Sequence[str]) -> list[str]:
+    """``methods`` in the order they report: the known ones first, then any others as they are given."""
+    return [m for m in RUN_ORDER if m in methods] + [m for m in dict.fromkeys(methods) if m not in RUN_ORDER]

@@ -7,7 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SETTINGS = {
@@ -43,6 +43,12 @@ def broadcast_if_small(small: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) ->
     return F.broadcast(small) if small.limit(max_rows + 1).count() <= max_rows else small
 
 
+def spread_nulls(key: str, by: str) -> Column:
+    """A join key of which NULL, which matches nothing, is spread by another column instead of meeting in one task.
+    The stand-ins start with a character that no key has."""
+    return F.coalesce(F.col(key), F.concat(F.lit("\u0000"), F.pmod(F.xxhash64(by), F.lit(1 << 20)).cast("string")))
+
+
 _LOCAL_ROOTS: dict[str, str] = {}
 _WRITTEN: dict[tuple[str, str], str] = {}
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from legajo.rules.suppliers import SUPPLIERS
@@ -15,6 +15,16 @@ SCHEMA = (
 )
 
 
+def built_in_rows() -> list[Row]:
+    """The built-in registry as constants, for operators that compile it into a plan."""
+    fields = [f.split()[0] for f in SCHEMA.split(", ")[:4]] + ["document_patterns", "contact_info"]
+    pattern = Row("specific_terms", "layout_indicators", "confidence_boost")
+    return [
+        Row(*fields)(i, s["supplier_id"], s["names"], s["cuit"], {t: pattern(a, b, c) for t, a, b, c in s["patterns"]}, s["contact"])
+        for i, s in enumerate(SUPPLIERS)
+    ]
+
+
 def built_in_registry(spark: SparkSession) -> DataFrame:
     rows = [
         (i, s["supplier_id"], s["names"], s["cuit"],

@@ -56,22 +56,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def long_texts(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
-    """A text table with at least one partition per core. Only an input of fewer splits than cores is
-    shuffled, which never holds for large ones."""
-    docs = table(spark, sf_dir, name)
-    cores = spark.sparkContext.defaultParallelism
-    return docs if docs.rdd.getNumPartitions() >= cores else docs.repartition(2 * cores)
-
-
 def business_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``doc_id, filename, processed_at, text``, written once per input folder."""
 
     def build() -> DataFrame:
         names = {n: table(spark, sf_dir, n) for n in ("orders", "customer", "lineitem")}
         docs = spark.sql(BUSINESS_DOCS_SQL, **names)
-        return docs.withColumn("processed_at", F.col("processed_at").cast("timestamp_ntz")).repartition(
-            2 * spark.sparkContext.defaultParallelism
-        )
+        return docs.withColumn("processed_at", F.col("processed_at").cast("timestamp_ntz"))
 
     return written_table(spark, "business_docs", sf_dir, build)

@@ -4,35 +4,40 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from legajo.functions import text as tx
-from legajo.operators import catalog as cat
 from legajo.operators.classify import RULE_METHODS
-from legajo.plans.batch import NO_TEXT
+from legajo.plans import batch
 
 DOCS_SCHEMA = "doc_id bigint, filename string, processed_at timestamp_ntz, text string"
 
 
 def ingest(
-    spark: SparkSession, source: str, catalog_path: str, rejected_path: str, checkpoint: str,
-    registry: DataFrame, methods: Sequence[str] = RULE_METHODS, files_per_batch: int = 1000,
+    spark: SparkSession, source: str, target: str, checkpoint: str, manifest: DataFrame, at: Column,
+    registry: DataFrame | None = None, methods: Sequence[str] = RULE_METHODS, files_per_batch: int = 1000,
 ) -> StreamingQuery:
-    """Classify every document file that has not been seen yet, then stop.
+    """Process every document file that has not been seen yet by the plan of ``batch.process``, then stop.
 
-    The checkpoint replaces moving files away. Each micro-batch overwrites its own folder, so a batch
-    repeated after a failure leaves no duplicates; a document without text goes to ``rejected_path``.
+    The checkpoint replaces moving files away. ``target`` gets the folders ``catalog`` (by type), ``results`` and
+    ``quarantine``, each with a folder per micro-batch that the batch overwrites, so one repeated after a failure
+    leaves no duplicates. ``manifest`` describes the files, as for the batch.
     """
     stream = spark.readStream.schema(DOCS_SCHEMA).option("maxFilesPerTrigger", files_per_batch).parquet(source)
 
-    def write(batch: DataFrame, batch_id: int) -> None:
-        empty = F.char_length(tx.strip(tx.text_or_empty(F.col("text")))) == 0
-        rejected = batch.filter(empty).withColumn("error", F.lit(NO_TEXT))
-        rejected.write.mode("overwrite").parquet(f"{rejected_path}/batch_id={batch_id}")
-        rows = cat.catalog_rows(cat.classify(batch.filter(~empty), registry, methods), methods)
-        rows.write.mode("overwrite").parquet(f"{catalog_path}/batch_id={batch_id}")
+    def write(docs: DataFrame, batch_id: int) -> None:
+        def folder(name: str) -> str:
+            return f"{target}/{name}/batch_id={batch_id}"
+
+        def store(rows: DataFrame) -> DataFrame:
+            rows.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("tipo").parquet(folder("catalog"))
+            return docs.sparkSession.read.schema(rows.schema).parquet(folder("catalog"))
+
+        own = manifest.join(docs.select("doc_id"), "doc_id", "left_semi")
+        done = batch.process(docs, own, registry, at, store, methods=methods)
+        done.results.write.mode("overwrite").parquet(folder("results"))
+        done.quarantine.write.mode("overwrite").parquet(folder("quarantine"))
 
     return (
         stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
@@ -46,3 +51,9 @@ def daily_counts(events: DataFrame, time: str, kind: str, lateness: str = "1 day
     return timed.groupBy(F.window(time, "1 day"), kind).agg(F.count("*").alias("n")).select(
         F.col("window.start").alias("day"), kind, "n"
     )
+
+
+def latest_counts(updates: DataFrame, kind: str) -> DataFrame:
+    """Counts per day and kind from the rows that a stream of ``daily_counts`` in update mode has written, each
+    with its ``batch_id``: the last update of a day holds."""
+    return updates.groupBy("day", kind).agg(F.max_by("n", "batch_id").alias("n"))

@@ -6,7 +6,7 @@ from legajo.rules import agro, commercial, layout, metadata, patterns, training,
 from legajo.rules import catalog as cat
 from legajo.sources.derived import MANIFEST_SQL, OPERATION_LOG_SQL
 from oracle.sql import (
-    CTES, _coalesce_extract, _fix_final, count_of, lit, num, rx, statement, vote_ctes,
+    CTES, _coalesce_extract, _fix_final, count_of, keyword_ctes, lit, num, regex_ctes, rx, statement, vote_ctes,
 )
 
 METHODS = ["keyword", "regex", "agro", "commercial"]
@@ -39,12 +39,18 @@ def _r(column: str, name: str | None = None) -> str:
 # ---------------------------------------------------------------- Naive Bayes
 
 
-def nb_ctes(p: str, samples: str, docs: str) -> dict[str, tuple[str, list[str]]]:
+def nb_ctes(p: str, samples: str, docs: str, deps: list[str] | None = None) -> dict[str, tuple[str, list[str]]]:
+    """Fitted on the training part: all samples but, from 20 on, the first fifth of each label by a hash of the id."""
     stop = ", ".join(lit(w) for w in dict.fromkeys(training.STOP_WORDS))
     words = r"list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}'), lambda x: NOT list_contains([" + stop + "], x))"
     grams = "w || list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])"
     return {
-        f"{p}samples": (samples, []),
+        f"{p}all": (samples, deps or []),
+        f"{p}flags": (
+            f"SELECT *, (SELECT count(*) FROM {p}all) < 20 AS few, row_number() OVER (PARTITION BY label ORDER BY "
+            f"md5(doc_id || '-42'), doc_id) <= round(count(*) OVER (PARTITION BY label) * 0.2e0) AS is_test FROM {p}all", [f"{p}all"]),
+        f"{p}samples": (f"SELECT doc_id, label, text FROM {p}flags WHERE few OR NOT is_test", [f"{p}flags"]),
+        f"{p}test": (f"SELECT doc_id, label, text FROM {p}flags WHERE few OR is_test", [f"{p}flags"]),
         f"{p}counts": (
             f"SELECT doc_id, term, count(*) AS n FROM (SELECT doc_id, unnest({grams}) AS term FROM "
             f"(SELECT doc_id, {words} AS w FROM {p}samples)) GROUP BY 1, 2", [f"{p}samples"]),
@@ -87,6 +93,10 @@ SAMPLE_VALUES = ", ".join(f"({i}, {lit(l)}, {lit(t)})" for i, (l, t) in enumerat
 LABELLED = "SELECT d.doc_id, d.text, cast(l.quality AS string) AS label FROM documents d JOIN labels l USING (doc_id)"
 EXTRA |= nb_ctes("q_", LABELLED, "SELECT doc_id, text FROM documents")
 EXTRA |= nb_ctes("b_", f"SELECT * FROM (VALUES {SAMPLE_VALUES}) v(doc_id, label, text)", "SELECT doc_id, text FROM docs")
+EXTRA |= nb_ctes(
+    "f_", f"SELECT -1 - doc_id AS doc_id, label, text FROM (VALUES {SAMPLE_VALUES}) v(doc_id, label, text) UNION ALL "
+    "SELECT l.doc_id, l.tipo, c.texto_extraido FROM last_corr l JOIN catalog c ON c.id = l.doc_id", "SELECT 0 AS doc_id, '' AS text",
+    ["last_corr", "catalog"])
 EXTRA["v_ml"] = ("SELECT doc_id, type, confidence FROM b_pred", ["b_pred"])
 
 # ---------------------------------------------------------------- layout
@@ -307,7 +317,29 @@ add("cli_search", f"SELECT {SHOWN} FROM catalog WHERE proveedor LIKE '%EDESUR%'
 add("note_hunt", (
     "SELECT id, tipo || '_' || filename AS filename, tipo, proveedor FROM catalog WHERE contains(lower(tipo || '_' || filename), 'nota') "
     "OR contains(lower(filename), 'credit') OR contains(tipo, 'credit') OR contains(tipo, 'debit') ORDER BY id LIMIT 15"))
-add("unknown_preview", "SELECT id, filename, tipo, proveedor FROM catalog WHERE tipo = 'desconocido' ORDER BY id LIMIT 10")
+add("unknown_preview", (
+    """SELECT id, filename, tipo, proveedor, left('{"method_results":{"keyword":{"type":"' || k.type, 45) AS details_preview """
+    "FROM catalog JOIN v_keyword k ON k.doc_id = id WHERE tipo = 'desconocido' ORDER BY id LIMIT 10"))
+
+add("supplier_detect_joined", f"SELECT doc_id, supplier_id, {_r('supplier_confidence')} FROM sup")
+add("supplier_detect_registry", (
+    f"SELECT d.doc_id, arg_min(r.supplier_id, r.ord) AS supplier_id, CASE WHEN count(r.ord) > 0 THEN {num(0.3)} ELSE {num(0.0)} END AS supplier_confidence "
+    "FROM docs d LEFT JOIN reg r ON contains(upper(d.text), r.cuit) GROUP BY d.doc_id"))
+
+# ---------------------------------------------------------------- user scorers and rule edits
+
+EXTRA["v_contract_scorer"] = (
+    f"SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'contratos' ELSE 'desconocido' END AS type, "
+    f"CASE WHEN doc_id % 4 = 0 THEN {num(0.7)} ELSE {num(0.0)} END AS confidence FROM docs", ["docs"])
+EXTRA |= _fix_final(vote_ctes(["keyword", "regex", "contract_scorer"], "_own", {"keyword": 0.15, "regex": 0.15, "contract_scorer": 0.4}))
+add("ensemble_user_scorer", (
+    f"SELECT d.doc_id AS id, tipo, {_r('d.confidence', 'confidence')}, best_consensus, total_methods, 'keyword|regex|contract_scorer' AS methods, "
+    f"reasoning, {_r('o.confidence', 'own_confidence')} FROM decided_own d JOIN reasons_own USING (doc_id) JOIN v_contract_scorer o USING (doc_id)"))
+EXTRA |= keyword_ctes({**types.TYPE_KEYWORDS, "silos": ["trigo", "SOJA", "depósito"]}, "_edit")
+EDITED = [r"\AFACTURA", r"TOTAL\s\$\s\d+\.00\Z", r"CR\xC9DITO", r"(?P<Num>\d{8})-(?P<Digit>\d)$", r"N\S\s[^A-Z\s]+", r"[A-Z]+ARG[A-Z]+"]
+EXTRA |= regex_ctes({**{t: p for t, p in patterns.TYPE_PATTERNS.items() if t != "facturas"}, "ediciones": EDITED}, "_edit")
+add("rule_edit_keywords", f"SELECT doc_id, type, {_r('confidence')} FROM v_keyword_edit")
+add("rule_edit_patterns", f"SELECT doc_id, type, {_r('confidence')} FROM v_regex_edit")
 add("review_queue", (
     f"SELECT id, filename, proveedor, {_r('confidence')}, left(texto_extraido, 500) AS preview FROM catalog WHERE tipo = 'desconocido' ORDER BY id LIMIT 30"))
 add("review_apply", "SELECT id, filename, tipo FROM reviewed")
@@ -333,8 +365,8 @@ add("stats_total", "SELECT count(*) AS total FROM catalog")
 add("stats_by_type", "SELECT tipo, count(*) AS n FROM catalog GROUP BY tipo")
 add("stats_top_suppliers", (
     "SELECT coalesce(proveedor, 'Sin proveedor') AS proveedor, count(*) AS n FROM catalog GROUP BY 1 ORDER BY n DESC, 1 LIMIT 10"))
-add("stats_avg_conf", "SELECT round(coalesce(avg(nullif(confidence, 0)), 0), 3) AS avg_confidence FROM catalog")
-add("stats_avg_conf_all_rows", "SELECT round(sum(confidence) / count(*), 3) AS avg_confidence FROM catalog")
+add("stats_avg_conf", "SELECT round(coalesce(avg(confidence), 0), 3) AS avg_confidence FROM catalog")
+add("stats_avg_conf_all_rows", "SELECT round(sum(confidence) / (count(*) + (SELECT count(*) FROM docs)), 3) AS avg_confidence FROM catalog")
 add("stats_avg_conf_by_type", "SELECT tipo, round(avg(confidence), 6) AS avg_confidence FROM catalog GROUP BY tipo")
 add("stats_recent", "SELECT count(*) AS recent_documents FROM catalog WHERE fecha_procesado > TIMESTAMP '2001-08-01 12:00:00' - INTERVAL 1 DAY")
 add("stats_by_day", "SELECT CAST(fecha_procesado AS DATE) AS day, count(*) AS n FROM catalog GROUP BY 1")
@@ -399,12 +431,12 @@ add("nb_top_terms", (
     f"SELECT label, term, {_r('log_prob')}, row_number() OVER (PARTITION BY label ORDER BY log_prob DESC, term) AS position FROM q_model "
     "QUALIFY row_number() OVER (PARTITION BY label ORDER BY log_prob DESC, term) <= 20"))
 add("nb_accuracy", (
-    "SELECT count(*) AS samples, round(avg(CAST(p.type = s.label AS DOUBLE)), 6) AS accuracy FROM q_pred p JOIN q_samples s USING (doc_id)"))
-add("nb_class_counts", "SELECT label, count(*) AS n, count(*) < 5 AS too_few FROM q_samples GROUP BY label")
-add("nb_split", (
-    "SELECT label, CAST(round(count(*) * 0.2e0) AS BIGINT) AS test, count(*) - CAST(round(count(*) * 0.2e0) AS BIGINT) AS train FROM q_samples GROUP BY label"))
+    "SELECT count(*) AS samples, round(avg(CAST(p.type = s.label AS DOUBLE)), 6) AS accuracy FROM q_pred p JOIN q_test s USING (doc_id)"))
+add("nb_class_counts", "SELECT label, count(*) AS n, count(*) < 5 AS too_few FROM q_all GROUP BY label")
+add("nb_retrained", f"SELECT label, term, {_r('log_prob')} FROM f_model")
+add("nb_split", "SELECT doc_id, label, CASE WHEN NOT few THEN is_test END AS is_test FROM q_flags")
 add("nb_feedback_classes", (
-    "SELECT label, count(*) AS n, count(*) < 5 AS too_few FROM (SELECT label FROM b_samples UNION ALL SELECT tipo FROM last_corr) GROUP BY label"))
+    "SELECT label, count(*) AS n, count(*) < 5 AS too_few FROM (SELECT label FROM b_all UNION ALL SELECT tipo FROM last_corr) GROUP BY label"))
 
 # ---------------------------------------------------------------- pages and validation
 
@@ -472,5 +504,12 @@ add("export_xml_roundtrip", "SELECT id, tipo, monto, CAST(4 AS BIGINT) AS n_meth
 add("export_metadata", (
     "SELECT '2001-08-01T12:00:00' AS export_date, count(*) AS total_records, 'json' AS format, '1.0' AS version, true AS success "
     "FROM catalog WHERE tipo = 'remitos'"))
-add("stream_ingest", f"SELECT id, tipo, {_r('confidence')}, cuit FROM catalog")
+SQL["stream_ingest"] = SQL["process_documents"]
+add("stream_quarantine", (
+    "SELECT path, '20250925_093940_' || replace(path, '/in/', '') AS quarantine_name, errors[1] AS first_error FROM validated "
+    "WHERE complete AND NOT is_valid AND doc_id IN (SELECT doc_id FROM docs)"))
+add("export_searched", "SELECT id, tipo, monto FROM catalog WHERE proveedor LIKE '%EDESUR%' AND tipo = 'facturas' AND amount >= 50000")
+add("catalog_appended", f"SELECT tipo, count(*) AS n, {_r('avg(confidence)', 'avg_confidence')} FROM catalog WHERE tipo IN ('facturas', 'remitos') GROUP BY tipo")
+add("registry_saved", "SELECT supplier_id, name, cuit FROM reg")
+SQL["nb_model_saved"] = SQL["nb_top_terms"]
 SQL["stream_daily_counts"] = "SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2"

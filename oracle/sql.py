@@ -23,7 +23,7 @@ def num(value: float) -> str:
 
 def rx(pattern: str, flags: str = "i") -> str:
     """RE2 form: letters beyond ASCII in \\w, no newline in '.'."""
-    p = re.sub(r"(?<!\[)\\w", r"[\\p{L}\\p{N}_]", pattern)
+    p = re.sub(r"(?<!\[)\\w", r"[\\p{L}\\p{N}_]", pattern).replace("\\Z", "\\z")
     return lit(f"(?{flags}-s){p}")
 
 
@@ -48,37 +48,38 @@ def flag(test: str, points: float) -> str:
 # ---------------------------------------------------------------- scorers
 
 
-def keyword_ctes() -> dict[str, tuple[str, list[str]]]:
+def keyword_ctes(rules=types.TYPE_KEYWORDS, s: str = "") -> dict[str, tuple[str, list[str]]]:
     scores = []
-    for i, words in enumerate(types.TYPE_KEYWORDS.values()):
+    for i, words in enumerate(rules.values()):
+        words = [w.lower() for w in words]
         parts = [f"({count_of('t', k)} * {num(0.1)} + {flag(f'contains(op, {lit(k)})', 0.3)})" for k in words]
         scores.append(f"least({chain(parts)}, {num(1.0)}) AS k{i}")
-    columns = {f"k{i}": t for i, t in enumerate(types.TYPE_KEYWORDS)}
+    columns = {f"k{i}": t for i, t in enumerate(rules)}
     top = f"greatest({', '.join(columns)})"
     return {
-        "kw_text": (
+        f"kw_text{s}": (
             "SELECT doc_id, lower(text) AS t, array_to_string(list_filter(regexp_split_to_array("
             r"trim(lower(text), ' ' || chr(9) || chr(10) || chr(13)), '\s+'), lambda x: x <> '')[1:100], ' ') AS op "
             "FROM docs", ["docs"]),
-        "kw_scores": (f"SELECT doc_id, t, {', '.join(scores)} FROM kw_text", ["kw_text"]),
-        "v_keyword": (
+        f"kw_scores{s}": (f"SELECT doc_id, t, {', '.join(scores)} FROM kw_text{s}", [f"kw_text{s}"]),
+        f"v_keyword{s}": (
             f"SELECT doc_id, CASE WHEN {top} < {num(0.7)} THEN 'desconocido' ELSE {first_max(columns)} END AS type, "
-            f"{top} AS confidence FROM kw_scores", ["kw_scores"]),
+            f"{top} AS confidence FROM kw_scores{s}", [f"kw_scores{s}"]),
     }
 
 
-def regex_ctes() -> dict[str, tuple[str, list[str]]]:
+def regex_ctes(rules=patterns.TYPE_PATTERNS, s: str = "") -> dict[str, tuple[str, list[str]]]:
     scores = []
-    for i, exprs in enumerate(patterns.TYPE_PATTERNS.values()):
+    for i, exprs in enumerate(rules.values()):
         parts = [f"least(len(regexp_extract_all(text, {rx(p, 'im')})), 3)" for p in exprs]
         scores.append(f"least(({' + '.join(parts)}) / {num(3.0 * len(exprs))}, {num(1.0)}) AS r{i}")
-    columns = {f"r{i}": t for i, t in enumerate(patterns.TYPE_PATTERNS)}
+    columns = {f"r{i}": t for i, t in enumerate(rules)}
     top = f"greatest({', '.join(columns)})"
     return {
-        "rx_scores": (f"SELECT doc_id, {', '.join(scores)} FROM docs", ["docs"]),
-        "v_regex": (
+        f"rx_scores{s}": (f"SELECT doc_id, {', '.join(scores)} FROM docs", ["docs"]),
+        f"v_regex{s}": (
             f"SELECT doc_id, CASE WHEN {top} = 0 THEN 'desconocido' ELSE {first_max(columns)} END AS type, "
-            f"{top} AS confidence FROM rx_scores", ["rx_scores"]),
+            f"{top} AS confidence FROM rx_scores{s}", [f"rx_scores{s}"]),
     }
 
 
@@ -158,11 +159,13 @@ def supplier_ctes() -> dict[str, tuple[str, list[str]]]:
 # ---------------------------------------------------------------- votes and decision
 
 
-def vote_ctes(methods: list[str], suffix: str = "") -> dict[str, tuple[str, list[str]]]:
-    weights = list(ensemble.WEIGHTS)
+def vote_ctes(methods: list[str], suffix: str = "", own: dict[str, float] | None = None) -> dict[str, tuple[str, list[str]]]:
+    """``own``: weights in their order, of methods that report in the given order."""
+    given = own or ensemble.WEIGHTS
+    weights, order = list(given), methods if own else ensemble.RUN_ORDER
     union = " UNION ALL ".join(
-        f"SELECT doc_id, {lit(m)} AS method, {ensemble.RUN_ORDER.index(m)} AS run, {weights.index(m)} AS pos, "
-        f"{num(ensemble.WEIGHTS[m])} AS weight, type, confidence FROM v_{m}" for m in methods)
+        f"SELECT doc_id, {lit(m)} AS method, {order.index(m)} AS run, {weights.index(m)} AS pos, "
+        f"{num(given[m])} AS weight, type, confidence FROM v_{m}" for m in methods)
     s = suffix
     both = {m: m in methods for m in ("agro", "commercial")}
     route = "CASE " if any(both.values()) else "CASE WHEN false THEN '' "

@@ -73,13 +73,21 @@ def test_registry_roundtrip_and_search(spark):
     assert [r.supplier_id for r in suppliers.search_suppliers(back, "30-5").collect()] == ["telecom_argentina", "andreani"]
 
 
-def test_supplier_detection_over_several_slices(spark, monkeypatch, sf):
-    docs = business_docs(spark, sf).select("doc_id", "text")
-    reg = registry.built_in_registry(spark)
-    whole = suppliers.detect_supplier(docs, reg).drop("text")
-    monkeypatch.setattr(suppliers, "SLICE", 2)
-    sliced = suppliers.detect_supplier(docs, reg).drop("text")
-    assert whole.exceptAll(sliced).isEmpty() and whole.count() == sliced.count()
+def test_supplier_detection_by_join_and_by_columns(spark):
+    pattern = {"facturas": (["TERM ONE", "X", "zz"], ["Indicator"], 0.1), "recibos": (["other"], None, 0.2)}
+    rows = [
+        (0, "a", ["Alpha Beta Gamma", "AB"], "30-1", pattern, None), (1, "b", ["Alpha Beta Gamma"], None, None, None), (2, "c", None, "30-12", pattern, None),
+        (3, "d", ["Ñandú"], "", {"facturas": ([], [], 0.1)}, None), (4, "e", [], None, {"remitos": (["term one", "term two"], ["30-1"], 0.1)}, None),
+    ]
+    reg = spark.createDataFrame(rows, registry.SCHEMA)
+    texts_ = ["", None, "alpha BETA gamma", "gamma then alpha", "30-12", "term one x zz indicator", "ñandú", "x", "ab 30-1 other", "term one term two 30-1", "nothing\nhere"]
+    docs = spark.createDataFrame(list(enumerate(texts_)), "doc_id int, text string")
+    joined = suppliers.detect_supplier(docs, reg)
+    compiled = suppliers.detect_supplier(docs, reg.orderBy("ord").collect())
+    key = lambda r: (r.doc_id, r.supplier_id, round(r.supplier_confidence, 9))
+    assert sorted(map(key, joined.collect())) == sorted(map(key, compiled.collect()))
+    assert {r.doc_id: r.supplier_id for r in joined.collect()}[2] == "a"
+    assert joined.filter("supplier_id is not null").count() >= 4
 
 
 def test_in_row_decision_agrees_with_grouped_consensus(spark, sf):
@@ -292,21 +300,38 @@ def test_folder_scan_and_hashes(spark, tmp_path):
     assert twice.count() == 2
 
 
-def test_stream_isolates_empty_documents(spark):
+def test_stream_equals_batch(spark):
     source, target = new_path(spark, "in"), new_path(spark, "out")
-    rows = [(1, "a.pdf", dt.datetime(2024, 1, 1), "factura factura"), (2, "b.pdf", dt.datetime(2024, 1, 1), " ")]
+    at = F.lit("2024-01-05 00:00:00").cast("timestamp_ntz")
+    rows = [(1, "a.pdf", dt.datetime(2024, 1, 1), "factura factura"), (2, "b.pdf", dt.datetime(2024, 1, 1), " "), (4, "d.pdf", dt.datetime(2024, 1, 1), "remito")]
+    later = [(3, "c.pdf", dt.datetime(2024, 1, 2), "remito")]
     spark.createDataFrame(rows, ingest.DOCS_SCHEMA).write.parquet(source)
-    reg = registry.built_in_registry(spark)
+    files_ = [(i, f"/in/{i}.pdf", 5000, 2, i == 4, 0, 0, 500, 500, True) for i in (1, 2, 3, 4)]
+    manifest = spark.createDataFrame(files_, (
+        "doc_id bigint, path string, length bigint, page_count int, needs_pass boolean, permissions int, pages_with_images int, "
+        "total_characters bigint, extractable_chars bigint, has_early_text boolean"))
 
     def run():
-        ingest.ingest(spark, source, f"{target}/c", f"{target}/r", f"{target}/s", reg).awaitTermination()
+        ingest.ingest(spark, source, target, f"{target}/s", manifest, at).awaitTermination()
 
     run()
     run()
-    spark.createDataFrame([(3, "c.pdf", dt.datetime(2024, 1, 2), "remito")], ingest.DOCS_SCHEMA).write.mode("append").parquet(source)
+    spark.createDataFrame(later, ingest.DOCS_SCHEMA).write.mode("append").parquet(source)
     run()
-    assert [r.id for r in spark.read.parquet(f"{target}/c").select("id").orderBy("id").collect()] == [1, 3]
-    assert [r.doc_id for r in spark.read.parquet(f"{target}/r").collect()] == [2]
+    whole = spark.createDataFrame(rows + later, ingest.DOCS_SCHEMA)
+    path = new_path(spark, "whole")
+
+    def store(r):
+        r.write.partitionBy("tipo").parquet(path)
+        return spark.read.schema(r.schema).parquet(path)
+
+    want = batch.process(whole, manifest, None, at, store)
+    columns = ["doc_id", "success", "error", "classification", "confidence", "destination"]
+    ordered = lambda df, *c: sorted(map(tuple, df.select(*c).collect()), key=str)
+    assert ordered(spark.read.parquet(f"{target}/results"), *columns) == ordered(want.results, *columns)
+    assert ordered(spark.read.parquet(f"{target}/quarantine"), "path") == ordered(want.quarantine, "path") != []
+    stored = spark.read.parquet(f"{target}/catalog")
+    assert ordered(stored, "id", "tipo") == ordered(want.catalog, "id", "tipo") and len(ordered(stored, "id")) == 2
 
 
 def test_user_scorer_joins_the_vote(spark):
@@ -314,8 +339,14 @@ def test_user_scorer_joins_the_vote(spark):
     mine = spark.createDataFrame([(1, "contratos", 0.9)], "doc_id int, type string, confidence double")
     from legajo.rules import ensemble
     weights = {**ensemble.WEIGHTS, "ml": 0.5}
-    got = one(cat.classify(docs, registry.built_in_registry(spark), extra_votes={"ml": mine}, weights=weights))
+    got = one(cat.classify(docs, extra_votes={"ml": mine}, weights=weights))
     assert got.tipo == "contratos" and got.confidence == pytest.approx(0.45)
+    done = cat.classify(docs, None, ("keyword",), {"theirs": mine}, {"keyword": 0.1, "theirs": 0.5})
+    got = one(cat.catalog_rows(done.withColumns({"filename": F.lit("f"), "processed_at": F.lit(None).cast("timestamp_ntz")})))
+    assert got.metodos_usados == ["keyword", "theirs"] and set(got.detalles_clasificacion.method_results) == {"keyword", "theirs"}
+    assert got.detalles_clasificacion.consensus.best_consensus == "contratos" and "theirs (0.90)" in got.detalles_clasificacion.decision.reasoning
+    with pytest.raises(ValueError, match="theirs"):
+        cat.classify(docs, None, ("keyword",), {"theirs": mine}, {"keyword": 0.1})
 
 
 def test_shared_folder_setting(spark):

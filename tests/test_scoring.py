@@ -12,13 +12,13 @@ from legajo.operators import catalog as cat
 from legajo.operators import classify
 from legajo.operators.suppliers import detect_supplier
 from legajo.rules import agro, commercial, edit, patterns, types
-from legajo.sources.registry import built_in_registry
+from legajo.sources.registry import built_in_rows
 
 
 @pytest.fixture(scope="module")
 def scored(spark):
     docs = spark.createDataFrame(list(enumerate(texts.ALL)), "doc_id int, text string")
-    voted = detect_supplier(classify.rule_votes(docs), built_in_registry(spark))
+    voted = detect_supplier(classify.rule_votes(docs), built_in_rows())
     return {r.doc_id: r for r in voted.collect()}
 
 
@@ -78,7 +78,7 @@ def test_trie_finds_every_literal(literals):
 
 def test_golden_decision(spark):
     docs = spark.createDataFrame([(1, texts.GOLDEN), (2, ""), (3, None)], "doc_id int, text string")
-    rows = {r.doc_id: r for r in cat.classify(docs, built_in_registry(spark)).collect()}
+    rows = {r.doc_id: r for r in cat.classify(docs).collect()}
     golden = rows[1]
     assert golden.tipo == "ordenes_pago"
     assert golden.confidence == pytest.approx(0.185167, abs=1e-6)
@@ -90,7 +90,7 @@ def test_golden_decision(spark):
 
 def test_expected_categories(spark):
     docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(texts.EXPECTED)], "doc_id int, text string")
-    rows = {r.doc_id: r.tipo for r in cat.classify(docs, built_in_registry(spark)).select("doc_id", "tipo").collect()}
+    rows = {r.doc_id: r.tipo for r in cat.classify(docs).select("doc_id", "tipo").collect()}
     wrong = [(texts.EXPECTED[i][0], rows[i]) for i in rows if rows[i] not in texts.EXPECTED[i][1]]
     assert not wrong
 
@@ -132,3 +132,24 @@ def test_edited_rules(spark):
     only = classify.rule_votes(spark.createDataFrame([(1, "12 34"), (2, "x")], "doc_id int, text string"), ["regex"], exprs=digits)
     assert {r.doc_id: (r.regex.type, r.regex.confidence) for r in only.collect()} == {
         1: ("numeros", pytest.approx(2 / 3)), 2: ("desconocido", 0.0)}
+
+
+FORMS = [
+    (r"\AFACTURA", "FACTURA N 1"), (r"TOTAL\Z", "el TOTAL"), (r"\xC9POCA", "la ÉPOCA"), (r"(?P<Num>\d+)-(?P=Num)", "12-12"), (r"[^A-Z\s]+\S\D\W", "..aB, "),
+    (r"[A-F]{3}\B", "xABCx"), (r"\u00D1u", "ÑU"), (r"(?i:Total)\b", "TOTAL 1"), (r"FACTURA", "factura"),
+]
+
+
+@pytest.mark.parametrize(("pattern", "text"), FORMS)
+def test_edited_patterns_keep_their_meaning(spark, pattern, text):
+    rules = edit.with_pattern({}, "t", pattern)
+    rows = [(0, text), (1, text.lower()), (2, text.upper()), (3, "zz"), (4, f"a\n{text}\nb"), (5, f"{text}!")]
+    docs = spark.createDataFrame(rows, "doc_id int, text string")
+    got = {r.doc_id: r.regex.confidence > 0 for r in classify.rule_votes(docs, ["regex"], exprs=rules).collect()}
+    assert got == {i: re.search(pattern, t, re.I | re.M) is not None for i, t in rows}
+
+
+@pytest.mark.parametrize("pattern", [r"[A-z]", r"\101", r"\N{BULLET}", r"(?a)x", "(", "İ"])
+def test_patterns_without_a_lower_form_are_refused(pattern):
+    with pytest.raises(ValueError):
+        edit.with_pattern({}, "t", pattern)
