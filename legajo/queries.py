@@ -677,7 +677,7 @@ def reprocess_unknown(spark, sf):
 
 @query
 def classification_log(spark, sf):
-    v = consensus.decide(votes(spark, sf), classify.RULE_METHODS, registry_patterns(built_in_registry(spark)))
+    v = decided(spark, sf)
     rows = audit.classification_log(v.withColumn("filename", F.col("doc_id").cast("string")), classify.RULE_METHODS)
     return rows.select(
         "document_path", "final_classification", r6("final_confidence").alias("final_confidence"),
