@@ -32,7 +32,7 @@ class Ids:
     """Token ids of texts as little-endian 32-bit numbers. A chunk's ids do not depend on its neighbours, so a
     text's ids are those of its chunks, of which the frequent ones are remembered."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, remembered: int = REMEMBERED) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task for each core
         from tokenizers import Tokenizer
 
@@ -42,7 +42,7 @@ class Ids:
         special = sorted((t.content for t in self.tokenizer.get_added_tokens_decoder().values()), key=len, reverse=True)
         self.special = re.compile("(" + "|".join(map(re.escape, special)) + ")") if special else None
         self.line_feed = self.tokenizer.encode("\n", add_special_tokens=False).ids[0]
-        self.memory = Memory(self.encoded, REMEMBERED)
+        self.memory = Memory(self.encoded, remembered)
 
     def encoded(self, chunks: list[str]) -> list[bytes]:
         """Ids of each chunk. Those that are a word with the blank before it are encoded as lines of one text, as a
@@ -80,11 +80,11 @@ class Ids:
 
 
 @cache
-def ids_of(path: str) -> Ids:
-    return Ids(path)
+def ids_of(path: str, remembered: int) -> Ids:
+    return Ids(path, remembered)
 
 
-def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, remembered: int = REMEMBERED) -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32`` (and ``ids``): token ids of each text with id 0 after them, cut
     only where longer than ``capacity``: into full pieces, but for the first, which takes what is left over."""
     checked(docs, id_col, text_col)
@@ -93,7 +93,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, id_col: s
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in chain.from_iterable(steps(b, 1) for b in batches):
             took: tuple[list, ...] = ([], [], [], [], [], [])
-            for doc, data in enumerate(ids_of(tokenizer_path).of(b.column(1).to_pylist())):
+            for doc, data in enumerate(ids_of(tokenizer_path, remembered).of(b.column(1).to_pylist())):
                 data += b"\0\0\0\0"
                 n = len(data) // 4
                 first = n % capacity or capacity
@@ -200,9 +200,10 @@ def pack(parts: DataFrame, capacity: int = 2048, lane_rows: int = 4_000_000) ->
     )
 
 
-def packed(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+def packed(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, remembered: int = REMEMBERED) -> DataFrame:
     """Pieces of all ``docs`` with their place: ``doc_id, piece, start, length, ids_crc32, sequence_id, offset``.
 
     A null or empty text is one piece of length 1, the end mark. See ``pieces`` and ``pack``.
+    ``remembered``: chunks whose ids a worker keeps (twice over), memory against time.
     """
-    return pack(stored(pieces(docs, tokenizer_path, capacity, id_col, text_col, with_ids), "tokens"), capacity)
+    return pack(stored(pieces(docs, tokenizer_path, capacity, id_col, text_col, with_ids, remembered), "tokens"), capacity)

@@ -116,7 +116,7 @@ def op6_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.packed(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return packing.packed(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), remembered=250_000)
 
 
 @query
