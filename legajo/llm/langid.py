@@ -58,7 +58,8 @@ def ngrams(text: str) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Model:
-    """``centroids`` (unit rows) of ``languages[owner]``; a text closer than ``radius`` (cosine) is not rejected."""
+    """``centroids`` (unit rows) of ``languages[owner]``; a text is rejected below the ``radius`` (a cosine)
+    of its nearest centroid."""
 
     languages: tuple[str, ...]
     owner: np.ndarray
@@ -72,7 +73,7 @@ class Model:
         return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
-        """Language, cosine and whether it is too far from every centroid, for each text."""
+        """Language, cosine and whether it is too far from the nearest centroid, for each text."""
         names, score, far = [UNKNOWN] * len(texts), np.zeros(len(texts)), np.ones(len(texts), bool)
         known = [i for i, t in enumerate(texts) if len(self.languages) and has_letter(t)]
         for at in range(0, len(known), 256):
@@ -80,12 +81,12 @@ class Model:
             cosine = self.vectors([texts[i] for i in part]) @ self.centroids.T
             best = cosine.argmax(axis=1)
             for i, b, c in zip(part, best, cosine, strict=True):
-                names[i], score[i], far[i] = self.languages[self.owner[b]], min(max(c[b], 0.0), 1.0), not (c >= self.radius).any()
+                names[i], score[i], far[i] = self.languages[self.owner[b]], min(max(c[b], 0.0), 1.0), c[b] < self.radius[b]
         return names, score, far
 
 
-def clustered(x: np.ndarray, count: int, rounds: int = 12) -> tuple[np.ndarray, np.ndarray]:
-    """Spherical k-means and the least cosine in each cluster. It starts from means of equal slices of the rows,
+def clustered(x: np.ndarray, count: int, low: float, rounds: int = 12) -> tuple[np.ndarray, np.ndarray]:
+    """Spherical k-means and the ``low`` quantile of the cosines in each cluster. It starts from means of equal slices of the rows,
     ordered by their cosine with the mean of all, so that a single odd text founds no cluster."""
     order = np.argsort(x @ x.mean(axis=0), kind="stable")
     slices = [s for s in np.array_split(order, min(count, len(x))) if len(s)]
@@ -96,7 +97,7 @@ def clustered(x: np.ndarray, count: int, rounds: int = 12) -> tuple[np.ndarray,
         sums = np.stack([x[of == k].sum(axis=0) if (of == k).any() else centers[k] for k in range(len(centers))])
         centers = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-12)
     of = (x @ centers.T).argmax(axis=1)
-    return centers, np.array([(x[of == k] @ centers[k]).min() if (of == k).any() else 1.0 for k in range(len(centers))])
+    return centers, np.array([np.quantile(x[of == k] @ centers[k], low) if (of == k).any() else 1.0 for k in range(len(centers))])
 
 
 def held_out(doc_id: Column) -> Column:
@@ -106,13 +107,14 @@ def held_out(doc_id: Column) -> Column:
 
 def fit(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", clusters: int = 3,
-    max_per_language: int = 400, max_languages: int = 256, slack: float = 0.3,
+    max_per_language: int = 400, max_languages: int = 256, low: float = 0.02, slack: float = 0.5,
 ) -> Model:
     """Learn from rows with a language, a text with letters, and an id that is not held out.
 
     Document frequencies come from all such rows. Centroids come from at most ``max_per_language`` whole texts of
     each language, the first by a hash of id, in one small group per language, for the ``max_languages`` most
-    frequent languages (ties by name). A centroid's radius is ``slack`` times the least cosine among its texts.
+    frequent languages (ties by name). A centroid's radius is ``slack`` times the ``low`` quantile of
+    the cosines of its texts, so that single odd texts of the sample do not widen it.
     No such row: an empty model, by which every text is ``und``.
     """
     checked(docs, id_col, text_col, lang_col)
@@ -155,19 +157,19 @@ def fit(
     def centroids(group: pd.DataFrame) -> pd.DataFrame:
         group = group[[has_letter(t) for t in group["text"]]].sort_values(["id", "text"]).head(max_per_language)
         if not len(group):
-            return pd.DataFrame({"lang": [], "center": [], "least": []})
-        centers, least = clustered(sent.value.vectors(list(group["text"])), clusters)
-        return pd.DataFrame({"lang": group["lang"].iloc[0], "center": [c.tolist() for c in centers.astype(np.float32)], "least": least})
+            return pd.DataFrame({"lang": [], "center": [], "near": []})
+        centers, near = clustered(sent.value.vectors(list(group["text"])), clusters, low)
+        return pd.DataFrame({"lang": group["lang"].iloc[0], "center": [c.tolist() for c in centers.astype(np.float32)], "near": near})
 
     sample = rows.join(F.broadcast(chosen), ["id", "lang"])  # max_languages * max_per_language narrow rows at most
-    found = sample.groupBy("lang").applyInPandas(centroids, "lang string, center array<float>, least double")
+    found = sample.groupBy("lang").applyInPandas(centroids, "lang string, center array<float>, near double")
     rows_found = sorted(found.collect(), key=lambda r: (r["lang"], r["center"]))  # max_languages * clusters rows
     if not rows_found:
         return empty
     languages = tuple(dict.fromkeys(r["lang"] for r in rows_found))
     return Model(
         languages, np.array([languages.index(r["lang"]) for r in rows_found]), np.array([r["center"] for r in rows_found], np.float64),
-        slack * np.array([r["least"] for r in rows_found]), idf,
+        slack * np.array([r["near"] for r in rows_found]), idf,
     )
 
 
@@ -181,7 +183,7 @@ def identified(docs: DataFrame, model: Model, text_col: str = "text", only_kept:
     """``docs`` with ``lang_pred``, ``score`` (cosine with the nearest centroid, 0 to 1) and ``rejected``; with
     ``only_kept`` the rows that are not rejected, as they are.
 
-    Rejected is a text farther from every centroid than its radius, and one without letters (null and empty
+    Rejected is a text farther from its nearest centroid than that one's radius, and one without letters (null and empty
     included), whose language is ``und`` and score 0. Equal cosines: the first language by name. Texts are read
     whole. Columns of these names give way to the new ones.
     """

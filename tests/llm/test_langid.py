@@ -83,3 +83,25 @@ def test_nothing_to_learn_from(spark):
     out = langid.identified(docs, langid.fit(docs)).collect()
     assert {r.lang_pred for r in out} == {"und"} and all(r.rejected for r in out)
     assert langid.identified(docs.limit(0), langid.fit(docs.limit(0))).collect() == []
+
+FOREIGN = {
+    "pl": "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem i powinni postępować wobec innych w duchu braterstwa. Każdy człowiek posiada wszystkie prawa i wolności zawarte w niniejszej deklaracji bez względu na różnice rasy, koloru, płci, języka, wyznania.",
+    "fi": "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto, ja heidän on toimittava toisiaan kohtaan veljeyden hengessä. Jokainen on oikeutettu kaikkiin tässä julistuksessa esitettyihin oikeuksiin ja vapauksiin ilman minkäänlaista rotuun, väriin, sukupuoleen perustuvaa erotusta.",
+    "tr": "Bütün insanlar hür, haysiyet ve haklar bakımından eşit doğarlar. Akıl ve vicdana sahiptirler ve birbirlerine karşı kardeşlik zihniyeti ile hareket etmelidirler. Herkes, ırk, renk, cinsiyet, dil, din, siyasi veya başka bir akide, milli veya içtimai menşe farkı gözetilmeksizin bu beyannamede ilan olunan tekmil haklardan yararlanabilir.",
+    "ru": "Все люди рождаются свободными и равными в своем достоинстве и правах. Они наделены разумом и совестью и должны поступать в отношении друг друга в духе братства.",
+}
+
+
+def test_languages_outside_the_learned_ones_are_rejected(spark, sf, model):
+    texts = [t * n for t in FOREIGN.values() for n in (1, 20)]
+    assert all(model.predict(texts)[2])
+    docs = table(spark, sf, "documents").collect()
+    assert sum(model.predict([r.text for r in docs])[2]) <= 0.01 * len(docs)
+
+
+def test_an_odd_text_does_not_widen_the_radius():
+    rng = np.random.default_rng(3)
+    x = np.abs(rng.normal(1, 0.1, (100, 50)))
+    x[0] = np.eye(50)[0]
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    assert langid.clustered(x, 1, 0.02)[1][0] > 0.9
