@@ -6,7 +6,8 @@ import os
 import unicodedata
 from collections.abc import Iterator
 from functools import cache
-from itertools import chain
+from itertools import chain, pairwise
+from string import ascii_letters
 from typing import NamedTuple
 
 import numpy as np
@@ -54,10 +55,22 @@ class Coder:
             self.tokens[i] = token
         #: Special tokens are looked for in the text itself, so a window must hold one and what stands before it.
         self.longest = max((len(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()), default=0)
+        self.merge = self.tokenizer.model.tokenize
+        #: Whether all that happens to a word of ASCII letters before its merges is lower-casing: letters are cut from
+        #: one another nowhere, so a few words that hold every letter in both cases, long and short, tell.
+        self.plain = not any(t.content.isalpha() for t in self.tokenizer.get_added_tokens_decoder().values()) and all(
+            [t.id for t in self.merge(w.lower())] == self.tokenizer.encode(w, add_special_tokens=False).ids
+            for w in (ascii_letters, *ascii_letters, *map("".join, pairwise(ascii_letters * 2)), "sstrevemlld" * 30)
+        )
         self.memory = Memory(self.encoded, REMEMBERED)
 
-    def encoded(self, words: list[str]) -> Iterator[bytes]:
-        return (np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False))
+    def encoded(self, words: list[str]) -> list[bytes]:
+        """Ids of each word. Words of ASCII letters only go to the tokenizer's model at once where ``plain`` holds."""
+        found = {w: np.array([t.id for t in self.merge(w.lower())], "<u4").tobytes() for w in words if self.plain and w.isalpha() and w.isascii()}
+        rest = [w for w in words if w not in found]
+        for w, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
+            found[w] = np.array(e.ids, "<u4").tobytes()
+        return [found[w] for w in words]
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         split = [None if t and any(s in t for s in SEPARATORS) else (t or "").split() for t in texts]
@@ -175,7 +188,8 @@ def _long_ids(rows: DataFrame, path: str, leaf: int) -> DataFrame:
 
     parts = stored(map_arrow(rows, "key long, leaf long, text string", cut), "leaves")
     most = parts.agg(F.max("leaf")).first()[0]
-    tree = parts.repartition(F.xxhash64("key", "leaf")).mapInPandas(encode, PARTS)
+    several = max(2, parts.sparkSession.sparkContext.defaultParallelism)  # without a number small parts would share one task
+    tree = parts.repartition(several, F.xxhash64("key", "leaf")).mapInPandas(encode, PARTS)
     while most:
         tree = tree.groupBy("key", F.floor(F.col("leaf") / 2).alias("_pair")).applyInPandas(pair, PARTS)
         most //= 2

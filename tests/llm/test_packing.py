@@ -23,12 +23,23 @@ def test_ids_as_the_library(text):
     assert np.frombuffer(OWN.of([text])[0], "<u4").tolist() == LIBRARY.encode(text, add_special_tokens=False).ids
 
 
-def test_memory_of_two_generations():
-    small = packing.Ids(PATH)
-    small.memory.limit = 3
-    for text in ("a b c d e f", "a b", "a x y z", "b c"):
-        assert np.frombuffer(small.of([text, None])[0], "<u4").tolist() == LIBRARY.encode(text, add_special_tokens=False).ids
-    assert len(small.memory.new) + len(small.memory.old) < 12
+def test_vocabularies_that_merge_otherwise_are_left_to_the_library():
+    assert OWN.fast is not None
+    other = public_tokenizers.path("word_bpe_49k.json")
+    slow, library = packing.Ids(other), Tokenizer.from_file(other)
+    assert slow.fast is None
+    assert [np.frombuffer(b, "<u4").tolist() for b in slow.of(["Don't stop", None])] == [library.encode("Don't stop", add_special_tokens=False).ids, []]
+
+
+def test_every_character_of_the_basic_plane():
+    texts = [f"a{c}b {c} 1{c}2{c}{c}! {c}" for c in map(chr, range(0x10000)) if not "\ud800" <= c <= "\udfff"]
+    want = LIBRARY.encode_batch_fast(texts, add_special_tokens=False)
+    assert OWN.of(texts) == [np.array(e.ids, "<u4").tobytes() for e in want]
+
+
+def test_long_runs():
+    for text in ("a" * 200_000, "!" * 100_000, " " * 50_000 + "x", "\n" * 50_000, "7" * 50_000, "aA" * 50_000):
+        assert np.frombuffer(OWN.of([text])[0], "<u4").tolist() == LIBRARY.encode(text, add_special_tokens=False).ids
 
 
 def test_white_space_of_every_character():

@@ -2,7 +2,6 @@ import random
 
 import pytest
 
-import corpus_pipeline
 from legajo.llm import similar
 
 
@@ -59,7 +58,7 @@ def test_prefixes_of_similar_sets_meet(monkeypatch, slots):
 def test_stage_drops_what_is_four_fifths_alike(spark):
     rows = near_rows()
     docs = spark.createDataFrame([(t, i) for i, t in rows], "text string, doc_id long")
-    kept = corpus_pipeline.without_near_copies(spark, docs, "")
+    kept = similar.drop_similar(docs, words=5, percent=80)
     assert kept.columns == ["text", "doc_id"] and sorted(r.doc_id for r in kept.collect()) == brute_kept(rows)
 
 
