@@ -8,7 +8,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from legajo.llm import dedup, langid, packing, quality, similar
+from legajo.llm import dedup, langid, packing, quality, simhash
 from legajo.llm.common import stored
 from legajo.llm.queries import ratings
 
@@ -29,8 +29,8 @@ def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by a Jaccard similarity of 0.8 or more of five-word shingles the one with the smallest id."""
-    return similar.drop_similar(docs, words=5, percent=80)
+    """Of documents linked by fingerprints of three-word shingles that differ in at most three bits the one with the smallest id."""
+    return simhash.drop_near(docs, words=3, limit=3)
 
 
 def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
