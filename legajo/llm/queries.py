@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from legajo.llm import bpe, chat, dedup, langid, licenses, packing, quality, simhash, topk, warc
+from legajo.llm import bpe, chat, dedup, langid, licenses, packing, quality, simhash, spelling, topk, vectorcodes, warc
 from legajo.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -147,3 +147,53 @@ WITH n AS (
 SELECT n.doc_id, g.keep_id, g.group_size, n.doc_id = g.keep_id AS kept, sha256(n.t) AS text_sha256
 FROM n JOIN g ON n.t = g.t
 """
+
+
+@query
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes = vectorcodes.compressed(table(spark, sf_dir, "embeddings"))
+    text = F.array_join(F.transform("codes", lambda c: F.lower(F.lpad(F.hex(c), 2, "0"))), "")
+    return vectorcodes.with_label_error(codes.rows).select(
+        F.col("id").alias("vec_id"), text.alias("code"), "error", "label_error",
+        F.lit(vectorcodes.codebooks_sha256(codes.codebooks)).alias("codebooks_sha256"),
+    )
+
+
+def _code_rounds(rounds: int) -> str:
+    """``a<i>`` assigns every part to the entries of ``b<i>``, from which ``b<i+1>`` follows."""
+    steps = []
+    for i in range(rounds + 1):
+        steps.append(f"""d{i} AS MATERIALIZED (
+  SELECT p.rid, p.part, b.entry, CAST(sum((p.x - b.x) * (p.x - b.x)) AS BIGINT) AS far FROM p JOIN b{i} b USING (part, place) GROUP BY ALL
+), a{i} AS MATERIALIZED (
+  SELECT rid, part, entry, far FROM (SELECT *, row_number() OVER (PARTITION BY rid, part ORDER BY far, entry) AS place FROM d{i}) WHERE place = 1
+)""")
+        if i < rounds:
+            steps.append(f"""m{i} AS MATERIALIZED (
+  SELECT part, entry, place, CAST(sum(x) AS BIGINT) AS total, count(*) AS n FROM p JOIN a{i} USING (rid, part) GROUP BY ALL
+), b{i + 1} AS MATERIALIZED (
+  SELECT b.part, b.entry, b.place, coalesce((m.total - ((m.total % m.n) + m.n) % m.n) // m.n, b.x) AS x FROM b{i} b LEFT JOIN m{i} m USING (part, entry, place)
+)""")
+    return ", ".join(steps)
+
+
+SQL["op13_vector_codes"] = f"""
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY vec_id, embedding) AS rid, vec_id, label,
+    list_transform(embedding, lambda x: CAST(floor(4096 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+), u AS (SELECT rid, len(e) // 8 AS width, unnest(e) AS x, generate_subscripts(e, 1) - 1 AS k FROM v
+), p AS MATERIALIZED (SELECT rid, k // width AS part, k % width AS place, x FROM u
+), b0 AS MATERIALIZED (SELECT part, rid - 1 AS entry, place, x FROM p WHERE rid <= 16
+), {_code_rounds(6)}
+, c AS (SELECT rid, string_agg(lpad(lower(hex(entry)), 2, '0'), '' ORDER BY part) AS code, CAST(sum(far) AS BIGINT) AS error FROM a6 GROUP BY rid
+), l AS (SELECT label, CAST(sum(error) AS BIGINT) AS label_error FROM c JOIN v USING (rid) GROUP BY label)
+SELECT v.vec_id, c.code, c.error, l.label_error,
+  (SELECT sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY part, entry, place)) FROM b6) AS codebooks_sha256
+FROM v JOIN c USING (rid) JOIN l ON v.label IS NOT DISTINCT FROM l.label
+"""
+
+
+@query
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents")).select("word", "form", "root", "n", "n_near", "form_n")
