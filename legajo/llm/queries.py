@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from legajo.llm import bpe, chat, dedup, langid, licenses, packing, quality, simhash, spelling, topk, vectorcodes, warc
+from legajo.llm import bpe, chat, dedup, jaccard, langid, licenses, packing, quality, simhash, spelling, topk, vectorcodes, warc
 from legajo.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -197,3 +197,8 @@ FROM v JOIN c USING (rid) JOIN l ON v.label IS NOT DISTINCT FROM l.label
 @query
 def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(table(spark, sf_dir, "documents")).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+@query
+def op12_similar_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similar_groups(table(spark, sf_dir, "documents"))

@@ -35,7 +35,7 @@ def test_query_equals_sql(spark, db, sf, name):
 
 def test_registered():
     numbers = sorted(int(n[2:].split("_")[0]) for n in QUERIES)
-    assert numbers == list(range(1, 11))
+    assert numbers == list(range(1, 14))
     assert set(QUERIES) | {"pipeline"} <= set(spark_entry.queries()) and set(SQL) <= set(spark_entry.oracle_sql())
 
 
