@@ -60,6 +60,7 @@ def rows():
         for _ in range(4):
             k = rnd.randrange(len(w))
             often[rnd.choice([w[:k] + w[k + 1 :], w[:k] + rnd.choice(letters) + w[k:], w[:k] + rnd.choice(letters) + w[k + 1 :]])] = rnd.choice([2, 3, 40])
+    often |= {"rootword": 700, "rootwordo": 40, "rootwordom": 3}
     stream = [w for w, n in often.items() for _ in range(n)]
     rnd.shuffle(stream)
     texts = [" ".join(stream[i : i + 50]) for i in range(0, len(stream), 50)]
