@@ -8,12 +8,16 @@ from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from legajo.functions import text as tx
+from legajo.functions.bits import bit_set, may_hold
 from legajo.rules import suppliers as rules
 from legajo.session import broadcast_if_small, spread_nulls
 from legajo.sources.registry import registry_patterns
 
-#: Characters of a term by which texts find it; a shorter term is found by all of its own.
-KEY = 4
+#: Characters of the grams by which texts find a term, the next size where a term's rarest gram is still too frequent.
+#: A term shorter than the first size is found by all of its characters.
+GRAMS = (4, 8, 16)
+#: Terms that may share a gram before they are filed under a longer one.
+POSTING = 16
 
 
 def _partial_words(name: str) -> list[str]:
@@ -121,24 +125,69 @@ def _words(name: Column) -> Column:
     return F.filter(F.split(F.upper(name), r"(?U)\s+"), lambda w: w != "")
 
 
+def _grams(text: Column, size: int) -> Column:
+    """The stretch of ``size`` characters at every position but the last few, in one pass (by a look-ahead)."""
+    return F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1))
+
+
+def term_index(terms: DataFrame) -> DataFrame:
+    """``gram, size, term``: each distinct term under the rarest of its grams (ties by the gram).
+
+    Grams are counted over all terms. A term whose rarest gram more than ``POSTING`` terms share is filed anew by a
+    longer one, so terms that begin alike, or share any stretch, still spread over many postings.
+    """
+    left = terms.select("term").distinct().withColumn("_n", F.char_length("term"))
+    short = left.filter(F.col("_n") < GRAMS[0]).select(F.col("term").alias("gram"), F.col("_n").alias("size"), "term")
+    filed, left = [short], left.filter(F.col("_n") >= GRAMS[0])
+    for size, longer in zip(GRAMS, (*GRAMS[1:], None), strict=True):
+        held = left.select("term", "_n", F.explode(F.array_distinct(_grams(F.col("term"), size))).alias("gram"))
+        counts = held.groupBy("gram").agg(F.count("*").alias("_terms"))
+        rarest = held.join(counts, "gram").groupBy("term", "_n").agg(F.min(F.struct("_terms", "gram")).alias("_r"))
+        again = F.lit(False) if longer is None else (F.col("_r._terms") > POSTING) & (F.col("_n") >= longer)
+        filed.append(rarest.filter(~again).select(F.col("_r.gram").alias("gram"), F.lit(size).alias("size"), "term"))
+        left = rarest.filter(again).select("term", "_n")
+    index = filed[0]
+    for f in filed[1:]:
+        index = index.unionByName(f)
+    return index
+
+
+def term_candidates(docs: DataFrame, index: DataFrame) -> DataFrame:
+    """``doc_id, term, around``: terms whose gram stands in a text, with the stretch of text around it that holds the
+    term if the term is there. A document meets the postings of its own grams only.
+
+    Grams that no term is filed under are dropped in the row, by a set of bits; what is shuffled are the others. The
+    text itself is not: a stretch of the longest term's length on both sides decides.
+    """
+    # a row for each size in use, and one number
+    sizes = sorted(r["size"] for r in index.select("size").distinct().collect())
+    longest = index.agg(F.max(F.char_length("term")).alias("n")).first()["n"] or 0
+    lean = docs.select("doc_id", F.upper(tx.text_or_empty(F.col("text"))).alias("_text"), bit_set(index, "gram").alias("_known"))
+    found = None
+    for size in sizes:
+        held = lean.withColumn("_g", _grams(F.col("_text"), size)).filter(F.size("_g") > 0)
+        places = F.filter(F.sequence(F.lit(0), F.size("_g") - 1), lambda i: may_hold(F.col("_known"), F.get("_g", i)))
+        # places count characters, but for texts with characters beyond the basic plane, which are looked at whole
+        plain = F.size("_g") == F.char_length("_text") - (size - 1)
+        start = lambda i: F.greatest(i + 1 - longest, F.lit(1))
+        around = F.explode(F.array_distinct(F.transform(places, lambda i: F.struct(
+            F.get("_g", i).alias("gram"), F.when(plain, F.substring(F.col("_text"), start(i), F.lit(2 * longest))).otherwise(F.col("_text")).alias("around"),
+        ))))
+        rows = held.select("doc_id", around.alias("x")).select("doc_id", "x.gram", "x.around")
+        found = rows if found is None else found.unionByName(rows)
+    if found is None:
+        return docs.select("doc_id", F.lit("").alias("term"), F.lit("").alias("around")).filter(F.lit(False))
+    return found.join(broadcast_if_small(index.select("gram", "term")), "gram").select("doc_id", "term", "around")
+
+
 def _best_by_join(docs: DataFrame, registry: DataFrame) -> DataFrame:
     """``doc_id, _top`` for documents in which any term of the registry occurs.
 
-    A text's distinct stretches of ``KEY`` characters meet the terms that begin so; the terms found are tested
-    against the text, and only those that occur meet their suppliers. Nothing of the registry goes through the
-    driver, and the plan does not depend on its size.
+    Texts meet terms by an index of rarest grams; terms found are tested against the text around, and only those that
+    occur meet their suppliers. Of the registry a set of bits of fixed size goes to the tasks.
     """
     terms = registry_terms(registry)
-    text = F.upper(tx.text_or_empty(F.col("text")))
-    # regexp_extract_all with a look-ahead takes the stretch at every position, in one pass
-    stretches = F.array_distinct(F.flatten(F.array(*[
-        F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in range(1, KEY + 1)
-    ])))
-    keys = terms.select("term").distinct().select("term", F.substring("term", 1, KEY).alias("key"))
-    starts = docs.select("doc_id", F.explode(stretches).alias("key"))
-    candidates = starts.join(keys, "key").groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_set("term").alias("_terms"))
-    there = docs.select("doc_id", text.alias("_text")).join(candidates, F.col("doc_id") == F.col("_doc"))
-    hits = there.select("doc_id", F.explode(F.filter("_terms", lambda t: F.contains(F.col("_text"), t))).alias("term"))
+    hits = term_candidates(docs, term_index(terms)).filter(F.contains("around", F.col("term"))).select("doc_id", "term").distinct()
     found = hits.join(terms, "term").groupBy("doc_id", "supplier_id", "ord", "kind", "part").agg(
         F.count("*").alias("n"), F.max("size").alias("size")
     )
@@ -166,13 +215,14 @@ def supplier_lookup(docs: DataFrame, registry: DataFrame, id_column: str = "doc_
     return docs.join(broadcast_if_small(entries), spread_nulls("supplier_id", id_column) == F.col("_sid"), "left").drop("_sid")
 
 
-def supplier_boost(docs: DataFrame, registry: DataFrame, type_column: str = "doc_type") -> DataFrame:
+def supplier_boost(docs: DataFrame, registry: DataFrame, type_column: str = "doc_type", id_column: str = "doc_id") -> DataFrame:
     """Add ``supplier_boost`` for the document's supplier and type; 0 without an entry."""
     boosts = registry_patterns(registry).select(
-        "supplier_id", F.col("doc_type").alias(type_column), F.col("confidence_boost").alias("_boost")
+        F.col("supplier_id").alias("_sid"), F.col("doc_type").alias("_type"), F.col("confidence_boost").alias("_boost")
     )
-    joined = docs.join(broadcast_if_small(boosts), ["supplier_id", type_column], "left")
-    return joined.withColumn("supplier_boost", F.coalesce("_boost", F.lit(0.0))).drop("_boost")
+    same = (spread_nulls("supplier_id", id_column) == F.col("_sid")) & (F.col(type_column) == F.col("_type"))
+    joined = docs.join(broadcast_if_small(boosts), same, "left")
+    return joined.withColumn("supplier_boost", F.coalesce("_boost", F.lit(0.0))).drop("_sid", "_type", "_boost")
 
 
 def search_suppliers(registry: DataFrame, query: str) -> DataFrame:

@@ -230,7 +230,7 @@ def supplier_lookup(spark, sf):
 @query
 def supplier_boost(spark, sf):
     typed = catalog(spark, sf).select("id", F.col("proveedor_id").alias("supplier_id"), F.col("tipo").alias("doc_type"))
-    done = suppliers.supplier_boost(typed, built_in_registry(spark))
+    done = suppliers.supplier_boost(typed, built_in_registry(spark), id_column="id")
     return done.select("id", "supplier_id", "doc_type", r6("supplier_boost").alias("supplier_boost"))
 
 

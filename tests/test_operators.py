@@ -90,6 +90,20 @@ def test_supplier_detection_by_join_and_by_columns(spark):
     assert joined.filter("supplier_id is not null").count() >= 4
 
 
+def test_terms_that_begin_alike_spread_over_postings(spark):
+    """A hundred thousand names with a common beginning: a text meets those that share its rarest grams only."""
+    names = spark.range(100_000).select(F.format_string("SUPPLIER#%09d", F.col("id") * 7919 % 1_000_003).alias("term"))
+    index = suppliers.term_index(names)
+    assert index.count() == 100_000 and index.groupBy("gram").count().agg(F.max("count")).first()[0] <= 16 * 13
+    wanted = [r.term for r in names.limit(5).collect()]
+    texts_ = [f"pago a {t.lower()} y otros 🙂 {t}x" for t in wanted] + ["SUPPLIER# sin número", "nada", None, "SUPPLIER#" * 50]
+    docs = spark.createDataFrame(list(enumerate(texts_)), "doc_id int, text string")
+    found = suppliers.term_candidates(docs, index)
+    assert found.count() <= 200 * len(texts_)
+    hits = found.filter(F.contains("around", F.col("term"))).select("doc_id", "term").distinct().collect()
+    assert sorted((r.doc_id, r.term) for r in hits) == list(enumerate(wanted))
+
+
 def test_in_row_decision_agrees_with_grouped_consensus(spark, sf):
     from legajo.queries import votes
     voted = votes(spark, sf)
