@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from datetime import datetime
+from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from legajo.functions import metadata as md
 from legajo.functions import text as tx
+from legajo.functions.bits import bit_set, may_hold
 from legajo.operators import consensus
 from legajo.operators.classify import RULE_METHODS, rule_votes
 from legajo.operators.suppliers import detect_supplier
@@ -178,12 +180,10 @@ def page(
     catalog: DataFrame, order_by: str = rules.DEFAULT_ORDER, descending: bool = True, skip: int = 0,
     limit: int = 50, allowed: Sequence[str] = tuple(rules.PAGE_ORDER),
 ) -> DataFrame:
-    """One page in a total order: unknown order columns fall back, the id breaks ties."""
-    if not 1 <= limit <= rules.PAGE_LIMIT:
-        raise ValueError(f"limit must be between 1 and {rules.PAGE_LIMIT}")
-    column = order_by if order_by in allowed else rules.DEFAULT_ORDER
-    key = F.col(column).desc_nulls_last() if descending else F.col(column).asc_nulls_first()
-    return catalog.select(*rules.LIST_COLUMNS).orderBy(key, "id").offset(skip).limit(limit)
+    """One page in a total order: unknown order columns fall back, the id breaks ties. Cheap for the first pages; for
+    deep ones see ``page_at`` and ``page_after``."""
+    _checked_limit(limit)
+    return catalog.select(*rules.LIST_COLUMNS).orderBy(*_order_keys(order_by, descending, allowed)).offset(skip).limit(limit)
 
 
 def search_page(catalog: DataFrame, condition: Column, **paging) -> DataFrame:
@@ -237,33 +237,120 @@ def confidence_band(confidence: Column) -> Column:
 
 
 def route(docs: DataFrame, root: str) -> DataFrame:
-    """Add ``dest_path``: ``<root>/<tipo>/<name>``; of rows that share a path all but the first get
-    their processing time, and from the third on also a number, before the extension.
-
-    Only paths that really collide are ordered, and within one path the rows are spread by their
-    processing day before they are numbered.
+    """Add ``dest_path``: ``<root>/<tipo>/<name>``; of rows that share a path all but the first (by processing time,
+    then id) get their processing time before the extension, and those that share the second as well, but for the
+    lowest id, their id too.
+
+    One narrow pass counts the rows of each path, combined before the shuffle. Paths that more than one row wants
+    become a set of bits of fixed size, and a row whose path is not in it keeps its path where it is: only the others
+    are joined with the first row of their path and of their second. Those tables have a row for each colliding path;
+    Spark splits a path that many rows share. Null ids, paths or times sort first.
     """
     base = F.concat_ws("/", F.lit(root), F.col("tipo"), F.element_at(F.split("filename", "/"), -1))
-    placed = docs.withColumn("_dest", base)
-    first = placed.groupBy("_dest").agg(
-        F.min(F.struct("processed_at", "doc_id")).alias("_first"), F.count("*").alias("_n")
-    ).filter(F.col("_n") > 1)
-    clashes = placed.join(first, "_dest", "left")
-    stamp = F.date_format("processed_at", "yyyyMMdd_HHmmss")
-    later = F.col("_first").isNotNull() & (F.struct("processed_at", "doc_id") != F.col("_first"))
-    # The document id keeps names apart that share the second as well.
-    suffix = F.concat(F.lit("_"), stamp)
-    same = placed.groupBy("_dest", F.date_format("processed_at", "yyyyMMdd_HHmmss").alias("_stamp")).agg(
-        F.min("doc_id").alias("_lowest"), F.count("*").alias("_same")).filter(F.col("_same") > 1)
-    numbered = clashes.withColumn("_stamp", stamp).join(same, ["_dest", "_stamp"], "left")
-    suffix = F.when(
-        F.col("_same").isNotNull() & (F.col("doc_id") != F.col("_lowest")),
-        F.concat(suffix, F.lit("_"), F.col("doc_id").cast("string")),
-    ).otherwise(suffix)
+    stamp = F.coalesce(F.date_format("processed_at", "yyyyMMdd_HHmmss"), F.lit(""))
+    place = F.struct("processed_at", "doc_id")
+    narrow = docs.select(base.alias("_dest"), stamp.alias("_stamp"), place.alias("_place"), F.col("doc_id").alias("_id"))
+    first = narrow.groupBy("_dest").agg(F.min("_place").alias("_first"), F.count("*").alias("_n")).filter(F.col("_n") > 1).select("_dest", "_first")
+    placed = docs.withColumns({"_dest": base, "_stamp": stamp, "_known": bit_set(first, "_dest")})
+    clash = may_hold(F.col("_known"), F.col("_dest"))
+    alone = placed.filter(~clash).select(*docs.columns, F.col("_dest").alias("dest_path"))
+    among = narrow.join(first.select("_dest"), "_dest", "left_semi")
+    lowest = among.groupBy("_dest", "_stamp").agg(F.min("_id").alias("_lowest"))
+    met = placed.filter(clash).drop("_known").join(first, "_dest", "left").join(lowest, ["_dest", "_stamp"], "left")
+    later = F.col("_first").isNotNull() & ~place.eqNullSafe(F.col("_first"))
+    number = F.when(~F.col("doc_id").eqNullSafe(F.col("_lowest")), F.concat(F.lit("_"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).otherwise("")
     extension = F.regexp_extract("_dest", r"(\.[^./]*)$", 1)
     stem = F.regexp_replace("_dest", r"\.[^./]*$", "")
-    path = F.when(later, F.concat(stem, suffix, extension)).otherwise(F.col("_dest"))
-    return numbered.select(*docs.columns, path.alias("dest_path"))
+    path = F.when(later, F.concat(stem, F.lit("_"), F.col("_stamp"), number, extension)).otherwise(F.col("_dest"))
+    return alone.unionByName(met.select(*docs.columns, path.alias("dest_path")))
+
+
+# ---------------------------------------------------------------- pages of an order
+
+
+class Order(NamedTuple):
+    """A catalog's list columns in one total order, in ranges that follow each other: ``rows`` with ``_range``, and
+    ``directory`` with how many rows there are before each range (``_range, n, before``)."""
+
+    rows: DataFrame
+    directory: DataFrame
+    keys: list[Column]
+
+
+def _order_keys(order_by: str, descending: bool, allowed: Sequence[str]) -> list[Column]:
+    column = order_by if order_by in allowed else rules.DEFAULT_ORDER
+    key = F.col(column).desc_nulls_last() if descending else F.col(column).asc_nulls_first()
+    return [key, F.col("id").asc()]
+
+
+def write_order(
+    catalog: DataFrame, path: str, order_by: str = rules.DEFAULT_ORDER, descending: bool = True,
+    allowed: Sequence[str] = tuple(rules.PAGE_ORDER), ranges: int | None = None,
+) -> None:
+    """Write ``catalog`` for paging in one order: range-sorted by the order column and the id, so that rows with equal
+    values still spread over ranges, a folder each; then a count of each range."""
+    keys = _order_keys(order_by, descending, allowed)
+    listed = catalog.select(*rules.LIST_COLUMNS)
+    spread = listed.repartitionByRange(ranges, *keys) if ranges else listed.repartitionByRange(*keys)
+    spread.sortWithinPartitions(*keys).withColumn("_range", F.spark_partition_id()).write.partitionBy("_range").parquet(f"{path}/rows")
+    spark = catalog.sparkSession
+    written = StructType([*spread.schema.fields, StructField("_range", IntegerType())])
+    counts = spark.read.schema(written).parquet(f"{path}/rows").groupBy("_range").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))  # a row for each range
+    counts.select("_range", "n", F.coalesce(before, F.lit(0)).alias("before")).coalesce(1).write.parquet(f"{path}/directory")
+
+
+def read_order(spark: SparkSession, path: str, order_by: str = rules.DEFAULT_ORDER, descending: bool = True, allowed: Sequence[str] = tuple(rules.PAGE_ORDER)) -> Order:
+    """What ``write_order`` wrote with the same order. A catalog without rows has an empty directory."""
+    directory = spark.read.parquet(f"{path}/directory")
+    if directory.isEmpty():
+        rows = spark.createDataFrame([], SCHEMA).select(*rules.LIST_COLUMNS, F.lit(0).alias("_range"))
+    else:
+        rows = spark.read.parquet(f"{path}/rows")
+    return Order(rows, directory, _order_keys(order_by, descending, allowed))
+
+
+def page_at(order: Order, skip: int = 0, limit: int = 50) -> DataFrame:
+    """Rows ``skip`` to ``skip + limit`` of an order. The directory names the ranges that hold them, one or two as a
+    rule; only their folders are read, however deep the page lies."""
+    _checked_limit(limit)
+    held = order.directory.filter((F.col("before") < skip + limit) & (F.col("before") + F.col("n") > skip)).collect()
+    start = {r["_range"]: r["before"] for r in held}  # no more ranges than the page has rows
+    rows = order.rows.filter(F.col("_range").isin(*start)) if start else order.rows.filter(F.lit(False))
+    before = F.lit(0).cast("long")
+    for r, n in start.items():
+        before = F.when(F.col("_range") == r, n).otherwise(before)
+    place = before + F.row_number().over(Window.partitionBy("_range").orderBy(*order.keys)) - 1
+    page = rows.withColumn("_place", place).filter((F.col("_place") >= skip) & (F.col("_place") < skip + limit))
+    return page.orderBy("_place").drop("_place", "_range")
+
+
+def page_after(
+    catalog: DataFrame, after: tuple[object, int] | None = None, order_by: str = rules.DEFAULT_ORDER, descending: bool = True,
+    limit: int = 50, allowed: Sequence[str] = tuple(rules.PAGE_ORDER),
+) -> DataFrame:
+    """The page that follows ``after``, the order value and id of the last row seen (None: the first page).
+
+    What lies before is filtered away where the files are read, so the next page costs what the first one does.
+    """
+    _checked_limit(limit)
+    column = order_by if order_by in allowed else rules.DEFAULT_ORDER
+    rows = catalog
+    if after is not None:
+        value, last = after
+        c, tie = F.col(column), F.col("id") > last
+        if value is None:
+            beyond = c.isNull() & tie if descending else (c.isNull() & tie) | c.isNotNull()
+        else:
+            further = (c < F.lit(value)) | c.isNull() if descending else c > F.lit(value)
+            beyond = further | ((c == F.lit(value)) & tie)
+        rows = rows.filter(beyond)
+    return rows.select(*rules.LIST_COLUMNS).orderBy(*_order_keys(order_by, descending, allowed)).limit(limit)
+
+
+def _checked_limit(limit: int) -> None:
+    if not 1 <= limit <= rules.PAGE_LIMIT:
+        raise ValueError(f"limit must be between 1 and {rules.PAGE_LIMIT}")
 
 
 # ---------------------------------------------------------------- statistics

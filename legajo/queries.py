@@ -6,7 +6,7 @@ from collections.abc import Callable
 from datetime import datetime
 from functools import cache
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from legajo.functions import metadata as md
@@ -15,6 +15,7 @@ from legajo.functions import text as tx
 from legajo.operators import audit, bayes, classify, consensus, layout, pages, review, suppliers, validation
 from legajo.operators import catalog as cat
 from legajo.plans import batch
+from legajo.rules import catalog as catalog_rules
 from legajo.rules import edit, patterns, types
 from legajo.rules.ensemble import DOMAIN_THRESHOLD
 from legajo.session import new_path, written_table
@@ -484,6 +485,38 @@ def catalog_search_page(spark, sf):
     ))
 
 
+def _ordered(spark, sf, order_by: str, descending: bool) -> cat.Order:
+    path = new_path(spark, f"order-{order_by}")
+    cat.write_order(catalog(spark, sf), path, order_by, descending, ranges=16)
+    return cat.read_order(spark, path, order_by, descending)
+
+
+@query
+def catalog_page_seek(spark, sf):
+    """A page far down an order, from the one or two ranges that hold it."""
+    return _shown(cat.page_at(_ordered(spark, sf, "confidence", True), skip=1100, limit=70))
+
+
+@query
+def catalog_pages_whole(spark, sf):
+    """Every row with the number of its page, from the ranges and their directory."""
+    order = _ordered(spark, sf, "filename", False)
+    local = F.row_number().over(Window.partitionBy("_range").orderBy(*order.keys))
+    numbered = order.rows.join(F.broadcast(order.directory), "_range")  # a row for each range
+    return numbered.select("id", F.floor((F.col("before") + local - 1) / 50).alias("page"))
+
+
+@query
+def catalog_search_page_after(spark, sf):
+    """The third page of a search, each from where the one before it ended."""
+    found, last = catalog(spark, sf).filter(cat.search_filter(tipo="facturas")), None
+    for _ in range(3):
+        seen = cat.page_after(found, last, "cuit", False, limit=25, allowed=catalog_rules.SEARCH_ORDER)
+        end = seen.select("cuit", "id").collect()[-1:]  # a page
+        last = (end[0]["cuit"], end[0]["id"]) if end else last
+    return _shown(seen)
+
+
 @query
 def catalog_by_id(spark, sf):
     return _shown(cat.by_id(catalog(spark, sf), 1200))
@@ -502,8 +535,7 @@ def note_hunt(spark, sf):
 
 @query
 def unknown_preview(spark, sf):
-    seen = cat.unknown_preview(catalog(spark, sf))
-    return seen.select("id", "filename", "tipo", "proveedor", F.substring("details_preview", 1, 45).alias("details_preview"))
+    return cat.unknown_preview(catalog(spark, sf))
 
 
 @query
@@ -1041,11 +1073,11 @@ def export_searched(spark, sf):
 
 @query
 def catalog_appended(spark, sf):
-    """Two batches appended to a catalog folder."""
+    """The whole catalog appended to a folder in two batches."""
     path = new_path(spark, "appended")
     rows = catalog(spark, sf)
-    for kind in ("facturas", "remitos"):
-        cat.append_catalog(rows.filter(F.col("tipo") == kind), path)
+    for half in (0, 1):
+        cat.append_catalog(rows.filter(F.col("id") % 2 == half), path)
     return spark.read.parquet(path).groupBy("tipo").agg(F.count("*").alias("n"), r6(F.avg("confidence")).alias("avg_confidence"))
 
 

@@ -312,14 +312,20 @@ add("catalog_rows", f"SELECT {SHOWN}, proveedor_id, doc_date, CAST(amount AS DOU
 add("catalog_page", f"SELECT {SHOWN} FROM catalog ORDER BY catalog.confidence DESC, id LIMIT 50 OFFSET 100")
 add("catalog_page_fallback_order", f"SELECT {SHOWN} FROM catalog ORDER BY fecha_procesado, id LIMIT 50 OFFSET 20")
 add("catalog_search_page", f"SELECT {SHOWN} FROM catalog WHERE tipo = 'facturas' ORDER BY cuit, id LIMIT 25 OFFSET 10")
+add("catalog_page_seek", f"SELECT {SHOWN} FROM catalog ORDER BY catalog.confidence DESC, id LIMIT 70 OFFSET 1100")
+add("catalog_pages_whole", "SELECT id, (row_number() OVER (ORDER BY filename, id) - 1) // 50 AS page FROM catalog")
+add("catalog_search_page_after", f"SELECT {SHOWN} FROM catalog WHERE tipo = 'facturas' ORDER BY cuit NULLS FIRST, id LIMIT 25 OFFSET 50")
 add("catalog_by_id", f"SELECT {SHOWN} FROM catalog WHERE id = 1200")
 add("cli_search", f"SELECT {SHOWN} FROM catalog WHERE proveedor LIKE '%EDESUR%' AND tipo = 'facturas'")
 add("note_hunt", (
     "SELECT id, tipo || '_' || filename AS filename, tipo, proveedor FROM catalog WHERE contains(lower(tipo || '_' || filename), 'nota') "
     "OR contains(lower(filename), 'credit') OR contains(tipo, 'credit') OR contains(tipo, 'debit') ORDER BY id LIMIT 15"))
+_number = "CASE WHEN {c} = floor({c}) THEN concat(CAST(CAST({c} AS BIGINT) AS VARCHAR), '.0') ELSE CAST({c} AS VARCHAR) END"
+_opening = " || ',' || ".join(
+    f"""'"{m}":{{"type":"' || v_{m}.type || '","confidence":' || {_number.format(c=f'v_{m}.confidence')} || '}}'""" for m in METHODS)
 add("unknown_preview", (
-    """SELECT id, filename, tipo, proveedor, left('{"method_results":{"keyword":{"type":"' || k.type, 45) AS details_preview """
-    "FROM catalog JOIN v_keyword k ON k.doc_id = id WHERE tipo = 'desconocido' ORDER BY id LIMIT 10"))
+    f"""SELECT id, filename, tipo, proveedor, left('{{"method_results":{{' || {_opening} || '}}', 100) AS details_preview FROM catalog """
+    + " ".join(f"JOIN v_{m} ON v_{m}.doc_id = id" for m in METHODS) + " WHERE tipo = 'desconocido' ORDER BY id LIMIT 10"))
 
 add("supplier_detect_joined", f"SELECT doc_id, supplier_id, {_r('supplier_confidence')} FROM sup")
 add("supplier_detect_registry", (
@@ -509,7 +515,7 @@ add("stream_quarantine", (
     "SELECT path, '20250925_093940_' || replace(path, '/in/', '') AS quarantine_name, errors[1] AS first_error FROM validated "
     "WHERE complete AND NOT is_valid AND doc_id IN (SELECT doc_id FROM docs)"))
 add("export_searched", "SELECT id, tipo, monto FROM catalog WHERE proveedor LIKE '%EDESUR%' AND tipo = 'facturas' AND amount >= 50000")
-add("catalog_appended", f"SELECT tipo, count(*) AS n, {_r('avg(confidence)', 'avg_confidence')} FROM catalog WHERE tipo IN ('facturas', 'remitos') GROUP BY tipo")
+add("catalog_appended", f"SELECT tipo, count(*) AS n, {_r('avg(confidence)', 'avg_confidence')} FROM catalog GROUP BY tipo")
 add("registry_saved", "SELECT supplier_id, name, cuit FROM reg")
 SQL["nb_model_saved"] = SQL["nb_top_terms"]
 SQL["stream_daily_counts"] = "SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2"

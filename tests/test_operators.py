@@ -253,6 +253,51 @@ def test_route_gives_unique_paths(spark):
     assert got[0] == "out/facturas/a.pdf" and got[2] == "out/facturas/a_20240101_110000.pdf" and got[9] == "out/facturas/b.pdf"
 
 
+def test_route_moves_only_what_collides(spark):
+    """Half of all rows want one path; the rest keep theirs without an exchange."""
+    day = dt.datetime(2024, 1, 1, 10)
+    rows = [(i, "hot.pdf" if i % 2 else f"{i}.pdf", "facturas", day + dt.timedelta(seconds=i // 8)) for i in range(400)] + [(None, None, None, None), (401, "x", None, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, filename string, tipo string, processed_at timestamp_ntz")
+    routed = cat.route(docs, "out")
+    got = [(r.doc_id, r.dest_path) for r in routed.collect()]
+    assert len(got) == 402 and len({p for _, p in got}) == 402
+    paths = dict(got)
+    assert paths[1] == "out/facturas/hot.pdf" and paths[2] == "out/facturas/2.pdf" and paths[3] == "out/facturas/hot_20240101_100000_3.pdf"
+    assert paths[9] == "out/facturas/hot_20240101_100001.pdf" and paths[11] == "out/facturas/hot_20240101_100001_11.pdf"
+    plan = routed._jdf.queryExecution().optimizedPlan().toString()
+    # of the first branch those nodes that do not belong to the subquery with the set of bits
+    branch = plan.split("\n+- ", 1)[0].split(":- ", 1)[1]
+    nodes = re.findall(r"^(?::\s+\+- )?(\w+)", branch, re.M)
+    assert nodes[0] == "Project" and "Filter" in nodes and not {"Join", "Aggregate", "Sort"} & set(nodes)
+
+
+def test_pages_by_seeking(spark, tmp_path):
+    from legajo.queries import SHOWN
+    rows = [(i, None if i % 7 == 0 else i % 5 / 10) for i in range(300)]  # few distinct values, some null
+    shell = spark.createDataFrame([], cat.SCHEMA)
+    c = shell.unionByName(spark.createDataFrame(rows, "id bigint, confidence double"), allowMissingColumns=True)
+    for descending in (True, False):
+        path = str(tmp_path / f"order-{descending}")
+        cat.write_order(c, path, "confidence", descending, ranges=6)
+        order = cat.read_order(spark, path, "confidence", descending)
+        assert order.directory.count() > 1
+        want = [r.id for r in c.orderBy(*order.keys).collect()]
+        for skip, limit in ((0, 10), (95, 60), (290, 50), (300, 5), (0, 300)):
+            page = cat.page_at(order, skip, limit)
+            assert [r.id for r in page.collect()] == want[skip : skip + limit]
+        assert "Offset" not in page._jdf.queryExecution().toString() and SHOWN[0] in page.columns
+        seen, last = [], None
+        while True:
+            rows_ = cat.page_after(c, last, "confidence", descending, limit=40).collect()
+            if not rows_:
+                break
+            seen += [r.id for r in rows_]
+            last = (rows_[-1].confidence, rows_[-1].id)
+        assert seen == want
+    cat.write_order(shell, str(tmp_path / "none"), "id")
+    assert cat.page_at(cat.read_order(spark, str(tmp_path / "none"), "id"), 0, 10).collect() == []
+
+
 def test_search_filter_empty_is_true_and_paging_is_checked(spark, sf):
     from legajo.queries import catalog
     c = catalog(spark, sf)
