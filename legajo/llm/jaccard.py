@@ -75,23 +75,36 @@ def _sets(texts: DataFrame, words: int) -> DataFrame:
 
 
 def _slot_counts(texts: DataFrame, words: int, slots: int) -> np.ndarray:
-    """How many texts have a shingle in each slot."""
+    """How many texts have a shingle in each slot. Counts leave a task in chunks, and are summed as they come in."""
+    size = min(slots, 1 << 12)
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(slots, np.int64)
         for b in batches:
             for t in b.column(0):
                 np.add.at(total, (shingles(t.as_py(), words) & np.uint64(slots - 1)).astype(np.int64), 1)
-        at = np.flatnonzero(total)
-        for i in range(0, len(at), 1 << 16):
-            part = at[i : i + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(total[part])], ["slot", "n"])
+        yield from chunks({k: total[k * size : (k + 1) * size] for k in range(slots // size)})
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for b in batches:
+            for k, data in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                part = np.frombuffer(data.as_buffer(), np.uint32)
+                total[k] = total[k] + part if k in total else part.astype(np.int64)
+        yield from chunks(total)
 
-    sums = map_arrow(texts.select("text"), "slot int, n long", work).groupBy("slot").agg(F.sum("n").alias("n"))
-    found = sums.toArrow()  # ``slots`` rows at most
-    out = np.zeros(slots, np.int64)
-    out[found["slot"].to_numpy()] = found["n"].to_numpy()
-    return np.minimum(out, np.iinfo(np.uint32).max).astype(np.uint32)
+    def chunks(total: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        for k, part in total.items():
+            if part.any():
+                data = np.minimum(part, np.iinfo(np.uint32).max).astype(np.uint32).tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([data], pa.binary())], ["chunk", "counts"])
+
+    kind = "chunk int, counts binary"
+    out = np.zeros(slots, np.uint32)
+    sums = map_arrow(map_arrow(texts.select("text"), kind, count).repartition("chunk"), kind, add)
+    for k, data in zip(*sums.toArrow().to_pydict().values(), strict=True):  # four bytes a slot at most
+        out[k * size : (k + 1) * size] = np.frombuffer(data, np.uint32)
+    return out
 
 
 def _rare(texts: DataFrame, words: int, percent: int, counts: np.ndarray) -> DataFrame:
@@ -191,13 +204,16 @@ def links(texts: DataFrame, sets: DataFrame, words: int = 5, percent: int = 80,
     several = rare.groupBy("shingle").agg(F.min("key").alias("l"), F.max("key").alias("m")).where("l < m").select("shingle")
     own = sets.where("n > 0").groupBy("key").agg(F.first("ranges").alias("ranges"))
     lists = stored(rare.join(several, "shingle").distinct().join(own, "key").select("shingle", "key", "n", "pos", "ranges"), "posting-lists")
-    wanted = stored(_wanted(texts, lists.select("key").distinct(), words), "compared-sets")
+
+    def alike(pairs: DataFrame) -> DataFrame:
+        keys = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+        return _verified(pairs, stored(_wanted(texts, keys, words), "compared-sets"), percent)
 
     hub = lists.groupBy("shingle").agg(F.min(F.struct("pos", "key", "n", "ranges")).alias("hub"))
     hub = hub.select("shingle", *[F.col(f"hub.{c}").alias(f"{c}_a") for c in ("pos", "key", "n", "ranges")])
     met = hub.join(_entries(lists, "b"), "shingle").where((F.col("key_a") != F.col("key_b")) & _may_link(percent, "a", "b"))
     stars = stored(met.select(F.least("key_a", "key_b").alias("a"), F.greatest("key_a", "key_b").alias("b")).distinct(), "star-pairs")
-    first = stored(_verified(stars, wanted, percent), "links")
+    first = stored(alike(stars), "links")
 
     label = components(first).withColumnRenamed("node", "key")
     named = lists.join(label, "key", "left").withColumn("label", F.coalesce("component", "key")).drop("component")
@@ -207,7 +223,7 @@ def links(texts: DataFrame, sets: DataFrame, words: int = 5, percent: int = 80,
     apart = _entries(named, "a").join(_entries(named, "b"), "shingle").where((F.col("label_a") < F.col("label_b")) & _may_link(percent, "a", "b"))
     other = apart.select(F.least("key_a", "key_b").alias("a"), F.greatest("key_a", "key_b").alias("b")).distinct()
     other = stored(other.join(stars, ["a", "b"], "left_anti"), "other-pairs")
-    return first.unionAll(_verified(other, wanted, percent))
+    return first.unionAll(alike(other))
 
 
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, slots: int = SLOTS) -> DataFrame:
