@@ -1,8 +1,9 @@
-"""Naive Bayes over TF-IDF as relational steps.
+"""Naive Bayes over TF-IDF with sparse vectors in the row.
 
-Every step is a partial aggregation on (document, term), term or label, so one frequent term or one
-large class does not meet in a single task. The vocabulary is bounded by its term limit, and so is the
-model (terms times labels), which is why both are broadcast.
+A document's terms and their counts are one array, so lengths, weights and class scores are sums within the row. Only
+counts per term and sums per (label, term) are shuffled, after partial aggregation. The vocabulary is bounded by its
+term limit, and so is the model (terms times labels), which is why both are constants of a plan: hash tables held as
+arrays, in which a term is found by its bucket.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 
 from legajo.functions import text as tx
 from legajo.rules import training as rules
+from legajo.session import stage
 
 
 #: Hexadecimal digits of the id's hash that make a slot of the split: a million slots.
@@ -45,13 +47,20 @@ def terms(text: Column) -> Column:
     return tx.let(kept, with_pairs)
 
 
-def term_counts(docs: DataFrame, only: DataFrame | None = None) -> DataFrame:
-    """``doc_id, term, n`` for a table with ``doc_id, text``; ``only`` keeps the terms of a bounded
-    vocabulary before anything is shuffled."""
-    occurring = docs.select("doc_id", F.explode(terms(F.col("text"))).alias("term"))
-    if only is not None:
-        occurring = occurring.join(F.broadcast(only.select("term")), "term", "left_semi")
-    return occurring.groupBy("doc_id", "term").agg(F.count("*").alias("n"))
+def counted(values: Column) -> Column:
+    """The distinct values of an array, in order, with how often each occurs: ``array<struct<value, n>>``."""
+
+    def runs(a: Column) -> Column:
+        last = F.filter(F.sequence(F.lit(1), F.size(a)), lambda i: (i == F.size(a)) | (F.get(a, i - 1) != F.get(a, i)))
+        return tx.let(last, lambda ends: F.transform(ends, lambda e, k: F.struct(
+            F.get(a, e - 1).alias("value"), (e - F.when(k == 0, 0).otherwise(F.get(ends, k - 1))).alias("n"))))
+
+    return tx.let(F.array_sort(values), lambda a: F.when(F.size(a) > 0, runs(a)).otherwise(F.filter(runs(F.array_repeat(F.get(a, 0), 1)), lambda x: F.lit(False))))
+
+
+def term_counts(docs: DataFrame) -> DataFrame:
+    """``doc_id, term, n`` for a table with ``doc_id, text``."""
+    return docs.select("doc_id", F.explode(counted(terms(F.col("text")))).alias("c")).select("doc_id", F.col("c.value").alias("term"), "c.n")
 
 
 def vocabulary(counts: DataFrame, docs: DataFrame, max_terms: int = rules.MAX_TERMS) -> DataFrame:
@@ -66,11 +75,35 @@ def vocabulary(counts: DataFrame, docs: DataFrame, max_terms: int = rules.MAX_TE
     return chosen.select("term", (F.log((F.lit(1.0) + F.col("_docs")) / (F.lit(1.0) + F.col("df"))) + 1.0).alias("idf"))
 
 
-def weighted_terms(counts: DataFrame, idf: DataFrame) -> DataFrame:
-    """``doc_id, term, weight`` with unit length per document."""
-    raw = counts.join(F.broadcast(idf), "term").select("doc_id", "term", (F.col("n") * F.col("idf")).alias("w"))
-    norms = raw.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return raw.join(norms, "doc_id").select("doc_id", "term", (F.col("w") / F.col("norm")).alias("weight"))
+#: Buckets of a vocabulary's hash table for each term that it may hold.
+BUCKETS_PER_TERM = 2
+
+
+class Lookup(NamedTuple):
+    """A vocabulary as two constants: ``buckets``, an array of buckets of ``struct<term, id>``, and ``entries``, an
+    array of what is known of each term, by id."""
+
+    buckets: Column
+    entries: Column
+    size: int
+
+    def id_of(self, buckets: Column, term: Column) -> Column:
+        """The id of ``term``, null if it is not in the vocabulary."""
+        bucket = F.get(buckets, F.pmod(F.xxhash64(term), F.lit(self.size)).cast("int"))
+        return F.get(F.filter(bucket, lambda e: e["term"] == term), 0)["id"]
+
+
+def lookup(entries: DataFrame, max_terms: int) -> Lookup:
+    """``entries``: a row per term, ``term`` and other columns; ids follow the terms' order. Scalar subqueries, to be
+    columns before they are used in higher-order functions."""
+    row = F.struct("term", *[c for c in entries.columns if c != "term"])
+    ordered = entries.agg(F.array_sort(F.collect_list(row)).alias("all"))
+    size = BUCKETS_PER_TERM * max_terms
+    placed = ordered.select(F.posexplode("all").alias("id", "e")).select("id", F.col("e.term").alias("term"))
+    filled = placed.groupBy(F.pmod(F.xxhash64("term"), F.lit(size)).alias("bucket")).agg(F.collect_list(F.struct("term", "id")).alias("held"))
+    every = entries.sparkSession.range(size).withColumnRenamed("id", "bucket").join(filled, "bucket", "left")
+    buckets = every.agg(F.transform(F.array_sort(F.collect_list(F.struct("bucket", "held"))), lambda x: x["held"]))
+    return Lookup(buckets.scalar(), ordered.scalar(), size)
 
 
 def training_part(samples: DataFrame) -> DataFrame:
@@ -94,14 +127,17 @@ def _part(samples: DataFrame, condition: Column) -> DataFrame:
 def train(samples: DataFrame, max_terms: int = rules.MAX_TERMS) -> BayesModel:
     """Model of ``samples(doc_id, text, label)``, fitted on their training part."""
     samples = training_part(samples)
-    counts = term_counts(samples)
-    idf = vocabulary(counts, samples, max_terms)
-    labels = samples.select("doc_id", "label")
-    sums = (
-        weighted_terms(counts, idf).join(labels, "doc_id")
-        .groupBy("label", "term").agg(F.sum("weight").alias("s"))
-    )
-    per_label = labels.groupBy("label").agg(F.count("*").alias("n"))
+    vectors = stage(samples.select("label", counted(terms(F.col("text"))).alias("vector")), "term-vectors")
+    counts = vectors.select(F.explode("vector").alias("c")).select(F.col("c.value").alias("term"), "c.n")
+    idf = stage(vocabulary(counts, vectors, max_terms), "vocabulary")
+    known = lookup(idf, max_terms)
+    held = vectors.withColumns({"_buckets": known.buckets, "_entries": known.entries})
+    weights = F.array_compact(F.transform("vector", lambda x: tx.let(known.id_of(F.col("_buckets"), x["value"]), lambda i: F.when(
+        i.isNotNull(), F.struct(x["value"].alias("term"), (x["n"] * F.get("_entries", i)["idf"]).alias("w"))))))
+    square = F.aggregate("_weights", F.lit(0.0), lambda s, x: s + x["w"] * x["w"])
+    unit = held.select("label", weights.alias("_weights")).select("label", F.sqrt(square).alias("_norm"), F.explode("_weights").alias("x"))
+    sums = unit.groupBy("label", F.col("x.term").alias("term")).agg(F.sum(F.col("x.w") / F.col("_norm")).alias("s"))
+    per_label = vectors.groupBy("label").agg(F.count("*").alias("n"))
     # Every label needs a probability for every kept term; both are bounded.
     names = per_label.agg(F.array_sort(F.collect_list("label"))).scalar()
     grid = idf.withColumn("_labels", names).select("term", "idf", F.explode("_labels").alias("label"))
@@ -128,52 +164,46 @@ def load_model(spark: SparkSession, path: str) -> BayesModel:
     return BayesModel(spark.read.parquet(f"{path}/terms"), spark.read.parquet(f"{path}/priors"))
 
 
-def probabilities(docs: DataFrame, model: BayesModel) -> DataFrame:
-    """``doc_id, label, probability`` for every document and label.
+def _scored(docs: DataFrame, model: BayesModel) -> DataFrame:
+    """``doc_id, labels, chances``: the model's labels in order and the document's probability of each, in arrays.
 
-    Documents meet the broadcast model by term and are summed per document; one without a known term
-    gets the class priors.
+    A document without a known term gets the class priors. Nothing of the documents is shuffled.
     """
-    by_term = model.terms.groupBy("term").agg(
-        F.first("idf").alias("idf"), F.map_from_entries(F.collect_list(F.struct("label", "log_prob"))).alias("lp")
-    )
-    counts = term_counts(docs, by_term).join(F.broadcast(by_term), "term")
-    weight = F.col("n") * F.col("idf")
-    scored = counts.select(
-        "doc_id", (weight * weight).alias("sq"), F.explode(F.col("lp")).alias("label", "log_prob"),
-        weight.alias("w"),
-    ).groupBy("doc_id", "label").agg(
-        (F.sum(F.col("w") * F.col("log_prob")) / F.sqrt(F.sum("sq"))).alias("likelihood")
-    )
-    prior_map = model.priors.agg(F.map_from_entries(F.collect_list(F.struct("label", "log_prior")))).scalar()
-    every = docs.select("doc_id", prior_map.alias("_priors")).select(
-        "doc_id", F.explode("_priors").alias("label", "log_prior")
-    )
-    joint = every.join(scored, ["doc_id", "label"], "left").select(
-        "doc_id", "label", (F.col("log_prior") + F.coalesce("likelihood", F.lit(0.0))).alias("score")
-    )
-    one = Window.partitionBy("doc_id")
-    relative = joint.withColumn("e", F.exp(F.col("score") - F.max("score").over(one)))
-    return relative.select("doc_id", "label", (F.col("e") / F.sum("e").over(one)).alias("probability"))
+    per_term = model.terms.groupBy("term").agg(
+        F.first("idf").alias("idf"), F.transform(F.array_sort(F.collect_list(F.struct("label", "log_prob"))), lambda x: x["log_prob"]).alias("lp"))
+    known = lookup(per_term, rules.MAX_TERMS)
+    priors = model.priors.agg(F.array_sort(F.collect_list(F.struct("label", "log_prior")))).scalar()
+    held = docs.select("doc_id", "text", known.buckets.alias("_buckets"), known.entries.alias("_entries"), priors.alias("_priors"))
+    ids = F.array_compact(F.transform(terms(F.col("text")), lambda t: known.id_of(F.col("_buckets"), t)))
+    weights = F.transform(counted(ids), lambda x: tx.let(F.get("_entries", x["value"]), lambda e: F.struct((x["n"] * e["idf"]).alias("w"), e["lp"].alias("lp"))))
+    weighed = held.select("doc_id", "_priors", weights.alias("_w"))
+    norm = F.sqrt(F.aggregate("_w", F.lit(0.0), lambda s, x: s + x["w"] * x["w"]))
+    none = F.transform("_priors", lambda p: F.lit(0.0))
+    sums = F.aggregate("_w", none, lambda s, x: F.zip_with(s, x["lp"], lambda a, b: a + x["w"] * b))
+    score = F.zip_with(F.col("_priors"), sums, lambda p, s: p["log_prior"] + F.when(F.col("_norm") > 0, s / F.col("_norm")).otherwise(0.0))
+    scored = weighed.withColumn("_norm", norm).select("doc_id", F.transform("_priors", lambda p: p["label"]).alias("labels"), score.alias("_s"))
+    relative = tx.let(F.array_max("_s"), lambda top: F.transform("_s", lambda s: F.exp(s - top)))
+    scored = scored.select("doc_id", "labels", relative.alias("_e"))
+    whole = F.aggregate("_e", F.lit(0.0), lambda s, x: s + x)
+    return scored.select("doc_id", "labels", tx.let(whole, lambda t: F.transform("_e", lambda e: e / t)).alias("chances"))
+
+
+def probabilities(docs: DataFrame, model: BayesModel) -> DataFrame:
+    """``doc_id, label, probability`` for every document and label."""
+    long = _scored(docs, model).select("doc_id", F.explode(F.arrays_zip("labels", "chances")).alias("x"))
+    return long.select("doc_id", F.col("x.labels").alias("label"), F.col("x.chances").alias("probability"))
 
 
 def predict(docs: DataFrame, model: BayesModel) -> DataFrame:
     """``doc_id, type, confidence``: the likeliest label, of equal ones the first by name."""
-    best = probabilities(docs, model).groupBy("doc_id").agg(
-        F.max("probability").alias("confidence"),
-        F.collect_list(F.struct("label", "probability")).alias("all"),
-    )
-    top = F.array_min(F.transform(
-        F.filter("all", lambda x: x["probability"] == F.col("confidence")), lambda x: x["label"]
-    ))
-    return best.select("doc_id", top.alias("type"), "confidence")
+    top = F.array_max("chances")
+    best = F.get("labels", (F.array_position("chances", top) - 1).cast("int"))
+    return _scored(docs, model).select("doc_id", best.alias("type"), top.alias("confidence"))
 
 
 def probability_map(docs: DataFrame, model: BayesModel) -> DataFrame:
     """``doc_id, probabilities`` with one map per document."""
-    return probabilities(docs, model).groupBy("doc_id").agg(
-        F.map_from_entries(F.collect_list(F.struct("label", "probability"))).alias("probabilities")
-    )
+    return _scored(docs, model).select("doc_id", F.map_from_arrays("labels", "chances").alias("probabilities"))
 
 
 def top_terms(model: BayesModel, k: int = 20) -> DataFrame:
