@@ -237,6 +237,34 @@ def test_layout(spark):
     assert scores.layout.type == "facturas" and scores.layout.confidence == pytest.approx(4.0 / 5)
 
 
+def test_nested_layout_agrees_with_its_parts(spark):
+    """Several spans a line and lines a block: the one-row analysis against the separate groupings."""
+    import random
+    rnd = random.Random(5)
+    words = ["FACTURA B", "código", "descripción", "Total", "x", " nota 12 ", "IVA", "precio", "RECIBO OFICIAL", "línea"]
+    rows = [
+        span(d, b, n, i, rnd.choice(words), rnd.choice([8.0, 10.0, 10.0, 14.0]), rnd.choice([40.0, 60.0, 90.0]), 40.0 + 60 * b + 12 * n)
+        for d in range(12) for b in range(rnd.randrange(1, 9)) for n in range(rnd.randrange(1, 6)) for i in range(rnd.randrange(1, 4))
+    ]
+    schema = ("doc_id bigint, page_w double, page_h double, block_id int, line_id int, span_id int, text string, size double, "
+              "font string, x0 double, y0 double, x1 double, y1 double")
+    spans = spark.createDataFrame(rows, schema).repartition(6)
+    got = {r.doc_id: r for r in layout.analysis(spans).collect()}
+    assert len(got) == 12 and any(r.has_table for r in got.values()) and any(r.titles for r in got.values())
+    laid = layout.blocks(spans)
+    for part in (layout.bounds(laid), layout.fonts(spans), layout.tables(spans)):
+        for r in part.collect():
+            for name, value in r.asDict().items():
+                assert got[r.doc_id][name] == (pytest.approx(value) if isinstance(value, float) else value), name
+    for d, r in got.items():
+        mine = laid.filter(F.col("doc_id") == d).orderBy("block_id").collect()
+        assert r.total_blocks == len(mine) and r.full_text == " ".join(b.text.lower() for b in mine)
+        named = layout.titles(spans.filter(F.col("doc_id") == d)).collect()
+        assert sorted(r.titles) == sorted(t.title.lower() for t in named)
+    plan = layout.layout_scores(spans)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+
+
 def test_review_last_valid_override_wins(spark):
     day = dt.datetime(2024, 1, 1)
     rows = [(1, "facturas", day), (1, "remitos", day + dt.timedelta(1)), (1, "nope", day + dt.timedelta(2)), (2, "nope", day)]
