@@ -118,6 +118,21 @@ def validate(manifest: DataFrame) -> DataFrame:
     )
 
 
+def with_profile(manifest: DataFrame, profile: DataFrame, info: DataFrame | None = None) -> DataFrame:
+    """``manifest(doc_id, path, length, ...)`` with what ``pages.page_profile`` found in each document, so that
+    ``validate`` judges by the pages themselves; and with its ``properties``, if ``pages.document_info`` is given.
+
+    A document without pages has none of either. All columns stay on the validated rows.
+    """
+    counts = profile.select(
+        "doc_id", F.col("total_pages").cast("int").alias("page_count"), "total_characters", "extractable_chars", "has_early_text")
+    found = manifest.drop("page_count", "total_characters", "extractable_chars", "has_early_text").join(counts, "doc_id", "left")
+    found = found.withColumns({"page_count": F.coalesce("page_count", F.lit(0)), **{c: F.coalesce(c, F.lit(0).cast("bigint")) for c in ("total_characters", "extractable_chars")}})
+    if info is None:
+        return found
+    return found.join(info.select("doc_id", F.struct(*[c for c in info.columns if c != "doc_id"]).alias("properties")), "doc_id", "left")
+
+
 def report(manifest: DataFrame) -> DataFrame:
     """Five named checks per file; all must hold."""
     checks = {

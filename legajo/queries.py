@@ -17,10 +17,13 @@ from legajo.operators import catalog as cat
 from legajo.plans import batch
 from legajo.rules import catalog as catalog_rules
 from legajo.rules import edit, patterns, types
+from legajo.rules import layout as layout_rules
 from legajo.rules.ensemble import DOMAIN_THRESHOLD
 from legajo.session import new_path, written_table
-from legajo.sources import derived, exports, files
-from legajo.sources.registry import built_in_registry, built_in_rows, registry_patterns, write_registry
+from legajo.sources import derived, exports, files, versions
+from legajo.sources.registry import (
+    built_in_registry, built_in_rows, read_registry_lines, registry_patterns, write_registry, write_registry_lines,
+)
 from legajo.sources.tables import business_docs, table
 from legajo.streaming import ingest as streaming
 
@@ -434,6 +437,22 @@ def full_analysis(spark, sf):
     )
 
 
+@query
+def full_analysis_details(spark, sf):
+    """The whole analysis of every document: each method's vote, class probabilities, layout, structure, supplier, reason."""
+    docs = business_docs(spark, sf).select("doc_id", "text")
+    structure = classify.document_structure(docs).select("doc_id", r6("structure_score").alias("structure_score"))
+    chances = bayes.probability_map(docs, built_in_model(spark, sf)).select("doc_id", r6(F.array_max(F.map_values("probabilities"))).alias("ml_probability"))
+    laid = layout.layout_scores(derived.spans(spark, sf)).select("doc_id", r6(F.greatest(*[f"score_{t}" for t in layout_rules.TYPES])).alias("layout_score"), big("total_blocks").alias("total_blocks"))
+    every = _all_methods(spark, sf)
+    methods = [*classify.RULE_METHODS, "ml", "layout"]
+    shown = every.select(
+        "doc_id", "tipo", r6("confidence").alias("confidence"), "supplier_id", F.col("decision.reasoning").alias("reasoning"),
+        *[c for m in methods for c in (F.col(f"{m}.type").alias(f"{m}_type"), r6(f"{m}.confidence").alias(f"{m}_confidence"))],
+    )
+    return shown.join(structure, "doc_id").join(chances, "doc_id").join(laid, "doc_id")
+
+
 # ---------------------------------------------------------------- catalog
 
 
@@ -925,6 +944,50 @@ def input_status(spark, sf):
     return files.folder_status(files.supported(derived.manifest(spark, sf)))
 
 
+@query
+def input_rejected(spark, sf):
+    """Files that are not taken, and why."""
+    return files.rejected(derived.manifest(spark, sf)).select("doc_id", "path", "length", "reason")
+
+
+@query
+def input_new(spark, sf):
+    """Against an earlier manifest that lacks every fifth file and has another size for every seventh."""
+    now = derived.manifest(spark, sf).select("doc_id", "path", "length")
+    seen = now.filter(F.col("doc_id") % 5 != 0).withColumn("length", F.col("length") + (F.col("doc_id") % 7 == 0).cast("int"))
+    return files.new_files(now, seen)
+
+
+@query
+def content_hashes(spark, sf):
+    """Hash and completeness of given bytes; every eleventh file ends early, and those above 5,000 bytes are not read."""
+    body = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
+    given = table(spark, sf, "pages").select(
+        F.concat(F.lit("/in/"), F.col("page_id").cast("string")).alias("path"), body.alias("content"),
+        (F.octet_length(body) + (F.col("page_id") % 11 == 0).cast("int")).cast("bigint").alias("length"),
+    )
+    return files.with_hashes(given, max_bytes=5000)
+
+
+@query
+def validate_profiled(spark, sf):
+    """Files judged by the pages found in them, with their properties and what was read of them."""
+    table_ = derived.page_table(spark, sf)
+    profile = pages.page_profile(table_)
+    info = pages.document_info(table_, table_.groupBy("doc_id").agg(F.min_by("role", "page_num").alias("author")))
+    given = profile.select(
+        "doc_id", F.concat(F.lit("/in/"), F.col("doc_id").cast("string"), F.lit(".pdf")).alias("path"),
+        (F.col("total_characters") * 8).alias("length"), (F.col("doc_id") % 13 == 0).alias("needs_pass"),
+        (F.col("doc_id") % 64).cast("int").alias("permissions"), F.lit(0).alias("pages_with_images"),
+        (F.col("total_characters") * 8 - (F.col("doc_id") % 11 == 0).cast("int")).alias("bytes_read"),
+    )
+    v = validation.validate(validation.with_profile(given, profile, info))
+    return v.select(
+        "doc_id", "stage", "is_valid", "to_quarantine", listed("errors").alias("errors"), big("page_count").alias("page_count"),
+        F.col("properties.author").alias("author"), big("properties.page_count").alias("counted_pages"),
+    )
+
+
 @query
 def input_merged(spark, sf):
     """Two overlapping scans of a folder, each file once."""
@@ -1081,6 +1144,64 @@ def catalog_appended(spark, sf):
     return spark.read.parquet(path).groupBy("tipo").agg(F.count("*").alias("n"), r6(F.avg("confidence")).alias("avg_confidence"))
 
 
+@query
+def catalog_created(spark, sf):
+    """The catalog as a table of the session: created, created again, and filled."""
+    path = new_path(spark, "created")
+    name = "documentos_" + path.rsplit("-", 1)[1]
+    for _ in range(2):
+        cat.create_catalog(spark, name, path)
+    rows = catalog(spark, sf)
+    rows.select(*spark.table(name).columns).hint("rebalance", "tipo").write.insertInto(name)
+    return spark.table(name).groupBy("tipo").agg(F.count("*").alias("n"), F.count("cuit").alias("with_cuit"), F.max("doc_date").alias("latest"))
+
+
+@query
+def review_merged(spark, sf):
+    """Corrections merged into a stored catalog, of which only the types they touch are written anew."""
+    path = new_path(spark, "versions")
+    rows = catalog(spark, sf).select("id", "filename", "tipo", "confidence", "doc_date", "amount", "fecha_procesado")
+    versions.write_version(rows, path)
+    versions.merge_overrides(spark, path, rows.schema, derived.corrections(rows))
+    return versions.read_version(spark, path, rows.schema).select("id", "filename", "tipo")
+
+
+@query
+def catalog_search_clustered(spark, sf):
+    """A few days of one type, from files that are sorted by day within it."""
+    path = new_path(spark, "clustered")
+    rows = catalog(spark, sf).drop("detalles_clasificacion", "texto_extraido", "metodos_usados")
+    versions.write_version(rows, path)
+    stored = versions.read_version(spark, path, rows.schema, types=["facturas"])
+    return _shown(stored.filter(cat.search_filter(tipo="facturas", fecha_desde="1996-03-01", fecha_hasta="1996-03-20")))
+
+
+@query
+def export_several(spark, sf):
+    """The same searched rows in three formats, read back and counted."""
+    path = new_path(spark, "several")
+    wanted = cat.search_filter(proveedor="TELECOM", confidence_min=0.2)
+    done = exports.export_many(spark, catalog(spark, sf), path, ("csv", "json", "xml"), condition=wanted)
+    total = None
+    for fmt, meta in done.items():
+        records = spark.read.format(fmt).options(rowTag="document", header="true").load(f"{path}/{fmt}/records")
+        one = meta.select("format", "total_records", records.agg(F.count("*")).scalar().alias("read"))
+        total = one if total is None else total.unionByName(one)
+    return total
+
+
+@query
+def registry_json(spark, sf):
+    """The registry as JSON, read back with its patterns."""
+    path = new_path(spark, "registry-lines")
+    base = derived.supplier_registry(spark, sf)
+    pattern = F.struct(F.array(F.upper(F.element_at("names", 1))).alias("specific_terms"), F.array(F.lit("TOTAL")).alias("layout_indicators"), F.lit(0.25).alias("confidence_boost"))
+    write_registry_lines(base.withColumn("document_patterns", F.create_map(F.lit("facturas"), pattern)), path)
+    back = read_registry_lines(spark, path)
+    flat = registry_patterns(back).select("supplier_id", "doc_type", listed("specific_terms").alias("terms"), "confidence_boost")
+    return back.select("supplier_id", big("ord").alias("ord"), listed("names").alias("name"), "cuit").join(flat, "supplier_id")
+
+
 @query
 def registry_saved(spark, sf):
     """The registry written and read back."""
@@ -1126,6 +1247,35 @@ def stream_quarantine(spark, sf):
     return rows.select("path", "quarantine_name", F.get_json_object("report", "$.errors[0]").alias("first_error"))
 
 
+@query
+def stream_recent(spark, sf):
+    """Events of the last 24 hours at every sixth hour, from a stream that gets some of them twice and some others
+    weeks too late: neither counts."""
+    source, target, state = new_path(spark, "recent-events"), new_path(spark, "recent"), new_path(spark, "recent-state")
+    utc = F.concat(F.col("ts").cast("timestamp_ntz").cast("string"), F.lit("Z")).cast("timestamp")
+    events = table(spark, sf, "events").select("event_id", utc.alias("ts"), "event_type")
+    newest = events.agg(F.max("ts")).scalar()
+    again = events.filter((F.col("ts") > newest - F.expr("INTERVAL 1 DAY")) & (F.col("event_id") % 2 == 0))
+    late = events.filter(F.col("ts") < newest - F.expr("INTERVAL 14 DAYS")).withColumn("event_id", -1 - F.col("event_id"))
+    for arriving in (events, again, late):
+        arriving.write.mode("append").parquet(source)
+        stream = spark.readStream.schema("event_id bigint, ts timestamp, event_type string").parquet(source)
+        streaming.recent_counts(stream, "ts", "event_id", "event_type").writeStream.outputMode("update").foreachBatch(
+            lambda df, i: df.write.mode("overwrite").parquet(f"{target}/batch_id={i}")
+        ).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    done = streaming.latest_counts(spark.read.parquet(target), "event_type", "until")
+    return done.select(F.unix_seconds("until").alias("until_s"), "event_type", "n")
+
+
+@query
+def recent_windows(spark, sf):
+    """The same windows over the table as a whole."""
+    utc = F.concat(F.col("ts").cast("timestamp_ntz").cast("string"), F.lit("Z")).cast("timestamp")
+    events = table(spark, sf, "events").select("event_id", utc.alias("ts"), "event_type")
+    done = streaming.recent_counts(events.unionAll(events.filter("event_id % 3 = 0")), "ts", "event_id", "event_type")
+    return done.select(F.unix_seconds("until").alias("until_s"), "event_type", "n")
+
+
 @query
 def stream_daily_counts(spark, sf):
     """Daily counts per event type on the stream, in update mode: the watermark drops the state of past days."""

@@ -44,6 +44,20 @@ def read_registry(spark: SparkSession, path: str | None = None) -> DataFrame:
     return rows.select("ord", F.col("e.key").alias("supplier_id"), "e.value.*")
 
 
+def read_registry_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Registry from files with one JSON object per line, each with entries by supplier id: the form for registries too
+    large for one object. Entries are ordered by their ``ord``, or by id where they have none."""
+    entries = F.explode(F.map_entries(F.from_json("value", f"map<string,{ENTRY.replace('struct<', 'struct<ord:int,', 1)}>"))).alias("e")
+    rows = spark.read.text(path).select(entries)
+    return rows.select(F.col("e.key").alias("supplier_id"), "e.value.*")
+
+
+def write_registry_lines(registry: DataFrame, path: str) -> None:
+    """One JSON object per line and supplier, keyed by its id."""
+    entry = F.struct(*[c for c in ("ord", "names", "cuit", "document_patterns", "contact_info") if c in registry.columns])
+    registry.select(F.to_json(F.create_map("supplier_id", entry)).alias("value")).write.mode("errorifexists").text(path)
+
+
 def write_registry(registry: DataFrame, path: str) -> None:
     """Write a new version; the path must not exist, so a failed write leaves the old one usable."""
     registry.write.mode("errorifexists").parquet(path)

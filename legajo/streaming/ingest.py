@@ -53,7 +53,24 @@ def daily_counts(events: DataFrame, time: str, kind: str, lateness: str = "1 day
     )
 
 
-def latest_counts(updates: DataFrame, kind: str) -> DataFrame:
-    """Counts per day and kind from the rows that a stream of ``daily_counts`` in update mode has written, each
-    with its ``batch_id``: the last update of a day holds."""
-    return updates.groupBy("day", kind).agg(F.max_by("n", "batch_id").alias("n"))
+def recent_counts(
+    events: DataFrame, time: str, key: str, kind: str, lateness: str = "2 days", span: str = "24 hours", every: str = "6 hours",
+) -> DataFrame:
+    """Rows per kind in the ``span`` up to each full ``every``, each ``key`` once: ``until, kind, n``.
+
+    On a stream, repeated keys are dropped as long as the watermark keeps them, ``lateness`` behind the newest row, and
+    so are rows that come later than that; the state holds no more than that time. A table is counted as a whole.
+    """
+    if events.isStreaming:
+        once = events.withWatermark(time, lateness).dropDuplicatesWithinWatermark([key])
+    else:
+        once = events.dropDuplicates([key])
+    return once.groupBy(F.window(time, span, every), kind).agg(F.count("*").alias("n")).select(
+        F.col("window.end").alias("until"), kind, "n"
+    )
+
+
+def latest_counts(updates: DataFrame, kind: str, at: str = "day") -> DataFrame:
+    """Counts per time and kind from the rows that a stream of windowed counts in update mode has written, each
+    with its ``batch_id``: the last update of a window holds."""
+    return updates.groupBy(at, kind).agg(F.max_by("n", "batch_id").alias("n"))

@@ -479,7 +479,7 @@ add("quarantine_rows", (
     "SELECT path, '20250925_093940_' || replace(path, '/in/', '') AS quarantine_name, errors[1] AS first_error FROM validated WHERE complete AND NOT is_valid"))
 add("quarantine_summary", "SELECT count(*) AS files_in_quarantine FROM validated WHERE complete AND NOT is_valid")
 add("input_manifest", "SELECT doc_id, path, length FROM manifest WHERE lower(path) LIKE '%.pdf' AND length <= 52428800")
-add("input_status", "SELECT count(*) AS files, CAST(sum(length) AS BIGINT) AS bytes FROM manifest WHERE lower(path) LIKE '%.pdf' AND length <= 52428800")
+add("input_status", "SELECT count(*) AS files, CAST(sum(length) AS BIGINT) AS bytes, true AS exists FROM manifest WHERE lower(path) LIKE '%.pdf' AND length <= 52428800")
 add("input_merged", "SELECT path, length FROM manifest WHERE lower(path) LIKE '%.pdf'")
 
 # ---------------------------------------------------------------- layout and exports
@@ -519,3 +519,41 @@ add("catalog_appended", f"SELECT tipo, count(*) AS n, {_r('avg(confidence)', 'av
 add("registry_saved", "SELECT supplier_id, name, cuit FROM reg")
 SQL["nb_model_saved"] = SQL["nb_top_terms"]
 SQL["stream_daily_counts"] = "SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2"
+
+_windows = ("SELECT (CAST(floor(epoch(ts)) AS BIGINT) // 21600 + k) * 21600 AS until_s, event_type, count(*) AS n FROM events, "
+            "(SELECT unnest([1, 2, 3, 4]) AS k) GROUP BY 1, 2")
+SQL["stream_recent"] = SQL["recent_windows"] = _windows
+add("input_rejected", (
+    "SELECT doc_id, path, length, CASE WHEN lower(path) NOT LIKE '%.pdf' THEN 'extension' ELSE 'size' END AS reason FROM manifest "
+    "WHERE lower(path) NOT LIKE '%.pdf' OR length > 52428800"))
+add("input_new", "SELECT doc_id, path, length FROM manifest WHERE doc_id % 5 = 0 OR doc_id % 7 = 0")
+SQL["content_hashes"] = (
+    "SELECT path, length, CASE WHEN length <= 5000 THEN sha256(body) END AS sha256, CASE WHEN length <= 5000 THEN size ELSE 0 END AS bytes_read, "
+    "length <= 5000 AND length = size AS complete FROM (SELECT concat('/in/', page_id) AS path, coalesce(html, '') AS body, strlen(coalesce(html, '')) AS size, "
+    "strlen(coalesce(html, '')) + CAST(page_id % 11 = 0 AS BIGINT) AS length FROM pages)")
+EXTRA["profile_"] = (
+    f"SELECT doc_id, count(*) AS pages, CAST(coalesce(sum(length(text)) FILTER ({_full} AND page_num <= 5), 0) AS BIGINT) AS chars, min_by(role, page_num) AS author "
+    "FROM pages_ GROUP BY doc_id", ["pages_"])
+add("validate_profiled", (
+    "SELECT doc_id, stage, stage = 'complete' AND len(e) = 0 AS is_valid, stage = 'complete' AND len(e) > 0 AS to_quarantine, array_to_string(e, '|') AS errors, "
+    "pages AS page_count, author, pages AS counted_pages FROM (SELECT doc_id, pages, author, CASE WHEN chars * 8 < 1024 THEN 'basic' ELSE 'complete' END AS stage, "
+    "CASE WHEN chars * 8 < 1024 THEN ['Archivo muy pequeño: ' || chars * 8 || ' bytes (mínimo: 1024)'] ELSE list_filter(["
+    "CASE WHEN doc_id % 13 = 0 THEN 'Documento protegido por contraseña' END, CASE WHEN chars < 10 THEN 'No se puede extraer texto y no contiene imágenes' END, "
+    "CASE WHEN doc_id % 11 = 0 THEN 'Inconsistencia en el tamaño del archivo durante lectura' END], lambda x: x IS NOT NULL) END AS e FROM profile_)"))
+add("catalog_created", "SELECT tipo, count(*) AS n, count(cuit) AS with_cuit, max(doc_date) AS latest FROM catalog GROUP BY tipo")
+add("review_merged", "SELECT id, filename, tipo FROM reviewed")
+add("catalog_search_clustered", f"SELECT {SHOWN} FROM catalog WHERE tipo = 'facturas' AND doc_date BETWEEN DATE '1996-03-01' AND DATE '1996-03-20'")
+add("export_several", (
+    f"SELECT f.format, c.n AS total_records, c.n AS read FROM (SELECT unnest(['csv', 'json', 'xml']) AS format) f, "
+    f"(SELECT count(*) AS n FROM catalog WHERE proveedor LIKE '%TELECOM%' AND confidence >= {num(0.2)}) c"))
+add("registry_json", "SELECT supplier_id, CAST(ord AS BIGINT) AS ord, name, cuit, 'facturas' AS doc_type, upper(name) AS terms, 0.25e0 AS confidence_boost FROM reg")
+_votes_six = ", ".join(f"v_{m}.type AS {m}_type, {_r(f'v_{m}.confidence', f'{m}_confidence')}" for m in [*METHODS, "ml", "layout"])
+EXTRA["structured"] = (
+    "SELECT doc_id, (CAST(has_header AS INT) + CAST(has_table AS INT) + CAST(has_totals AS INT) + CAST(tax_compliant AS INT)) / 4e0 AS structure_score "
+    f"FROM (SELECT doc_id, {_any(patterns.HEADER_PATTERNS, 'm')} AS has_header, {_any(patterns.TABLE_PATTERNS, 'i')} AS has_table, "
+    f"{_any(patterns.TOTAL_PATTERNS, 'i')} AS has_totals, ({_tax}) >= 2 AS tax_compliant FROM docs)", ["docs"])
+add("full_analysis_details", (
+    f"SELECT d.doc_id, d.tipo, {_r('d.confidence', 'confidence')}, sup.supplier_id, r.reasoning, {_votes_six}, {_r('st.structure_score', 'structure_score')}, "
+    f"{_r('p.confidence', 'ml_probability')}, {_r('lay.confidence0', 'layout_score')}, (SELECT count(*) FROM spans s WHERE s.doc_id = d.doc_id) AS total_blocks "
+    "FROM decided_six d JOIN reasons_six r ON r.doc_id = d.doc_id JOIN sup ON sup.doc_id = d.doc_id JOIN structured st ON st.doc_id = d.doc_id "
+    "JOIN b_pred p ON p.doc_id = d.doc_id JOIN lay ON lay.doc_id = d.doc_id " + " ".join(f"JOIN v_{m} ON v_{m}.doc_id = d.doc_id" for m in [*METHODS, "ml", "layout"])))

@@ -13,7 +13,7 @@ from legajo.plans import batch
 from legajo.rules import metadata as rules
 from legajo.rules import training
 from legajo.session import new_path, shared_folder
-from legajo.sources import exports, files, registry
+from legajo.sources import exports, files, registry, versions
 from legajo.sources.tables import business_docs
 from legajo.streaming import ingest
 
@@ -272,6 +272,64 @@ def test_review_last_valid_override_wins(spark):
     assert [(r.doc_id, r.tipo) for r in last.collect()] == [(1, "remitos")]
 
 
+def test_merge_rewrites_only_touched_types(spark, tmp_path):
+    path, day = str(tmp_path / "store"), dt.datetime(2024, 1, 1)
+    kinds = ["facturas", "remitos", "recibos", "desconocido"]
+    rows = spark.createDataFrame([(i, kinds[i % 4], dt.date(2024, 1, 1 + i % 28), float(i)) for i in range(400)], "id bigint, tipo string, doc_date date, amount double")
+    assert versions.write_version(rows, path) == 1 and versions.current_parts(spark, path).keys() == set(kinds)
+    fixes = [(3, "remitos", day), (7, "facturas", day), (7, "otros", day + dt.timedelta(1)), (1, "remitos", day), (9999, "facturas", day), (2, "unknown kind", day)]
+    before = versions.current_parts(spark, path)
+    assert versions.merge_overrides(spark, path, rows.schema, spark.createDataFrame(fixes, "doc_id bigint, tipo string, ts timestamp_ntz")) == 2
+    after = versions.current_parts(spark, path)
+    assert {t for t in after if after[t] != before.get(t)} == {"desconocido", "remitos", "otros"}  # facturas and recibos keep their files
+    want = {r.id: r.tipo for r in rows.collect()} | {3: "remitos", 7: "otros"}
+    assert {r.id: r.tipo for r in versions.read_version(spark, path, rows.schema).collect()} == want
+    assert versions.read_version(spark, path, rows.schema, version=1).filter("id = 3").first().tipo == "desconocido"
+    assert versions.merge_overrides(spark, path, rows.schema, spark.createDataFrame(fixes[3:4], "doc_id bigint, tipo string, ts timestamp_ntz")) == 2
+    everything = spark.createDataFrame([(i, "facturas", day) for i in range(2, 400, 4)], "doc_id bigint, tipo string, ts timestamp_ntz")
+    versions.merge_overrides(spark, path, rows.schema, everything)
+    assert versions.read_version(spark, path, rows.schema, types=["recibos"]).collect() == []
+    empty = str(tmp_path / "none")
+    assert versions.write_version(rows.limit(0), empty) == 1 and versions.read_version(spark, empty, rows.schema).collect() == []
+
+
+def test_one_day_is_one_stretch_of_a_file(spark, tmp_path):
+    """A day of a type lies in few files, and the filter on it reaches them."""
+    path = str(tmp_path / "clustered")
+    rows = spark.range(20_000).select(
+        F.col("id"), F.when(F.col("id") % 3 == 0, "remitos").otherwise("facturas").alias("tipo"),
+        F.date_add(F.lit(dt.date(2020, 1, 1)), (F.col("id") * 7919 % 700).cast("int")).alias("doc_date"), (F.col("id") % 97).cast("double").alias("amount"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # as many files as a large table has
+    try:
+        versions.write_version(rows.repartition(8), path)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    day = versions.read_version(spark, path, rows.schema).filter((F.col("tipo") == "facturas") & (F.col("doc_date") == dt.date(2020, 6, 1)))
+    every = versions.read_version(spark, path, rows.schema).select(F.input_file_name().alias("f")).distinct().count()
+    held = day.select(F.input_file_name().alias("f")).distinct().count()
+    assert every > 4 and 1 <= held <= 2 and day.count() == rows.filter((F.col("tipo") == "facturas") & (F.col("doc_date") == dt.date(2020, 6, 1))).count()
+    plan = day._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(doc_date" in plan and "PartitionFilters" in plan
+
+
+def test_folders(spark, tmp_path):
+    assert files.scan_folder(spark, str(tmp_path / "missing")).collect() == [] and not files.folder_exists(spark, str(tmp_path / "missing"))
+    status = one(files.folder_status(files.scan_folder(spark, str(tmp_path / "missing")), files.folder_exists(spark, str(tmp_path / "missing"))))
+    assert (status.files, status.bytes, status.exists) == (0, 0, False)
+    (tmp_path / "in" / "deep").mkdir(parents=True)
+    (tmp_path / "in" / "a.pdf").write_bytes(b"x" * 10)
+    (tmp_path / "in" / "deep" / "b.PDF").write_bytes(b"y" * 3000)
+    (tmp_path / "in" / "deep" / "c.txt").write_bytes(b"z")
+    flat = files.scan_folder(spark, str(tmp_path / "in"))
+    deep = files.scan_folder(spark, str(tmp_path / "in"), recursive=True)
+    assert flat.count() == 1 and deep.count() == 3 and one(files.folder_status(deep)).exists
+    assert {(r.path[-5:], r.reason) for r in files.rejected(deep, max_bytes=100).collect()} == {("b.PDF", "size"), ("c.txt", "extension")}
+    hashes = {r.path[-5:]: (r.sha256 is None, r.complete) for r in files.with_hashes(deep, max_bytes=100).collect()}
+    assert hashes == {"a.pdf": (False, True), "b.PDF": (True, False), "c.txt": (False, True)}
+    seen = files.supported(deep).select("path", "length", "modificationTime")
+    assert [r.path[-5:] for r in files.new_files(deep, seen).collect()] == ["c.txt"]
+
+
 def test_route_gives_unique_paths(spark):
     day = dt.datetime(2024, 1, 1, 10)
     rows = [(i, "a.pdf", "facturas", day + dt.timedelta(hours=i // 2)) for i in range(6)] + [(9, "b.pdf", "facturas", day)]
