@@ -422,3 +422,66 @@ def distinct_types(catalog: DataFrame) -> DataFrame:
 
 def distinct_suppliers(catalog: DataFrame) -> DataFrame:
     return catalog.filter(F.col("proveedor").isNotNull()).select("proveedor").distinct().orderBy("proveedor")
+
+
+# ---------------------------------------------------------------- parts of names and numbers
+
+
+#: Characters of the grams by which a part of a value is found; a shorter part is looked for in every row.
+GRAM = 3
+#: Candidates up to which a search names their ids to the files; beyond, rows meet the candidates by a join.
+NAMED_IDS = 1000
+
+
+def _grams(value: Column) -> Column:
+    return F.array_distinct(F.regexp_extract_all(value, F.lit(f"(?s)(?=(.{{{GRAM}}}))"), F.lit(1)))
+
+
+def write_search_index(catalog: DataFrame, path: str, columns: Sequence[str] = ("cuit", "proveedor")) -> None:
+    """Write which ids hold each stretch of ``GRAM`` characters in each of ``columns``: a bitmap for every 32,768 ids, so
+    that one that nearly all rows hold is as many short rows as there are ranges of ids. Sorted by gram, so a search
+    reads few row groups."""
+    held = [catalog.select("id", F.lit(c).alias("field"), F.explode(_grams(F.col(c))).alias("gram")) for c in columns]
+    rows = held[0]
+    for h in held[1:]:
+        rows = rows.unionByName(h)
+    bits = rows.groupBy("field", "gram", F.bitmap_bucket_number("id").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("id")).alias("bits"))
+    bits.repartitionByRange("field", "gram", "bucket").sortWithinPartitions("field", "gram", "bucket").write.partitionBy("field").parquet(path)
+
+
+def search_candidates(index: DataFrame, field: str, part: str) -> DataFrame:
+    """``id`` of the rows whose ``field`` holds every gram of ``part``: all that may hold it, and few others."""
+    grams = sorted({part[i : i + GRAM] for i in range(len(part) - GRAM + 1)})
+    if not grams:
+        raise ValueError(f"a part needs at least {GRAM} characters")
+    found = index.filter((F.col("field") == field) & F.col("gram").isin(*grams))
+    both = found.groupBy("bucket").agg(F.count("*").alias("n"), F.bitmap_and_agg("bits").alias("bits")).filter(F.col("n") == len(grams))
+    octet = F.posexplode(F.transform(F.sequence(F.lit(1), F.octet_length("bits")), lambda i: F.conv(F.hex(F.substring("bits", i, 1)), 16, 10).cast("int")))
+    octets = both.select("bucket", octet.alias("k", "octet")).filter(F.col("octet") != 0)
+    bit = F.explode(F.filter(F.sequence(F.lit(0), F.lit(7)), lambda b: F.call_function("shiftright", F.col("octet"), b).bitwiseAND(F.lit(1)) == 1))
+    place = octets.select("bucket", (F.col("k") * 8 + bit).alias("place"))
+    # the first id of bucket 1 is 1; ids of 0 and below count downwards in the buckets from 0
+    above, below = (F.col("bucket") - 1) * 32768 + F.col("place") + 1, F.col("bucket") * 32768 - F.col("place")
+    return place.select(F.when(F.col("bucket") > 0, above).otherwise(below).alias("id"))
+
+
+def search_indexed(catalog: DataFrame, index: DataFrame, condition: Column, **parts: str) -> DataFrame:
+    """Rows of ``catalog`` that satisfy ``condition`` and hold every given part (``cuit="30-0"``) in its column.
+
+    Bitmaps of the parts' grams are intersected; the candidates, by their ids, are all of the catalog that the test
+    itself is made on. Parts of fewer than ``GRAM`` characters are tested on every row.
+    """
+    rows = catalog.filter(condition)
+    for field, part in parts.items():
+        rows = rows.filter(F.contains(field, F.lit(part)))
+    usable = {f: p for f, p in parts.items() if len(p) >= GRAM}
+    if not usable:
+        return rows
+    ids = None
+    for field, part in usable.items():
+        own = search_candidates(index, field, part)
+        ids = own if ids is None else ids.join(own, "id", "left_semi")
+    few = [r["id"] for r in ids.limit(NAMED_IDS + 1).collect()]
+    if not few:
+        return rows.filter(F.lit(False))
+    return rows.filter(F.col("id").isin(*few)) if len(few) <= NAMED_IDS else rows.join(ids, "id", "left_semi")

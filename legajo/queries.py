@@ -477,6 +477,19 @@ _search("confidence", confidence_min=0.5)
 _search("combined", proveedor="EDESUR", tipo="facturas", confidence_min=0.3, fecha_desde="1997-01-01", monto_min=50000)
 
 
+def _indexed(name: str, condition: Callable[[], Column], **parts: str) -> None:
+    def run(spark, sf):
+        path = new_path(spark, "search-index")
+        cat.write_search_index(catalog(spark, sf), path)
+        return _shown(cat.search_indexed(catalog(spark, sf), spark.read.parquet(path), condition(), **parts))
+
+    QUERIES[f"catalog_search_indexed_{name}"] = run
+
+
+_indexed("cuit", lambda: F.lit(True), cuit="30-000001")
+_indexed("both", lambda: cat.search_filter(tipo="facturas"), proveedor="TELECOM", cuit="0-0")
+
+
 @query
 def catalog_rows(spark, sf):
     """Every catalog row, built from the text in one pass."""

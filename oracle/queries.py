@@ -312,6 +312,8 @@ add("catalog_rows", f"SELECT {SHOWN}, proveedor_id, doc_date, CAST(amount AS DOU
 add("catalog_page", f"SELECT {SHOWN} FROM catalog ORDER BY catalog.confidence DESC, id LIMIT 50 OFFSET 100")
 add("catalog_page_fallback_order", f"SELECT {SHOWN} FROM catalog ORDER BY fecha_procesado, id LIMIT 50 OFFSET 20")
 add("catalog_search_page", f"SELECT {SHOWN} FROM catalog WHERE tipo = 'facturas' ORDER BY cuit, id LIMIT 25 OFFSET 10")
+add("catalog_search_indexed_cuit", f"SELECT {SHOWN} FROM catalog WHERE cuit LIKE '%30-000001%'")
+add("catalog_search_indexed_both", f"SELECT {SHOWN} FROM catalog WHERE tipo = 'facturas' AND proveedor LIKE '%TELECOM%' AND cuit LIKE '%0-0%'")
 add("catalog_page_seek", f"SELECT {SHOWN} FROM catalog ORDER BY catalog.confidence DESC, id LIMIT 70 OFFSET 1100")
 add("catalog_pages_whole", "SELECT id, (row_number() OVER (ORDER BY filename, id) - 1) // 50 AS page FROM catalog")
 add("catalog_search_page_after", f"SELECT {SHOWN} FROM catalog WHERE tipo = 'facturas' ORDER BY cuit NULLS FIRST, id LIMIT 25 OFFSET 50")

@@ -357,6 +357,21 @@ def test_route_moves_only_what_collides(spark):
     assert nodes[0] == "Project" and "Filter" in nodes and not {"Join", "Aggregate", "Sort"} & set(nodes)
 
 
+def test_search_by_grams_equals_the_scan(spark, tmp_path):
+    import random
+    rnd = random.Random(2)
+    rows = [(i * 31, rnd.choice([None, "", "ab", "30-" + str(rnd.randrange(10**6)), "ACME Ñandú S.A.", "a🙂bcd"]), f"30-{i:06d}") for i in range(3000)]
+    rows += [(-7, "ACME Ñandú S.A.", "30-7"), (-70_000, "Ñandú", None)]
+    c = spark.createDataFrame(rows, "id bigint, proveedor string, cuit string")
+    path = str(tmp_path / "index")
+    cat.write_search_index(c, path)
+    index = spark.read.parquet(path)
+    for parts in ({"proveedor": "Ñan"}, {"proveedor": "30-12"}, {"cuit": "30-0"}, {"cuit": "0012", "proveedor": "S.A."}, {"proveedor": "🙂bc"}, {"proveedor": "ab"}, {"cuit": "zzz"}):
+        want = {i for i, p, t in rows if all(v in ({"proveedor": p, "cuit": t}[k] or "") for k, v in parts.items())}
+        assert {r.id for r in cat.search_indexed(c, index, F.lit(True), **parts).collect()} == want, parts
+    assert cat.search_candidates(index, "proveedor", "Ñandú").count() == sum("Ñandú" in (p or "") for _, p, _ in rows)
+
+
 def test_pages_by_seeking(spark, tmp_path):
     from legajo.queries import SHOWN
     rows = [(i, None if i % 7 == 0 else i % 5 / 10) for i in range(300)]  # few distinct values, some null
