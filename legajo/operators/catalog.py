@@ -459,7 +459,7 @@ def search_candidates(index: DataFrame, field: str, part: str) -> DataFrame:
     octet = F.posexplode(F.transform(F.sequence(F.lit(1), F.octet_length("bits")), lambda i: F.conv(F.hex(F.substring("bits", i, 1)), 16, 10).cast("int")))
     octets = both.select("bucket", octet.alias("k", "octet")).filter(F.col("octet") != 0)
     bit = F.explode(F.filter(F.sequence(F.lit(0), F.lit(7)), lambda b: F.call_function("shiftright", F.col("octet"), b).bitwiseAND(F.lit(1)) == 1))
-    place = octets.select("bucket", (F.col("k") * 8 + bit).alias("place"))
+    place = octets.select("bucket", "k", bit.alias("b")).select("bucket", (F.col("k") * 8 + F.col("b")).alias("place"))
     # the first id of bucket 1 is 1; ids of 0 and below count downwards in the buckets from 0
     above, below = (F.col("bucket") - 1) * 32768 + F.col("place") + 1, F.col("bucket") * 32768 - F.col("place")
     return place.select(F.when(F.col("bucket") > 0, above).otherwise(below).alias("id"))
