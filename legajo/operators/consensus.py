@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from legajo.functions import text as tx
 from legajo.rules import ensemble as rules
+from legajo.rules import messages as says
 from legajo.rules.types import UNKNOWN
 from legajo.session import broadcast_if_small, spread_nulls
 
@@ -225,23 +226,23 @@ def _reason(priority: Mapping[str, tuple]) -> Column:
         lambda v: F.concat(v["method"], F.lit(" ("), tx.fixed(v["confidence"], 2), F.lit(")")),
     )
     level = (
-        F.when(confidence >= rules.HIGH_CONFIDENCE, "Alta confianza")
-        .when(confidence >= rules.MIN_CONFIDENCE, "Confianza media").otherwise("Baja confianza")
+        F.when(confidence >= rules.HIGH_CONFIDENCE, says.LEVELS[0])
+        .when(confidence >= rules.MIN_CONFIDENCE, says.LEVELS[1]).otherwise(says.LEVELS[2])
     )
     text = F.concat_ws(
         " | ",
-        F.when(F.size(agreeing) > 0, F.concat(F.lit("Métodos coincidentes: "), F.array_join(agreeing, ", "))),
+        F.when(F.size(agreeing) > 0, F.concat(F.lit(says.AGREEING), F.array_join(agreeing, ", "))),
         F.when(F.col("_strong"), F.concat(
-            F.lit("Consenso fuerte: "), F.col("_best.vote_count").cast("string"), F.lit(" métodos coinciden"))),
-        F.when(F.col("supplier_id").isNotNull(), F.concat(F.lit("Proveedor detectado: "), F.col("supplier_id"))),
+            F.lit(says.STRONG[0]), F.col("_best.vote_count").cast("string"), F.lit(says.STRONG[1]))),
+        F.when(F.col("supplier_id").isNotNull(), F.concat(F.lit(says.SUPPLIER), F.col("supplier_id"))),
         F.concat(level, F.lit(" ("), tx.fixed(confidence, 3), F.lit(")")),
     )
     text = F.when(F.size("_scores") > 0, text).otherwise("")
-    names = {"agro": "agropecuario", "commercial": "comercial"}
+    names = says.DOMAIN_NAMES
     for m in priority:
         sentence = F.concat(
-            F.lit(f"Documento {names[m]} detectado con alta confianza ("),
-            tx.fixed(F.col(f"{m}.confidence"), 3), F.lit(") - prioridad automática"),
+            F.lit(f"{says.SHORTCUT[0]}{names[m]}{says.SHORTCUT[1]}"),
+            tx.fixed(F.col(f"{m}.confidence"), 3), F.lit(says.SHORTCUT[2]),
         )
         text = F.when(F.col("_route") == m, sentence).otherwise(text)
     return text

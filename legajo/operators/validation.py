@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from legajo.rules import catalog as rules
+from legajo.rules import messages as says
 
 
 def _messages(*tests: tuple[Column, Column]) -> Column:
@@ -33,25 +34,25 @@ def basic_errors() -> Column:
     size = F.col("length")
     return _messages(
         (~extension(F.col("path")).isin(*rules.EXTENSIONS), F.concat(
-            F.lit("Extensión no permitida: "), F.regexp_extract(file_name(F.col("path")), r"(\.[^.]*)$", 1))),
+            F.lit(says.BAD_EXTENSION), F.regexp_extract(file_name(F.col("path")), r"(\.[^.]*)$", 1))),
         (size < rules.MIN_BYTES, F.concat(
-            F.lit("Archivo muy pequeño: "), _number(size), F.lit(f" bytes (mínimo: {rules.MIN_BYTES})"))),
+            F.lit(says.SMALL_FILE[0]), _number(size), F.lit(f"{says.SMALL_FILE[1]}{rules.MIN_BYTES})"))),
         (size > rules.MAX_BYTES, F.concat(
-            F.lit("Archivo muy grande: "), _number(size), F.lit(f" bytes (máximo: {rules.MAX_BYTES})"))),
+            F.lit(says.LARGE_FILE[0]), _number(size), F.lit(f"{says.LARGE_FILE[1]}{rules.MAX_BYTES})"))),
     )
 
 
 def basic_warnings(known_types: dict[str, str]) -> Column:
     """Media type other than PDF, by extension."""
     kind = F.element_at(F.create_map(*[F.lit(x) for kv in known_types.items() for x in kv]), extension(F.col("path")))
-    return _messages((kind.isNotNull() & (kind != "application/pdf"), F.concat(F.lit("Tipo MIME inesperado: "), kind)))
+    return _messages((kind.isNotNull() & (kind != "application/pdf"), F.concat(F.lit(says.BAD_MEDIA_TYPE), kind)))
 
 
 def structure_errors() -> Column:
     n = F.col("page_count")
     return _messages(
-        (n < rules.MIN_PAGES, F.concat(F.lit("Muy pocas páginas: "), _number(n), F.lit(f" (mínimo: {rules.MIN_PAGES})"))),
-        (n > rules.MAX_PAGES, F.concat(F.lit("Demasiadas páginas: "), _number(n), F.lit(f" (máximo: {rules.MAX_PAGES})"))),
+        (n < rules.MIN_PAGES, F.concat(F.lit(says.FEW_PAGES[0]), _number(n), F.lit(f"{says.FEW_PAGES[1]}{rules.MIN_PAGES})"))),
+        (n > rules.MAX_PAGES, F.concat(F.lit(says.MANY_PAGES[0]), _number(n), F.lit(f"{says.MANY_PAGES[1]}{rules.MAX_PAGES})"))),
     )
 
 
@@ -67,15 +68,15 @@ def _little_text() -> Column:
 
 def content_errors() -> Column:
     return _messages(
-        (F.col("needs_pass"), F.lit("Documento protegido por contraseña")),
-        (_little_text() & (F.col("pages_with_images") == 0), F.lit("No se puede extraer texto y no contiene imágenes")),
+        (F.col("needs_pass"), F.lit(says.PASSWORD)),
+        (_little_text() & (F.col("pages_with_images") == 0), F.lit(says.NO_TEXT)),
     )
 
 
 def content_warnings() -> Column:
     return _messages((
         _little_text() & (F.col("pages_with_images") > 0),
-        F.lit("Texto mínimo pero contiene imágenes (posible OCR necesario)"),
+        F.lit(says.LITTLE_TEXT),
     ))
 
 
@@ -83,7 +84,7 @@ def integrity_errors(manifest: DataFrame) -> Column:
     if "bytes_read" not in manifest.columns:
         return F.array().cast("array<string>")
     return _messages((
-        F.col("bytes_read") != F.col("length"), F.lit("Inconsistencia en el tamaño del archivo durante lectura")
+        F.col("bytes_read") != F.col("length"), F.lit(says.SHORT_READ)
     ))
 
 
@@ -148,7 +149,7 @@ def report(manifest: DataFrame) -> DataFrame:
     return checked.withColumns({
         "is_valid": valid,
         "size_mb": F.when(F.col("check_size"), F.round(F.col("length") / (1024 * 1024), 2)),
-        "warnings": _messages((few, F.lit("Poco texto extraíble, podría necesitar OCR"))),
+        "warnings": _messages((few, F.lit(says.HARD_TO_READ))),
     })
 
 
