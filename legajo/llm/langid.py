@@ -107,13 +107,13 @@ def held_out(doc_id: Column) -> Column:
 
 def fit(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", clusters: int = 3,
-    max_per_language: int = 400, max_languages: int = 256, low: float = 0.02, slack: float = 0.5,
+    max_per_language: int = 400, low: float = 0.02, slack: float = 0.5,
 ) -> Model:
     """Learn from rows with a language, a text with letters, and an id that is not held out.
 
     Document frequencies come from all such rows. Centroids come from at most ``max_per_language`` whole texts of
-    each language, the first by a hash of id, in one small group per language, for the ``max_languages`` most
-    frequent languages (ties by name). A centroid's radius is ``slack`` times the ``low`` quantile of
+    each language, the first by a hash of id, in one small group per language; all languages are learned, so the model
+    grows with their number. A centroid's radius is ``slack`` times the ``low`` quantile of
     the cosines of its texts, so that single odd texts of the sample do not widen it.
     No such row: an empty model, by which every text is ``und``.
     """
@@ -123,7 +123,9 @@ def fit(
     rows = docs.where(own.isNotNull() & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(own)).select(
         own.cast("string").alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")
     )
-    most = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages).collect()
+    rows = rows.where(F.col("text").rlike(r"\p{L}"))
+    # ids are counted, not rows, as the sample is drawn by ids; a row for each language
+    most = rows.select("lang", "id").distinct().groupBy("lang").agg(F.count("*").alias("n")).orderBy("lang").collect()
     empty = Model((), np.zeros(0, int), np.zeros((0, SLOTS)), np.zeros(0), np.ones(SLOTS))
     if not most:
         return empty
@@ -144,9 +146,10 @@ def fit(
     n = {r["slot"]: r["n"] for r in seen}  # SLOTS + 1 numbers
     idf = np.log((1 + n[SLOTS]) / (1 + np.array([n.get(i, 0) for i in range(SLOTS)]))) + 0.1
 
-    # of a large language only twice as many rows as wanted are ordered, those of small hash
-    share = [(r["lang"], min(1.0, 2.0 * max_per_language / r["n"])) for r in most]
-    names = F.broadcast(spark.createDataFrame(share, "lang string, share double"))  # max_languages rows at most
+    # of a large language only about four times as many ids as wanted are ordered, those of small hash; fewer than
+    # wanted come through by chance for less than one language in 10 ** 100
+    share = [(r["lang"], min(1.0, 4.0 * max_per_language / r["n"]) if r["n"] > 8 * max_per_language else 1.0) for r in most]
+    names = F.broadcast(spark.createDataFrame(share, "lang string, share double"))  # a row for each language
     small = F.pmod(F.xxhash64("id"), F.lit(1 << 40)) < F.col("share") * (1 << 40)
     hashed = rows.select("id", "lang").join(names, "lang").where(small).distinct()
     order = F.row_number().over(_window("lang", F.pmod(F.xxhash64("id"), F.lit(1 << 40)), "id"))
@@ -161,9 +164,9 @@ def fit(
         centers, near = clustered(sent.value.vectors(list(group["text"])), clusters, low)
         return pd.DataFrame({"lang": group["lang"].iloc[0], "center": [c.tolist() for c in centers.astype(np.float32)], "near": near})
 
-    sample = rows.join(F.broadcast(chosen), ["id", "lang"])  # max_languages * max_per_language narrow rows at most
+    sample = rows.join(F.broadcast(chosen), ["id", "lang"])  # max_per_language narrow rows for each language
     found = sample.groupBy("lang").applyInPandas(centroids, "lang string, center array<float>, near double")
-    rows_found = sorted(found.collect(), key=lambda r: (r["lang"], r["center"]))  # max_languages * clusters rows
+    rows_found = sorted(found.collect(), key=lambda r: (r["lang"], r["center"]))  # a few rows for each language
     if not rows_found:
         return empty
     languages = tuple(dict.fromkeys(r["lang"] for r in rows_found))
@@ -191,7 +194,7 @@ def identified(docs: DataFrame, model: Model, text_col: str = "text", only_kept:
     new = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())]
     schema = docs.schema if only_kept else with_columns(docs.schema, new)
     at, own = docs.columns.index(text_col), [docs.columns.index(f.name) for f in (docs.schema.fields if only_kept else schema.fields[:-3])]
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # max_languages * clusters centroids
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # a few centroids for each language
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -180,7 +180,8 @@ def scored(docs: DataFrame, model: Model, text_col: str = "text", at_least: int
     """``docs`` with ``expected_grade``, ``tail_probability`` (grade ``at_least`` or more) and ``kept`` (that
     probability is ``chance`` or more); with ``only_kept`` the kept rows of ``docs`` as they are.
 
-    ``at_least``: the second grade of the model unless given. Texts are read whole. A null or empty text, or one
+    ``at_least``: the second grade of the model unless given. A model without thresholds (no ratings, or all of one
+    grade) can't tell texts apart, so it keeps all. Texts are read whole. A null or empty text, or one
     of white space only, has score 0, which is what the thresholds say of no evidence. Columns of these names give
     way to the new ones; rows are independent, so repeated rows get equal results.
     """
@@ -198,7 +199,7 @@ def scored(docs: DataFrame, model: Model, text_col: str = "text", at_least: int
         for b in batches:
             tails = m.tails(np.fromiter((m.score(t.as_py(), slots) for t in b.column(at)), np.float64, b.num_rows))
             grade = m.grades[0] + tails @ gaps
-            tail = np.ones(b.num_rows) if m.grades[0] >= level else tails[:, later[0]] if later else np.zeros(b.num_rows)
+            tail = np.ones(b.num_rows) if m.grades[0] >= level or len(m.grades) == 1 else tails[:, later[0]] if later else np.zeros(b.num_rows)
             columns = [b.column(i) for i in own]
             if only_kept:
                 yield pa.RecordBatch.from_arrays(columns, schema.names).filter(pa.array(tail >= chance))

@@ -105,3 +105,18 @@ def test_an_odd_text_does_not_widen_the_radius():
     x[0] = np.eye(50)[0]
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     assert langid.clustered(x, 1, 0.02)[1][0] > 0.9
+
+
+def test_few_ids_in_many_rows_are_learned(spark):
+    """A language whose rows repeat a handful of ids, beside rows without letters."""
+    rows = [(i % 3 + 1000 * (i % 3 == 0), "uno dos tres cuatro " * 3, "es") for i in range(3000)] + [(i, "1234 5678", "es") for i in range(2000, 3000)]
+    rows += [(5000 + i, f"eins zwei drei vier {i} " * 2, "de") for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert set(langid.fit(docs, max_per_language=20).languages) == {"de", "es"}
+
+
+def test_many_languages_are_learned(spark):
+    letters = [chr(c) for c in range(0x4E00, 0x4E00 + 300)]
+    docs = spark.createDataFrame([(i * 2 + k, c * 30, f"l{i:03d}") for i, c in enumerate(letters) for k in range(2)], "doc_id long, text string, lang string")
+    learned = langid.fit(docs).languages
+    assert len(learned) > 256

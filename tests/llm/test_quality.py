@@ -79,6 +79,15 @@ def test_few_ratings_keep_all(spark, grades):
     docs, ratings = frames(spark, [(1, "a b"), (2, None), (None, "")], grades)
     out = quality.scored(docs, quality.fit(docs, ratings)).collect()
     assert len(out) == 3 and all(r.kept for r in out)
+    assert quality.scored(docs, quality.fit(docs, ratings), at_least=1, only_kept=True).count() == 3
+
+
+def test_query_without_labels_keeps_all(spark, sf, tmp_path):
+    from legajo.llm.queries import QUERIES
+    spark.read.parquet(f"{sf}/documents.parquet").limit(20).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.read.parquet(f"{sf}/labels.parquet").limit(0).write.parquet(str(tmp_path / "labels.parquet"))
+    got = QUERIES["op4_quality_grades"](spark, str(tmp_path)).collect()
+    assert len(got) == 20 and all(r.kept for r in got)
 
 
 def test_odd_rows_and_names(spark):
