@@ -372,6 +372,17 @@ def test_search_by_grams_equals_the_scan(spark, tmp_path):
     assert cat.search_candidates(index, "proveedor", "Ñandú").count() == sum("Ñandú" in (p or "") for _, p, _ in rows)
 
 
+def test_many_candidates_are_not_gathered(spark, tmp_path, monkeypatch):
+    """Ids made of bitmaps meet the catalog by a shuffle: the small size of their files must not make a broadcast of them."""
+    monkeypatch.setattr(cat, "NAMED_IDS", 5)
+    c = spark.range(1, 2001).select("id", F.concat(F.lit("ACME "), F.col("id") % 7).alias("proveedor"), F.concat(F.lit("30-"), F.col("id") % 3).alias("cuit"))
+    path = str(tmp_path / "index")
+    cat.write_search_index(c, path)
+    found = cat.search_indexed(c, spark.read.parquet(path), F.lit(True), proveedor="E 3", cuit="0-2")
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r.id for r in found.collect()) == [i for i in range(1, 2001) if i % 7 == 3 and i % 3 == 2]
+
+
 def test_pages_by_seeking(spark, tmp_path):
     from legajo.queries import SHOWN
     rows = [(i, None if i % 7 == 0 else i % 5 / 10) for i in range(300)]  # few distinct values, some null
