@@ -528,3 +528,19 @@ def test_first_match(spark):
     rows = [(1, "a", dt.datetime(2024, 1, 1), "Nota de Credito y remito 20-12345678-1"), (2, "b", dt.datetime(2024, 1, 1), "carta de porte")]
     got = {r.id: r for r in batch.legacy_rows(spark.createDataFrame(rows, ingest.DOCS_SCHEMA)).collect()}
     assert (got[1].tipo, got[1].cuit, got[2].tipo) == ("remitos", "20-12345678-1", "cartas_porte")
+
+
+def test_full_analysis_reads_the_layout_once(spark, tmp_path, monkeypatch):
+    from legajo import queries
+
+    sf = str(tmp_path)
+    day = dt.date(1997, 5, 6)
+    spark.createDataFrame([(k, 1, day, 10.0 * k) for k in (1, 2, 3)], "o_orderkey bigint, o_custkey bigint, o_orderdate date, o_totalprice double").write.parquet(f"{sf}/orders.parquet")
+    spark.createDataFrame([(1, "BUILDING")], "c_custkey bigint, c_mktsegment string").write.parquet(f"{sf}/customer.parquet")
+    spark.createDataFrame([(k, 4.0) for k in (1, 2, 3)], "l_orderkey bigint, l_quantity double").write.parquet(f"{sf}/lineitem.parquet")
+    calls, scores = [], queries.layout.layout_scores
+    monkeypatch.setattr(queries.layout, "layout_scores", lambda spans: calls.append(1) or scores(spans))
+    rows = queries.QUERIES["full_analysis_details"](spark, sf).collect()
+    assert len(calls) == 1
+    assert sorted((r.doc_id, r.total_blocks) for r in rows) == [(1, 7), (2, 7), (3, 7)]
+    assert all(r.layout_score >= r.layout_confidence for r in rows)
