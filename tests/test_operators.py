@@ -544,3 +544,14 @@ def test_full_analysis_reads_the_layout_once(spark, tmp_path, monkeypatch):
     assert len(calls) == 1
     assert sorted((r.doc_id, r.total_blocks) for r in rows) == [(1, 7), (2, 7), (3, 7)]
     assert all(r.layout_score >= r.layout_confidence for r in rows)
+
+
+def test_supplier_lines_are_not_searched_beyond_the_first_hit(spark):
+    texts = [
+        "nada\nRazón Social: ACME Rosario\nProveedor: Otra Firma", "Empresa: Uno Dos Tres\nRazón Social: Cuatro Cinco",
+        "sin proveedor", "", None, "\n" * 9 + "Proveedor: Linea Diez", "\n" * 10 + "Proveedor: Linea Once",
+    ]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, text string")
+    found = docs.select("id", md.supplier_name(F.col("text")).alias("s"))
+    assert [r.s for r in found.orderBy("id").collect()] == ["ACME Rosario", "Uno Dos Tres", None, None, None, "Linea Diez", None]
+    assert "aggregate(" in found._jdf.queryExecution().optimizedPlan().toString()
