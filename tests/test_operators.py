@@ -12,7 +12,7 @@ from legajo.operators import catalog as cat
 from legajo.plans import batch
 from legajo.rules import metadata as rules
 from legajo.rules import training
-from legajo.session import new_path, shared_folder
+from legajo.session import new_path, shared_folder, written_table
 from legajo.sources import exports, files, registry, versions
 from legajo.sources.tables import business_docs
 from legajo.streaming import ingest
@@ -546,6 +546,22 @@ def test_full_analysis_reads_the_layout_once(spark, tmp_path, monkeypatch):
     assert all(r.layout_score >= r.layout_confidence for r in rows)
 
 
+def test_files_of_a_written_table_hold_a_bounded_number_of_rows(spark, tmp_path):
+    source = str(tmp_path / "few")
+    rows = written_table(spark, "bounded", source, lambda: spark.range(0, 95, 1, 1), rows_per_file=10)
+    per_file = rows.groupBy(F.input_file_name()).count().collect()
+    assert sorted(r["count"] for r in per_file) == [5] + [10] * 9
+
+
+def test_documents_are_written_in_files_that_spread_over_tasks(spark, sf, monkeypatch):
+    from legajo import session
+    from legajo.sources import tables
+    monkeypatch.setattr(tables, "DOCS_PER_FILE", 100)
+    monkeypatch.setattr(session, "_WRITTEN", {})
+    docs = tables.business_docs(spark, sf)
+    assert docs.count() > 100 and docs.groupBy(F.input_file_name()).count().agg(F.max("count")).first()[0] <= 100
+
+
 def test_supplier_lines_are_not_searched_beyond_the_first_hit(spark):
     texts = [
         "nada\nRazón Social: ACME Rosario\nProveedor: Otra Firma", "Empresa: Uno Dos Tres\nRazón Social: Cuatro Cinco",
