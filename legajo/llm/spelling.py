@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from zlib import crc32
 
 import pyarrow as pa
@@ -13,40 +13,45 @@ from pyspark.sql import functions as F
 
 from legajo.llm.common import checked, map_arrow, stored
 
-RUN = re.compile("[A-Za-zÀ-ÿ]+")
+LETTERS = "[A-Za-zÀ-ÿ]"
 LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
 #: Words counted in a task between two batches that leave it.
 COUNTED = 200_000
 
 
-def words_of(doc: object, text: str | None, every: int) -> Iterator[str]:
-    """The runs of letters in ``text``, A-Z as a-z; where ``every`` divides the CRC-32 h of ``<doc>:<run>``, the run
-    loses its character h % length."""
+def words_of(doc: object, runs: Iterable[str], every: int) -> Iterator[tuple[str, int]]:
+    """The runs of letters of a document, A-Z as a-z, with how often they occur; where ``every`` divides the CRC-32 h of
+    ``<doc>:<run>``, the run loses its character h % length. A word comes once for each way in which it is written."""
     seed = crc32(f"{'' if doc is None else doc}:".encode())
-    for run in RUN.findall((text or "").translate(LOWER)):
+    for run, n in Counter(runs).items():
+        run = run.lower() if run.isascii() else run.translate(LOWER)
         h = crc32(run.encode(), seed)
         if h % every:
-            yield run
+            yield run, n
         else:
             k = h % len(run)
-            yield run[:k] + run[k + 1 :]
+            yield run[:k] + run[k + 1 :], n
 
 
-def word_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", every: int = 31) -> DataFrame:
-    """``word, n`` of all texts (see ``words_of``); counted in the tasks before anything is shuffled."""
+def word_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", every: int = 31, least: int = 0) -> DataFrame:
+    """``word, n`` of all texts (see ``words_of``); counted in the tasks before anything is shuffled. Words of fewer than
+    ``least`` characters are left out: a run only gets shorter, so runs that are too short are not looked at."""
     checked(docs, id_col, text_col)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter[str] = Counter()
+        find = re.compile(f"{LETTERS}{{{max(least, 1)},}}").findall
+        seen: dict[str, int] = {}
         for b in batches:
             for doc, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                seen.update(words_of(doc, text.as_py(), every))
+                for word, n in words_of(doc, find(text.as_py() or ""), every):
+                    if len(word) >= least:
+                        seen[word] = seen.get(word, 0) + n
                 if len(seen) >= COUNTED:
                     yield batch(seen)
                     seen.clear()
         yield batch(seen)
 
-    def batch(seen: Counter[str]) -> pa.RecordBatch:
+    def batch(seen: dict[str, int]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.string()), pa.array(seen.values(), pa.int64())], ["word", "n"])
 
     rows = docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`"))
@@ -202,7 +207,7 @@ def variants(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
     following forms ends, the word itself if it has none. A null text has no words, a null id counts as an empty
     one; repeated rows count again; an empty table gives an empty result. Long runs are words like any other.
     """
-    words = stored(word_counts(docs, id_col, text_col, every).where((F.char_length("word") >= least) & (F.col("n") >= occurrences)), "words")
+    words = stored(word_counts(docs, id_col, text_col, every, least).where(F.col("n") >= occurrences), "words")
     best = F.min(F.struct((-F.col("near_n")).alias("n"), F.col("near").alias("word"))).alias("best")
     near = near_words(words, least).groupBy("word").agg(F.count("*").alias("n_near"), best).join(words, "word")
     is_form = -F.col("best.n") >= ratio * F.col("n")

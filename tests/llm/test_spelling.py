@@ -92,3 +92,12 @@ def test_one_frequent_prefix(spark):
 def test_empty(spark):
     assert spelling.variants(spark.createDataFrame([], "doc_id long, text string")).collect() == []
     assert spelling.variants(spark.createDataFrame([(1, "short words only")], "doc_id long, text string")).collect() == []
+
+
+def test_counts_from_a_length_on(spark, rows):
+    """Short runs are left out before they are counted, also those that get too short by losing a character."""
+    docs = spark.createDataFrame([*rows, *((i, "Palabra palabra PALABRA été") for i in range(200))], "doc_id long, text string")
+    whole = sorted(map(tuple, spelling.word_counts(docs).where("char_length(word) >= 7").collect()))
+    assert sorted(map(tuple, spelling.word_counts(docs, least=7).collect())) == whole and "palabra" in dict(whole)
+    assert all(len(w) >= 7 for w, _ in spelling.words_of(1, ["Palabras"] * 3 + ["palabras"], 10**9))
+    assert sorted(spelling.words_of(1, ["Palabras"] * 3 + ["palabras"], 10**9)) == [("palabras", 1), ("palabras", 3)]
