@@ -1,5 +1,10 @@
 """Plans and tables whose cost must not grow faster than the rows."""
 
+import re
+
+from pyspark.sql import functions as F
+
+from legajo.functions import text as tx
 from legajo.operators import bayes
 
 
@@ -11,3 +16,16 @@ def test_length_of_a_vector_below_the_explode(spark):
     assert sorted(map(tuple, unit.collect())) == [("a", "x", 0.6), ("a", "y", 0.8), ("b", "x", 1.0)]
     above, below = unit._jdf.queryExecution().optimizedPlan().toString().split("Generate explode", 1)
     assert "aggregate(" not in above and "aggregate(" in below
+
+
+def test_masks_in_short_maps(spark):
+    """A collected literal is looked up among a few, and finds the bits of itself and of its prefixes."""
+    literals = [f"{a}{b}" for a in ("ab", "ábñ", "x y", "it's") for b in ("", *range(60))]
+    scan = tx.Scan(literals)
+    sizes = [len(re.findall(r"array\(", m)) for m in scan._mask_of("f").split("map(")[1:]]
+    assert len(sizes) == tx.MASK_MAPS and max(sizes) < 20
+    docs = spark.createDataFrame([("AB7 ab59, it's3",), ("x y12 áBÑ",), ("none",), (None,)], "text string")
+    found, t = scan.add_to(docs)
+    got = found.select(F.expr(f"filter(array({', '.join(f'CASE WHEN {t.has(x)} THEN {tx.quoted(x)} END' for x in literals)}), x -> x IS NOT NULL)").alias("x"))
+    want = [{"ab", "ab7", "ab5", "ab59", "it's", "it's3"}, {"x y", "x y1", "x y12", "ábñ"}, set(), set()]
+    assert [set(r.x) for r in got.collect()] == want
