@@ -13,7 +13,7 @@ from typing import NamedTuple
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -228,8 +228,17 @@ def encoded(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
 
 def decoded(tokens: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
     """``tokens`` with ``decoded``, the text that the tokenizer gives for ``ids_col`` (special tokens included); null
-    ids give null. A column of that name gives way to the new one."""
+    ids give null. A column of that name gives way to the new one.
+
+    A vocabulary without a decoder joins tokens by spaces, which Spark does itself: ids that a Python worker has just
+    made need no second worker beside it, with a tokenizer and a memory of its own.
+    """
     checked(tokens, ids_col)
+    if coder(path).tokenizer.decoder is None:
+        names = token_list(coder(path).tokens)
+        text = F.array_join(F.transform(ids_col, lambda i: F.element_at(names, i.cast("int") + 1)), " ")
+        others = [c for c in tokens.columns if c.lower() != "decoded"]
+        return tokens.select(*others, text.alias("decoded"))
     schema = with_columns(tokens.schema, [T.StructField("decoded", T.StringType())])
     at, own = tokens.columns.index(ids_col), [tokens.columns.index(f.name) for f in schema.fields[:-1]]
 
@@ -241,3 +250,10 @@ def decoded(tokens: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*[part.column(i) for i in own], pa.array(texts, pa.string())], schema.names)
 
     return map_arrow(tokens, schema, work)
+
+
+def token_list(tokens: list[str]) -> Column:
+    """``tokens`` as an array that the optimizer turns into one constant, made from a single text."""
+    used = set(chain.from_iterable(tokens))
+    mark = next(c for c in map(chr, range(1, 0x110000)) if c not in used and not c.isspace() and not c.isprintable())
+    return F.split(F.lit(mark.join(tokens)), f"\\x{{{ord(mark):x}}}")

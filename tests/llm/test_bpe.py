@@ -87,3 +87,16 @@ def test_decode_nulls_and_clashing_names(spark):
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert bpe.encoded(docs, PATH).collect() == []
+
+
+def test_decoding_takes_no_second_worker(spark):
+    """A Python worker each for encoding and decoding, both with the tokenizer, took an executor over its memory."""
+    texts = ["Hello  world\n", "[UNK] 日本 Ünïcode \\x01 \x1c $1", "", None, "same same"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id int, text string")
+    found = bpe.decoded(bpe.encoded(docs, PATH), PATH)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "split(" not in plan  # the list of tokens is a constant
+    assert [(r.ids, r.decoded) for r in found.orderBy("doc_id").collect()] == [library(t or "") for t in texts]
+    every = bpe.coder(PATH).tokens
+    ids = spark.createDataFrame([(list(range(len(every))),), ([],), (None,)], "ids array<int>")
+    assert [r.decoded for r in bpe.decoded(ids, PATH).collect()] == [" ".join(every), "", None]
