@@ -4,8 +4,9 @@ import re
 
 from pyspark.sql import functions as F
 
+from legajo.functions import bits
 from legajo.functions import text as tx
-from legajo.operators import bayes
+from legajo.operators import bayes, suppliers
 
 
 def test_length_of_a_vector_below_the_explode(spark):
@@ -29,3 +30,27 @@ def test_masks_in_short_maps(spark):
     got = found.select(F.expr(f"filter(array({', '.join(f'CASE WHEN {t.has(x)} THEN {tx.quoted(x)} END' for x in literals)}), x -> x IS NOT NULL)").alias("x"))
     want = [{"ab", "ab7", "ab5", "ab59", "it's", "it's3"}, {"x y", "x y1", "x y12", "ábñ"}, set(), set()]
     assert [set(r.x) for r in got.collect()] == want
+
+
+def test_a_registry_is_not_gathered_for_a_broadcast(spark):
+    """The index of terms joins tables that grow with the registry, each size of gram read from where it was written."""
+    terms = spark.range(2000).select(F.format_string("30-%08d-%d", "id", F.col("id") % 10).alias("term"))
+    index = suppliers.term_index(terms)
+    plan = index._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "Join" not in plan and "Aggregate" not in plan.split("Union", 1)[0]
+    assert sorted(r.term for r in index.collect()) == sorted(r.term for r in terms.collect())
+    large = spark.range(200_000).select(F.col("id").cast("string").alias("term"))
+    joined = large.join(suppliers._small_or_merged(large.select("term")), "term")
+    assert "SortMergeJoin" in joined._jdf.queryExecution().executedPlan().toString()
+
+
+def test_false_hits_stay_few_as_keys_grow(spark):
+    """A set of a million bits holds a third of all keys by mistake once 400,000 are in it."""
+    keys = 400_000
+    words = bits.words_for(keys)
+    assert bits.words_for(0) == bits.words_for(1000) == bits.WORDS < words <= bits.MOST_WORDS == bits.words_for(10**9)
+    known = spark.range(keys).select(F.concat(F.lit("k"), F.col("id").cast("string")).alias("key"))
+    asked = spark.range(2 * keys).select("id", F.concat(F.lit("k"), F.col("id").cast("string")).alias("key"), bits.bit_set(known, "key", words).alias("_known"))
+    held = asked.filter(bits.may_hold(F.col("_known"), F.col("key"), words)).groupBy((F.col("id") < keys).alias("known")).count()
+    counts = {r.known: r["count"] for r in held.collect()}
+    assert counts[True] == keys and counts[False] < keys // 50
