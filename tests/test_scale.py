@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from legajo.functions import bits
 from legajo.functions import text as tx
-from legajo.operators import bayes, suppliers
+from legajo.operators import bayes, classify, suppliers
+from legajo.rules import types
 
 
 def test_length_of_a_vector_below_the_explode(spark):
@@ -54,3 +55,19 @@ def test_false_hits_stay_few_as_keys_grow(spark):
     held = asked.filter(bits.may_hold(F.col("_known"), F.col("key"), words)).groupBy((F.col("id") < keys).alias("known")).count()
     counts = {r.known: r["count"] for r in held.collect()}
     assert counts[True] == keys and counts[False] < keys // 50
+
+
+def test_keyword_tests_are_compiled(spark):
+    """Below the higher-order functions that drop what is not found, so generated code makes the tests."""
+    texts = ["FACTURA y remito, flete y cereales", "nada", "", None, "credit note / Nota de Crédito"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    done = classify.keyword_details(docs)
+    plan = done._jdf.queryExecution().optimizedPlan().toString()
+    above, below = plan.split("map_from_arrays(", 1)[1].split("\n", 1)
+    assert "CASE WHEN" not in above and below.count("CASE WHEN") > 100
+    want = {}
+    for i, text in enumerate(texts):
+        held = {t: [k for k in ks if k.lower() in (text or "").lower()] for t, ks in types.TYPE_KEYWORDS.items()}
+        want[i] = {t: ks for t, ks in held.items() if ks}
+    got = {r.doc_id: r.keywords_found for r in done.collect()}
+    assert got == want
