@@ -1,6 +1,7 @@
 import datetime as dt
 import json
 import re
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -459,6 +460,20 @@ def test_exports_and_empty_export(spark, sf):
         exports.export(spark, c, new_path(spark, "bad"), "pdf")
 
 
+def test_xml_export_is_compressed_and_whole(spark, sf, tmp_path, monkeypatch):
+    """Tags and indentation took eight times the room; files stay small enough to be read by many tasks."""
+    from legajo.queries import catalog as stored
+    monkeypatch.setattr(exports, "XML_ROWS_PER_FILE", 100)
+    rows, path = stored(spark, sf).coalesce(2), str(tmp_path / "xml")
+    exports.write_xml(rows, path)
+    parts = [p for p in Path(path).glob("part-*")]
+    wanted = {r.id: (r.tipo, r.monto) for r in rows.select("id", "tipo", "monto").collect()}
+    assert all(p.suffix == ".gz" for p in parts) and len(parts) >= len(wanted) / 100
+    assert sum(p.stat().st_size for p in parts) < 200 * len(wanted)
+    back = spark.read.schema("id bigint, tipo string, monto string").format("xml").option("rowTag", "document").load(path).collect()
+    assert len(back) == len(wanted) and {r.id: (r.tipo, r.monto) for r in back} == wanted
+
+
 def test_folder_scan_and_hashes(spark, tmp_path):
     import hashlib
     for name, size in (("a.pdf", 10), ("b.PDF", 20), ("c.txt", 5)):
