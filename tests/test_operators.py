@@ -474,6 +474,17 @@ def test_xml_export_is_compressed_and_whole(spark, sf, tmp_path, monkeypatch):
     assert len(back) == len(wanted) and {r.id: (r.tipo, r.monto) for r in back} == wanted
 
 
+def test_several_exports_are_counted_without_a_search_for_their_schema(spark, sf, monkeypatch):
+    """Without a schema each reader parses every record twice."""
+    from pyspark.sql import DataFrameReader
+    from legajo.queries import QUERIES
+    given, schema, load = [], DataFrameReader.schema, DataFrameReader.load
+    monkeypatch.setattr(DataFrameReader, "schema", lambda self, s: given.append(self) or schema(self, s))
+    monkeypatch.setattr(DataFrameReader, "load", lambda self, *a, **b: load(self, *a, **b) if self in given else pytest.fail("no schema"))
+    rows = QUERIES["export_several"](spark, sf).collect()
+    assert sorted(r.format for r in rows) == ["csv", "json", "xml"] and all(r.total_records == r.read > 0 for r in rows)
+
+
 def test_folder_scan_and_hashes(spark, tmp_path):
     import hashlib
     for name, size in (("a.pdf", 10), ("b.PDF", 20), ("c.txt", 5)):
